@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplet.llm import simhash
+from ripplet.llm import packing, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -14,8 +14,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4, seed=42)
 
 
+def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(documents(spark, sf_dir), capacity=2048, end=1))
+
+
+def op8_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), n_shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op7_kk_packing, op8_bfd_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
