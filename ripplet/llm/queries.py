@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplet.llm import packing, sharding, simhash
+from ripplet.llm import fingerprint, packing, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -22,8 +22,12 @@ def op8_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
 
+def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir), radius=3, every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op7_kk_packing, op8_bfd_sharding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
