@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,34 +25,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a task remembers.
-CACHE = 500_000
+CACHE = 1_000_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of whole texts, by words between ASCII white space, at which this tokenizer never joins text."""
+    """Token ids of whole texts, by words between ASCII white space, at which this tokenizer never joins text.
+
+    Nor does it join a letter or digit with the marks after it, if no apostrophe is among them; so
+    the ids of a word's core and of the marks that end it are found apart, in lower case.
+    """
+
+    TAIL = re.compile(rb"(.*[A-Za-z0-9])([^A-Za-z0-9'\x80-\xff]+)", re.S)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, self.known = Tokenizer.from_file(path), {}
+        tokenizer, self.words, self.cores = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
     def __call__(self, texts: list[bytes | None], end: int) -> list[bytes]:
         """For each text its ids and ``end`` as little-endian unsigned 32-bit numbers."""
-        known, last, out = self.known, np.uint32(end).tobytes(), []
-        for text in texts:
-            words = (text or b"").split()
-            if missing := set(words).difference(known):
-                if len(known) > CACHE:
-                    known.clear()
-                    missing = set(words)
-                missing = list(missing)
-                for word, got in zip(missing, self.encode([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)) + last)
-        return out
+        last, split = np.uint32(end).tobytes(), [(text or b"").split() for text in texts]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if missing := set().union(*split).difference(self.words):
+            self._learn(missing)
+        return [b"".join(map(self.words.__getitem__, words)) + last for words in split]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        parts = {}
+        for word in missing:
+            special = b"<|" in word  # may hold a special token
+            core = word if special else word.lower()
+            tail = None if special else self.TAIL.fullmatch(core)
+            parts[word] = tail.groups() if tail else (core,)
+        if len(self.cores) > CACHE:
+            self.cores.clear()
+        cores = self.cores
+        new = {p.decode(): p for ps in parts.values() for p in ps if p not in cores}
+        letters = [w for w in new if w.isalpha()]
+        if letters:  # as one text: each of its words ends where an id of a word's end stands
+            ids = np.array(self.encode([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(letters):
+                ids, at = ids.tobytes(), 0
+                for word, stop in zip(letters, stops, strict=True):
+                    cores[new.pop(word)] = ids[at:stop]
+                    at = stop
+        for part, got in zip(new.values(), self.encode(list(new), add_special_tokens=False), strict=True):
+            cores[part] = np.array(got.ids, "<u4").tobytes()
+        for word, ps in parts.items():
+            self.words[word] = b"".join([cores[p] for p in ps])
 
 
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
