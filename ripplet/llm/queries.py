@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ripplet.llm import fingerprint, packing, sharding, simhash
+from ripplet.llm import fingerprint, packing, pii, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -14,6 +15,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4, seed=42)
 
 
+def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "linked")
+
+
+def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "hidden")
+
+
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(documents(spark, sf_dir), capacity=2048, end=1))
 
@@ -27,7 +38,7 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
