@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import fingerprint, packing, pii, secret_scan, sharding, simhash
+from ripplet.llm import fingerprint, langid, packing, pii, quality, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -15,6 +15,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4, seed=42)
 
 
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label="quality", sample=6000)
+    return quality.score(docs, model, threshold=0.3)
+
+
+def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs, sample=3000))
+
+
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "linked")
@@ -38,7 +49,7 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
