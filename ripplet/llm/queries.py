@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import fingerprint, langid, packing, pii, quality, secret_scan, sharding, simhash
+from ripplet.llm import fingerprint, langid, linededup, packing, pii, quality, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -44,12 +44,16 @@ def op8_bfd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(documents(spark, sf_dir), similarity=0.8)
+
+
 def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir), radius=3, every=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op10_simhash_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
