@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import fingerprint, langid, linededup, packing, pii, quality, secret_scan, sharding, simhash
+from ripplet.llm import decontam, fingerprint, langid, linededup, packing, pii, quality, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -21,6 +21,11 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3)
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.matches(documents(spark, sf_dir), benchmark, coverage=0.5).drop("th")
+
+
 def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs, sample=3000))
@@ -53,7 +58,7 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op3_template_decontamination, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
