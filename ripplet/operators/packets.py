@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.functions.errors import InvalidData, OutOfBounds
+from ripplet.functions.schemas import to_arrow
 
 # The markers around packet headers, and the codes of pass counts as (least count, prefix, bits of the prefix, bits of the rest).
 SOP, EPH = b"\xff\x91\x00\x04\x00\x00", b"\xff\x92"
@@ -124,7 +125,8 @@ def packets(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def contributions(packed: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, k, planes, num_passes, size, used)``: a row for each block of a packet, ``used`` the packet's bytes."""
-    kinds = ", ".join(f"{k} {t}" for k, t in packed.dtypes if k in keys)
+    schema = ", ".join(f"{k} {t}" for k, t in packed.dtypes if k in keys) + ", k long, planes long, num_passes long, size long, used long"
+    arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +134,9 @@ def contributions(packed: DataFrame, keys: list[str]) -> DataFrame:
             for name, n, packet in zip(names, batch.column("n_blocks").to_pylist(), batch.column("packet").to_pylist(), strict=True):
                 blocks, used = decode_packet(packet, n)
                 rows += [(*name, k, 32 - zero if inc else 0, passes, len(data), used) for k, (inc, zero, passes, data) in enumerate(blocks)]
-            yield pa.RecordBatch.from_pydict({c: list(v) for c, v in zip([*keys, "k", "planes", "num_passes", "size", "used"], zip(*rows, strict=True), strict=True)})
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return packed.mapInArrow(run, f"{kinds}, k long, planes long, num_passes long, size long, used long")
+    return packed.mapInArrow(run, schema)
 
 
 class TagTree:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions.errors import CodecError, InvalidData, OutOfBounds, Unsupported
+from ripplet.functions.schemas import to_arrow
 
 # Marker codes, box types, the container's signature and brand, colour spaces.
 SOC, SIZ, COD, QCD, SOT, SOD, EOC, CAP = 0xFF4F, 0xFF51, 0xFF52, 0xFF5C, 0xFF90, 0xFF93, 0xFFD9, 0xFF50
@@ -205,17 +206,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 BLOCKS = "image_id long, tile int, comp int, band int, cb_x int, cb_y int, cb_w int, cb_h int, numbps int, num_passes int, data binary, header struct<" + HEADER.replace(" ", ": ").replace(",: ", ", ") + ">, error string"
 
 
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def scan_headers(files: DataFrame) -> DataFrame:
     """``(image_id, header, error)`` for each of ``files(image_id, content)``; a broken file has a null header and an error."""
     schema = "image_id long, header struct<" + HEADER.replace(" ", ": ").replace(",: ", ", ") + ">, error string"
-    arrow = _arrow(schema)
+    arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +230,7 @@ def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[
     Blocks of bands finer than ``levels_kept`` resolutions, and tiles outside ``region`` (x0, y0,
     x1, y1), are left out here, before anything is decoded.
     """
-    arrow = _arrow(BLOCKS)
+    arrow = to_arrow(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +258,7 @@ def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[
 def scan_boxes(files: DataFrame) -> DataFrame:
     """``(image_id, type, offset, length, header_size, parent)`` of every box of container files."""
     schema = f"image_id long, {BOX}"
-    arrow = _arrow(schema)
+    arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
