@@ -105,18 +105,18 @@ STEPS = {("53", False): forward_53, ("53", True): inverse_53, ("97", False): for
 def transform_2d(samples: DataFrame, levels: int, wavelet: str = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
     """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
 
-    A level works on the low band that the level before has left; the other samples go by. Every
-    plane has its own size. For a lower resolution, transform the samples of its low band back by
-    as many levels fewer.
+    A level works on the low band that the level before has left; each other sample is a line of its
+    own, which stays as it is, so that all goes through one chain of windows. Every plane has its
+    own size. For a lower resolution, transform the samples of its low band back by as many levels
+    fewer.
     """
     size = Window.partitionBy(*plane)
     data = samples.select(*plane, "y", "x", "v", (F.max("x").over(size) + 1).alias("w"), (F.max("y").over(size) + 1).alias("h"))
-    names, step = data.columns, STEPS[wavelet, inverse]
+    step = STEPS[wavelet, inverse]
     for level in reversed(range(levels)) if inverse else range(levels):
         inside = (F.col("x") < F.ceil(F.col("w") / (1 << level))) & (F.col("y") < F.ceil(F.col("h") / (1 << level)))
-        low, rest = data.where(inside), data.where(~inside)
         for at, other in (("y", "x"), ("x", "y")) if inverse else (("x", "y"), ("y", "x")):
-            low = step(low, [*plane, "w", "h", other], at)
-        low = low.select(names)
-        data = low.unionByName(rest.withColumn("v", F.col("v").cast(low.schema["v"].dataType))) if level else low
-    return data.drop("w", "h")
+            lined = data.withColumn("alone", F.when(inside, -1).otherwise(F.col(at))).withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(0))
+            done = step(lined, [*plane, "w", "h", other, "alone"], at)
+            data = done.withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(F.col("alone"))).drop("alone")
+    return data.select(*plane, "y", "x", "v")

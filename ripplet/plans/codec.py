@@ -44,19 +44,21 @@ def coefficients(samples: DataFrame, p: EncodeParams) -> DataFrame:
     tiled = samples.join(size, "image_id").select(
         "image_id", "n", (F.floor(F.col("y") / th) * across + F.floor(F.col("x") / tw)).cast("long").alias("tile"), "comp", (F.col("y") % th).alias("y"), (F.col("x") % tw).alias("x"),
         (F.col("v") - (0 if p.signed else 1 << (p.precision - 1))).alias("v"))
-    data = _colour(tiled, rct_forward if p.lossless else ict_forward, F.col("n") >= 3)
+    if not p.lossless:
+        tiled = tiled.withColumn("v", F.col("v").cast("float"))
+    data = _colour(tiled, rct_forward if p.lossless else ict_forward, F.col("n") >= 3, ["image_id", "tile", "n"])
     data = transform_2d(data, p.levels, "53" if p.lossless else "97", plane=PLANE)
     return data if p.lossless else data.withColumn("v", F.round("v").cast("long"))
 
 
-def _colour(data: DataFrame, transform, which: Column) -> DataFrame:
-    """Apply a colour transform to components 0 to 2 of the rows that ``which`` holds for."""
-    place = ["image_id", "tile", "y", "x"]
-    three = data.where(which & (F.col("comp") < 3)).groupBy(*place).agg(*[F.max(F.when(F.col("comp") == k, F.col("v"))).alias(f"c{k}") for k in range(3)])
-    made = transform(*[F.col(f"c{k}") for k in range(3)])
-    done = three.select(*place, F.explode(F.array(*[F.struct(F.lit(k).alias("comp"), c.alias("v")) for k, c in enumerate(made)])).alias("s")).select("image_id", "tile", "s.comp", "y", "x", "s.v")
-    rest = data.where(~(which & (F.col("comp") < 3))).select("image_id", "tile", "comp", "y", "x", F.col("v").cast(done.schema["v"].dataType))
-    return done.unionByName(rest)
+def _colour(data: DataFrame, transform, which: Column, keep: list[str]) -> DataFrame:
+    """Apply a colour transform to components 0 to 2 where ``which`` holds; others pass. A pixel's components meet in one row."""
+    pixel = data.groupBy(*keep, "y", "x").agg(F.sort_array(F.collect_list(F.struct("comp", "v"))).alias("c"))
+    first = [F.get("c", F.lit(k)).getField("v") for k in range(3)]
+    made = F.array(*[F.struct(F.lit(k).alias("comp"), c.alias("v")) for k, c in enumerate(transform(*first))])
+    plain = F.transform("c", lambda p: F.struct(p.comp.alias("comp"), p.v.alias("v")))
+    both = pixel.withColumn("s", F.when(which, F.concat(made, F.slice(plain, F.lit(4), F.greatest(F.size("c") - 3, F.lit(0))))).otherwise(plain))
+    return both.select(*keep, "y", "x", F.explode("s").alias("s")).select(*keep, "s.comp", "y", "x", "s.v")
 
 
 def coded_blocks(samples: DataFrame, p: EncodeParams) -> DataFrame:
@@ -130,16 +132,17 @@ def _decode_kind(files: DataFrame, levels: int, reversible: bool, reduce: int, r
         (F.col("cb_x") + F.when(F.col("kind").isin(0, 2), halved(F.col("w"), F.col("level"))).otherwise(0)).alias("px"),
         (F.col("cb_y") + F.when(F.col("kind").isin(1, 2), halved(F.col("ht"), F.col("level"))).otherwise(0)).alias("py"),
         halved(F.col("x0"), reduce).alias("x0"), halved(F.col("y0"), reduce).alias("y0"), F.col(f"{h}.mct").alias("mct"),
-        F.get(f"{h}.precisions", F.col("comp")).alias("precision"), F.get(f"{h}.signed", F.col("comp")).alias("signed"))
-    keep = "image_id long, tile long, comp int, cb_w int, px long, py long, x0 long, y0 long, mct boolean, precision int, signed boolean"
+        F.col(f"{h}.precisions").alias("precisions"), F.col(f"{h}.signed").alias("signed"))
+    keep = "image_id long, tile long, comp int, cb_w int, px long, py long, x0 long, y0 long, mct boolean, precisions array<int>, signed array<boolean>"
     spread = blocks.repartition("image_id", "tile", "comp", "px", "py")  # blocks are what takes time
     samples = decode_blocks(spread, keep, exact).select("*", F.posexplode("samples").alias("i", "v"))
-    samples = samples.select(*PLANE, (F.col("py") + F.floor(F.col("i") / F.col("cb_w"))).alias("y"), (F.col("px") + F.col("i") % F.col("cb_w")).alias("x"), F.col("v").cast("long").alias("v"), "x0", "y0", "mct", "precision", "signed")
-    facts = samples.groupBy("image_id", "tile", "comp").agg(*[F.first(c).alias(c) for c in ("x0", "y0", "mct", "precision", "signed")])
-    back = transform_2d(samples.select(*PLANE, "y", "x", "v"), levels - reduce, "53" if reversible else "97", inverse=True, plane=PLANE)
-    back = back.join(facts, list(PLANE))
-    colour = back.select("image_id", "tile", "comp", "y", "x", "v", "mct")
-    shown = _colour(colour, rct_inverse if reversible else (lambda *c: ict_inverse(*[x.cast("float") for x in c])), F.col("mct"))
-    shown = shown.withColumn("v", (F.col("v") if reversible else F.round("v")).cast("long"))
-    shift = F.when(F.col("signed"), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.col("precision") - 1))
-    return shown.join(facts, list(PLANE)).select("image_id", "comp", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), (F.col("v") + shift).cast("long").alias("v"))
+    y, x = F.col("py") + F.floor(F.col("i") / F.col("cb_w")), F.col("px") + F.col("i") % F.col("cb_w")
+    tile = F.struct("x0", "y0", "mct", "precisions", "signed")
+    placed = samples.select(*PLANE, tile.alias("about"), y.alias("y"), x.alias("x"), F.col("v").cast("long").alias("v"))
+    back = transform_2d(placed, levels - reduce, "53" if reversible else "97", inverse=True, plane=(*PLANE, "about"))
+    if not reversible:
+        back = back.withColumn("v", F.col("v").cast("float"))
+    shown = _colour(back, rct_inverse if reversible else ict_inverse, F.col("about.mct"), ["image_id", "tile", "about"])
+    shift = F.when(F.get("about.signed", F.col("comp")), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.get("about.precisions", F.col("comp")) - 1))
+    v = F.col("v") if reversible else F.round(F.col("v").cast("double"))
+    return shown.select("image_id", "comp", (F.col("y") + F.col("about.y0")).alias("y"), (F.col("x") + F.col("about.x0")).alias("x"), (v + shift).cast("long").alias("v"))
