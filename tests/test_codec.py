@@ -169,6 +169,30 @@ def test_arithmetic_coder(decisions):
     assert [reader.code(ctx) for ctx, _ in decisions] == [b for _, b in decisions]
 
 
+@given(st.lists(st.tuples(st.integers(0, 18), st.integers(0, 1)), max_size=400))
+@settings(max_examples=100, deadline=None)
+def test_marked_and_resilient_ends(decisions):
+    coder = entropy.Writer()
+    for ctx, bit in decisions:
+        coder.code(ctx, bit)
+    coder.mark()
+    reader = entropy.Reader(coder.finish_resilient())
+    assert [reader.code(ctx) for ctx, _ in decisions] == [b for _, b in decisions]
+    assert [reader.code(entropy.UNIFORM) for _ in range(4)] == [1, 0, 1, 0]
+
+
+@given(st.lists(st.integers(0, 1), max_size=200), st.booleans(), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_raw_bits(bits, ones, resilient):
+    bits = [1] * 24 + bits if ones else bits
+    writer = entropy.RawWriter()
+    for b in bits:
+        writer.put(b)
+    data = writer.finish(resilient)
+    reader = entropy.RawReader(data)
+    assert [reader.get() for _ in bits] == bits and all(b < 0x80 for a, b in zip(data, data[1:]) if a == 0xFF)
+
+
 @given(st.lists(st.tuples(st.booleans(), st.integers(0, 255), st.integers(1, 164), st.binary(max_size=400)), max_size=6), st.booleans(), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_packets(contributions, sop, eph):
