@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontam, fingerprint, langid, linededup, packing, pii, quality, secret_scan, sharding, simhash
+from ripplet.llm import decontam, fingerprint, langid, linededup, oracle, packing, pii, quality, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -101,3 +101,12 @@ def test_whole_table(spark):
     assert got == slow(docs, items, 0.5) and got
     plain = {(d, i) for d, t in docs for i, x in items if x in t}
     assert plain <= got.keys()
+
+
+def test_equals_sql(spark):
+    from ripplet.llm.oracle import SQL
+    from tests.compare import duck_rows, spark_rows
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        names, _, want = duck_rows(SQL["op3_template_decontamination"], sf)
+        assert spark_rows(op3_template_decontamination(spark, sf)) == (names, want) and want
