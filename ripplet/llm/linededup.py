@@ -108,7 +108,7 @@ def _links(lines: DataFrame, similarity: float) -> DataFrame:
     first = cut_lineage(_verified(rays, lines, similarity))
     rooted = split_join(shared.select("key", "id", "sketch"), components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = cut_lineage(rooted.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo < hi").drop("lo", "hi"))
-    marked = split_join(mixed, _bitmaps(mixed.select("id").distinct(), lines), "id")
+    marked = cut_lineage(split_join(mixed, _bitmaps(mixed.select("id").distinct(), lines), "id"))  # both sides of the join below
     x, y = marked.alias("x"), marked.alias("y")
     off = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WORDS)), F.lit(0))
     near = off <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity) + 1e-9)
