@@ -26,8 +26,8 @@ from ripplet.llm.common import components, cut_lineage, split_join
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Shorter lines (bytes) are left alone.
 SHORTEST = 20
-#: Hashes of a line that are looked at for its bins, on average, if it has so many; 64-bit words of a bitmap.
-DENSE, WORDS = 200, 32
+#: 64-bit words of a bitmap.
+WORDS = 32
 #: Bins of 24 whose two bits may differ. Of lines as similar as 0.8, one in ten thousand differs in more.
 DIFFERING = 10
 
@@ -45,10 +45,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _exploded(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each shingle of ``texts(*keep, line)``: ``(*keep, n_shingles, h)``."""
-    cut = texts.select(*keep, F.col("line").cast("binary").alias("data"), (F.octet_length("line") - SHINGLE + 1).cast("long").alias("n_shingles"))
-    each = cut.select(*keep, "data", "n_shingles", F.explode(F.sequence(F.lit(1), F.col("n_shingles").cast("int"))).alias("i"))
-    return each.select(*keep, "n_shingles", F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    """A row for each shingle of ``texts(*keep, line)``: ``(*keep, h)``."""
+    cut = texts.select(*keep, F.col("line").cast("binary").alias("data"))
+    each = cut.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - SHINGLE + 1)).alias("i"))
+    return each.select(*keep, F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -60,10 +60,10 @@ def _differ(a: Column, b: Column) -> Column:
 def _buckets(lines: DataFrame) -> DataFrame:
     """``(key, id, n, sketch)``: each line in the bucket of each of its bands.
 
-    A long line's hashes above ``DENSE / n_shingles`` of their range are passed over: with ``DENSE``
-    of them below, no bin of 24 is empty but in one of 4000 cases, and then that is its signature.
+    Each bin keeps the least of all the line's hashes in it, so lines with equal shingle sets have
+    equal signatures, however often a shingle repeats. An empty bin is a part of the signature too.
     """
-    hashed = _exploded(lines, ["id", "n"]).where(F.shiftrightunsigned("h", 32) * F.col("n_shingles") < F.lit(DENSE << 32))
+    hashed = _exploded(lines, ["id", "n"])
     placed = hashed.select("id", "n", F.shiftrightunsigned("h", 8).alias("v"), F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin"))
     placed = placed.select("id", "n", "v", F.expr(f"int(bin div {ROWS})").alias("band"), F.expr(f"bin % {ROWS}").alias("cell"))
     least = placed.groupBy("id", "band").agg(*[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)], F.max("n").alias("n"))

@@ -84,3 +84,13 @@ def test_whole_table(spark, sf):
     want = {(d, i) for d, _, i in slow(docs)}
     got = {(r.doc_id, int(i)) for r in op9_fuzzy_lines(spark, sf).collect() for i in r.dropped.split(",") if i}
     assert got <= want and len(got) >= 0.995 * len(want) and want
+
+
+def test_repeat_counts_do_not_matter(spark):
+    """Lines with equal shingle sets link, however often their shingles repeat."""
+    rng, docs = random.Random(8), []
+    for k in range(20):
+        word, passage = "".join(rng.choices("abcdefgh", k=6)) + " ", "".join(rng.choices("ijklmnopqrst ", k=600))
+        docs += [(6 * k + i, text) for i, text in enumerate([word * 1000, word * 900, chr(192 + k) * 300, chr(192 + k) * 400, passage * 10, passage * 2])]
+    rows = linededup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_dropped} == {d for d, _ in docs if d % 2}
