@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return simhash.keep_one(docs, words=5, radius=4)
+    """Of each group of documents that are within 4 bits or share 0.8 of their five-word shingles the one with the least id stays."""
+    return simhash.keep_one(docs, words=5, radius=4, similarity=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

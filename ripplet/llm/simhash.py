@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.llm import resemblance
 from ripplet.llm.common import components, cut_lineage, map_batches, split_join
 
 BITS = 64
@@ -29,21 +30,27 @@ SMALL_RUN = 24
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     """SimHash of the word shingles of a UTF-8 text; 0 if it has no word or is null."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in _shingle_hashes(text, words, seed):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
+        n += len(hashes)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def _shingle_hashes(text: bytes | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles in order, ``BLOCK`` at most at once; a text of fewer words is one shingle, none without words."""
     parts = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not parts:
-        return 0
+        return
     joined, n = b" ".join(parts), len(parts)
     lengths = np.fromiter(map(len, parts), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, n - words + 1)].tolist()
     ends = ends[min(words, n) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros(BITS, np.int64)
     for k in range(0, len(starts), BLOCK):
-        hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[k : k + BLOCK], ends[k : k + BLOCK], strict=True)], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(starts), bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[i:j], seed) for i, j in zip(starts[k : k + BLOCK], ends[k : k + BLOCK], strict=True)], "<u8")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
@@ -147,6 +154,15 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _component_ids(own: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component_id)``: the least doc_id that links reach from each fingerprint of ``own(doc_id, fp)``."""
+    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    root = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return split_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row of ``docs(doc_id, text, ...)``.
 
@@ -156,20 +172,39 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     if no row there has an id. An empty table gives no rows; other columns are not read.
     """
     own = cut_lineage(fingerprints(docs, words, seed))
-    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    root = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = split_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
+    found = _component_ids(own, radius)
     return split_join(own, found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def shingle_set(text: bytes | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(text, words, seed)]))
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the least doc_id.
 
-    Of repeated rows with that id one stays. Rows with a null doc_id stay, as nothing tells them
-    apart. All columns are returned, whatever their names.
+    Documents link if their fingerprints are within ``radius`` bits or their sets of word shingles
+    have a Jaccard similarity of ``similarity`` at least. Of repeated rows with that id one stays.
+    Rows with a null doc_id stay, as nothing tells them apart. All columns are returned, whatever
+    their names.
     """
-    keep = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(2).to_pylist()
+        fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * resemblance.WORDS]
+        signed = zip(*[resemblance.signature(shingle_set(t, words)) for t in texts], strict=True)
+        columns = [pa.array(c, k) for c, k in zip(signed, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), *columns], ["doc_id", "th", "fp", *(f.split()[0] for f in resemblance.SIGNED.split(", "))])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    own = cut_lineage(map_batches(rows, each, f"doc_id long, th long, fp long, {resemblance.SIGNED}"))
+    alike = resemblance.groups(own, docs, lambda t: shingle_set(t, words), similarity)
+    both = split_join(split_join(own.select("doc_id", "fp", "sid"), _component_ids(own, radius), "fp"), alike, "sid", "left")
+    both = cut_lineage(both.select("doc_id", "component_id", "least"))
+    root = components(both.select(F.col("component_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "component_id")
+    keep = split_join(both, root, "component_id", "left").where(F.col("doc_id") == F.coalesce("root", "component_id")).select("doc_id").distinct()
     stay = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -4,6 +4,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ripplet.llm import simhash
 
 
@@ -84,3 +85,32 @@ def test_keep_one_and_empty(spark):
     df = spark.createDataFrame([(2, "a b c d e", "x"), (1, "a b c d e", None), (1, "a b c d e", None), (None, "a b c d e", "n"), (7, "other words are here now", "x")], "doc_id long, text string, lang string")
     assert sorted(map(str, simhash.keep_one(df).collect())) == sorted(map(str, [df.collect()[i] for i in (1, 3, 4)]))
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_against_all_jaccards(spark):
+    """The pipeline's stage drops every copy with a Jaccard similarity of five-word shingles from 0.8."""
+    rng, docs = random.Random(4), [(0, None), (1, ""), (2, " "), (None, "one row without an id")]
+    for k in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((8, 60, 300)))]
+        for i, edits in enumerate((0, 0, 1, 2, 4, len(words) // 60, len(words) // 40)):
+            new = list(words)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = "x"
+            docs.append((100 + 10 * k + i, " ".join(new)))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for d, t in docs if d is not None}
+    ids, up = sorted(sets), {d: d for d in sets}
+
+    def find(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            fps = [simhash.fingerprint((t or "").encode(), 5) for t in (dict(docs)[a], dict(docs)[b])] if a // 10 == b // 10 else None
+            if x and y and len(x & y) >= 0.8 * len(x | y) or fps and (fps[0] ^ fps[1]).bit_count() <= 4:
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {d for d in ids if find(d) == d} | {None}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want and len(want) < len(ids) - 40
