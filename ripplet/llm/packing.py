@@ -1,7 +1,7 @@
 """Packing token streams into training windows by Karmarkar-Karp multiway differencing.
 
 Every task packs its documents cell by cell, a cell being the next documents with about
-``cell_tokens`` tokens; no text or token is shuffled and memory is bounded by a cell. In a cell
+``cell_tokens`` tokens, or fewer if they are very short; no text or token is shuffled and memory is bounded by a cell. In a cell
 a document gives as many full windows as it can, and its rest becomes an item. Differencing
 deals the items to ``ceil(tokens / capacity)`` windows: the two partial partitions with the
 largest imbalance are merged, the fullest window of one with the emptiest of the other, until
@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers.
-CACHE = 1_000_000
+#: Words whose ids a task remembers; loads that a cell's partial partitions hold, one for each document and window (16 bytes).
+CACHE, LOADS = 1_000_000, 1 << 22
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, tokenizer_path: st
                 for name, ids in zip(names[k : k + 64], ids_of(batch.column(1)[k : k + 64].to_pylist(), end), strict=True):
                     cell.append((name, ids))
                     tokens += len(ids) // 4
-                    if tokens >= cell_tokens:
+                    if tokens >= cell_tokens or len(cell) * (tokens // capacity) >= LOADS:
                         yield flush(cell, at)
                         at, cell, tokens = at + len(cell) + tokens, [], 0
         if cell:

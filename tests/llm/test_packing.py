@@ -73,3 +73,18 @@ def test_whole_items(spark, sf):
     pieces = packing.pack(docs, cut=False).toPandas()
     loads = pieces.groupby("sequence_id").length.sum()
     assert loads.max() <= 2048 and loads.sum() / (2048 * len(loads)) > 0.7
+
+
+def test_cells_of_empty_documents_are_bounded(spark):
+    """A cell ends before its documents times windows pass the bound, even if it has few tokens."""
+    n = 110_000
+    docs = spark.range(n).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)
+    rows = packing.pack(docs).select("doc_id", "sequence_id", "length").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(n)) and all(r.length == 1 for r in rows)
+    windows, cells = sorted({r.sequence_id for r in rows}), []
+    for w in windows:
+        if not cells or w > cells[-1][-1] + 1:
+            cells.append([])
+        cells[-1].append(w)
+    held = [sum(r.sequence_id in set(c) for r in rows) * len(c) for c in cells]
+    assert len(cells) == 2 and max(held) < 1.2 * (1 << 22)
