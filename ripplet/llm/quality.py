@@ -118,13 +118,17 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = 4, rate: f
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold, those with the least id hashes."""
+    """Train on at most ``sample`` labelled documents outside the held-out fold, those with the least id hashes.
+
+    Of rows with one doc_id only one comes to the driver, that with the least hash of its text.
+    """
     chosen = (
         labels.where(crc_of_id() % FOLDS != 0).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id")).limit(sample)
     )
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or b""))
     return train([None if r.text is None else bytes(r.text) for r in rows], [r.label for r in rows])
 

@@ -83,3 +83,14 @@ def test_language_odd_rows(spark):
     kept = langid.keep_identified(df, langid.fit(train), 0.0)
     assert kept.columns == df.columns and kept.count() == 4
     assert langid.identify(df.limit(0), none).count() == 0
+
+
+def test_quality_takes_one_row_for_each_chosen_id(spark, monkeypatch):
+    """A hot doc_id does not bring all its rows to the driver."""
+    got = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: got.extend(zip(texts, labels, strict=True)))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    ids = [i for i in range(1, 40) if crc(i) % 5]
+    assert 1 in ids and len(got) == len(ids) and [y for _, y in got] == [i % 2 for i in ids]
