@@ -1,14 +1,14 @@
 """Packing token streams into training windows by Karmarkar-Karp multiway differencing.
 
 Every task packs its documents cell by cell, a cell being the next documents with about
-``cell_tokens`` tokens, or fewer if they are very short; no text or token is shuffled and memory is bounded by a cell. In a cell
-a document gives as many full windows as it can, and its rest becomes an item. Differencing
-deals the items to ``ceil(tokens / capacity)`` windows: the two partial partitions with the
-largest imbalance are merged, the fullest window of one with the emptiest of the other, until
-one is left, whose windows are near-equal. What then exceeds the capacity is cut off and fills
-the windows that are short, so that all but one are exactly full; that one is cut at powers of
-two, which need no padding. With ``cut=False`` no item is cut: the window count rises by one
-and the differencing is done anew for as long as a window exceeds the capacity.
+``cell_tokens`` tokens, or fewer if they are very short; no text or token is shuffled and memory
+is bounded by a cell. In a cell a document gives as many full windows as it can, and its rest
+becomes an item. Differencing deals the items to ``ceil(tokens / capacity)`` windows: the two
+partial partitions with the largest imbalance are merged, the fullest window of one with the
+emptiest of the other, until one is left, whose windows are near-equal. As long as a window
+exceeds the capacity, the window count rises and the items are dealt anew. With ``cut`` the
+emptiest windows are then cut up to fill the others, so that all but one are exactly full; that
+one is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers; loads that a cell's partial partitions hold, one for each document and window (16 bytes).
-CACHE, LOADS = 1_000_000, 1 << 22
+#: Words whose ids a task remembers; documents that a cell holds at most (some 500 bytes each, besides their ids).
+CACHE, CELL_DOCS = 1_000_000, 1 << 16
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -82,94 +83,86 @@ class WordIds:
             self.words[word] = b"".join([cores[p] for p in ps])
 
 
-def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
-    """Karmarkar-Karp: the items of each of ``k`` windows with near-equal sums of sizes."""
-    left, right, n = [], [], len(sizes)  # inner nodes of the trees of items, numbered from n on
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        load, node = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        load[0], node[0] = size, i  # loads in falling order
-        heap.append((-size, i, load, node))
+def difference(sizes: list[int], k: int) -> list[list[int]]:
+    """Karmarkar-Karp: the items of each of ``k`` windows with near-equal sums of sizes.
+
+    A partial partition is the list of its windows that hold items, in falling order of load, each
+    as (load with a minus sign, node); its other windows are empty. A node is an item or, from
+    ``len(sizes)`` on, a pair of nodes. Loads count from the emptiest window.
+    """
+    n, pairs = len(sizes), []
+    heap = [(-size, i, [(-size, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     age = n
     while len(heap) > 1:
-        _, _, load_a, node_a = heapq.heappop(heap)
-        _, _, load_b, node_b = heapq.heappop(heap)
-        load, node_b = load_a + load_b[::-1], node_b[::-1]
-        node = np.where(node_a < 0, node_b, node_a)
-        both = np.flatnonzero((node_a >= 0) & (node_b >= 0))
-        if len(both):
-            node[both] = n + len(left) + np.arange(len(both))
-            left += node_a[both].tolist()
-            right += node_b[both].tolist()
-        order = np.argsort(-load, kind="stable")
-        load, node = load[order], node[order]
+        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        shared = len(a) + len(b) - k  # windows that hold items of both
+        if shared > 0:
+            at, to = len(a) - shared, len(b) - shared
+            met = [(x + y, n + len(pairs) + j) for j, ((x, _), (y, _)) in enumerate(zip(a[at:], b[: to - 1 if to else None : -1], strict=True))]
+            pairs += [(x, y) for (_, x), (_, y) in zip(a[at:], b[: to - 1 if to else None : -1], strict=True)]
+            a = sorted(a[:at] + b[:to] + met)
+        elif len(b) == 1:
+            insort(a, b[0])
+        else:
+            a += b
+            a.sort()
+        if len(a) == k and (least := a[-1][0]):
+            a = [(load - least, node) for load, node in a]
         age += 1
-        heapq.heappush(heap, (int(load[-1] - load[0]), age, load - load[-1], node))
+        heapq.heappush(heap, (a[0][0], age, a))
     windows = []
-    for root in heap[0][3].tolist() if heap else [-1] * k:
-        items, stack = [], [root] * (root >= 0)
+    for _, root in heap[0][2] if heap else []:
+        items, stack = [], [root]
         while stack:
             x = stack.pop()
             if x < n:
                 items.append(x)
             else:
-                stack += (left[x - n], right[x - n])
+                stack += pairs[x - n]
         windows.append(sorted(items))
-    return windows
+    return windows + [[] for _ in range(k - len(windows))]
 
 
 def pack_cell(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Windows of ``(document, start, length)`` for documents of these sizes."""
     full = [[(d, at, capacity)] for d, n in enumerate(sizes) for at in range(0, n - capacity + 1, capacity)]
     rest = [(d, n - n % capacity, n % capacity) for d, n in enumerate(sizes) if n % capacity]
-    if not rest:
-        return full
-    lengths = np.array([length for _, _, length in rest], np.int64)
-    k = -(-int(lengths.sum()) // capacity)
-    while True:
+    lengths = [length for _, _, length in rest]
+    k = -(-sum(lengths) // capacity)
+    while rest:
         windows = [[rest[i] for i in items] for items in difference(lengths, k)]
-        if cut or max(sum(p[2] for p in w) for w in windows) <= capacity:
-            break
-        k += 1
-    return full + (_level(windows, capacity) if cut else [w for w in windows if w])
-
-
-def _level(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Cut what exceeds the capacity and fill every window but the emptiest, whose pieces fill the others too."""
+        over = max(sum(p[2] for p in w) for w in windows) - capacity
+        if over <= 0:
+            return full + (_fill(windows, capacity) if cut else [w for w in windows if w])
+        k += 1 + k * over // capacity
+    return full
+
+
+def _take(spare: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """The last ``n`` tokens of ``spare``, taken from it."""
+    taken = []
+    while n:
+        d, at, length = spare.pop()
+        used = min(n, length)
+        if length > used:
+            spare.append((d, at + used, length - used))
+        taken.append((d, at, used))
+        n -= used
+    return taken
+
+
+def _fill(windows: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Fill as many windows as there are tokens for from the emptiest ones; what is left is cut at powers of two."""
     loads = [sum(p[2] for p in w) for w in windows]
-    spare = windows.pop(loads.index(min(loads)))
-    for w in windows:
-        over = sum(p[2] for p in w) - capacity
-        while over > 0:
-            d, at, n = w.pop()
-            off = min(over, n)
-            if n > off:
-                w.append((d, at, n - off))
-            spare.append((d, at + n - off, off))
-            over -= off
-    for w in windows:
-        short = capacity - sum(p[2] for p in w)
-        while short > 0:
-            d, at, n = spare.pop()
-            take = min(short, n)
-            if n > take:
-                spare.append((d, at + take, n - take))
-            w.append((d, at, take))
-            short -= take
+    order = sorted(range(len(windows)), key=lambda i: -loads[i])
+    n = sum(loads) // capacity
+    spare = [p for i in order[n:] for p in windows[i]]
+    filled = [windows[i] + _take(spare, capacity - loads[i]) for i in order[:n]]
     total = sum(p[2] for p in spare)
-    for bit in reversed(range(total.bit_length())):
-        if total >> bit & 1:
-            part, short = [], 1 << bit
-            while short:
-                d, at, n = spare.pop()
-                take = min(short, n)
-                if n > take:
-                    spare.append((d, at + take, n - take))
-                part.append((d, at, take))
-                short -= take
-            windows.append(part)
-    return windows
+    return filled + [_take(spare, 1 << bit) for bit in reversed(range(total.bit_length())) if total >> bit & 1]
 
 
 def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, tokenizer_path: str | None = None, cell_tokens: int = 1 << 20, cut: bool = True) -> DataFrame:
@@ -191,7 +184,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, tokenizer_path: st
                 for name, ids in zip(names[k : k + 64], ids_of(batch.column(1)[k : k + 64].to_pylist(), end), strict=True):
                     cell.append((name, ids))
                     tokens += len(ids) // 4
-                    if tokens >= cell_tokens or len(cell) * (tokens // capacity) >= LOADS:
+                    if tokens >= cell_tokens or len(cell) >= CELL_DOCS:
                         yield flush(cell, at)
                         at, cell, tokens = at + len(cell) + tokens, [], 0
         if cell:
