@@ -46,25 +46,48 @@ def base_spans(text: str) -> list[Span]:
 
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates that count only with a complement; none overlaps a strong span or an earlier candidate."""
-    found = []
+    found: list[list[Span]] = []  # by pattern, each in order and without overlaps
     if ":" in text or "=" in text:
-        found += [("ident", *m.span()) for m in IDENT.finditer(text)]
-        found += [("token", *m.span()) for m in SHORT.finditer(text)]
-        found += [("endpoint", *m.span()) for m in URL.finditer(text)] if "://" in text else []
-        found += [("endpoint", *m.span()) for m in HOST.finditer(text)]
+        found.append([("ident", *m.span()) for m in IDENT.finditer(text)])
+        found.append([("token", *m.span()) for m in SHORT.finditer(text)])
+        found.append([("endpoint", *m.span()) for m in URL.finditer(text)] if "://" in text else [])
+        found.append([("endpoint", *m.span()) for m in HOST.finditer(text)])
+    random = []
     for word in LONG.finditer(text):
         for m in RANDOM.finditer(word[0]):
             s = m[0]
             if any("0" <= c <= "9" for c in s) and s != s.lower() and s != s.upper():
-                found.append(("token", word.start() + m.start(), word.start() + m.end()))
+                random.append(("token", word.start() + m.start(), word.start() + m.end()))
     taken, out = sorted((a, b) for _, a, b in base), []
-    for span in found:
-        if not any(a < span[2] and span[1] < b for a, b in taken):
-            taken.append(span[1:])
+    for spans in (*found, random):
+        free = _free(spans, taken)
+        taken = sorted(taken + [s[1:] for s in free])
+        out += free
+    return out
+
+
+def _free(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
+    """Those of the ordered spans that overlap nothing taken, in one pass over both."""
+    out, i, reach = [], 0, 0
+    for span in spans:
+        while i < len(taken) and taken[i][0] < span[2]:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= span[1]:
             out.append(span)
     return out
 
 
+def _lines(text: str, spans: list[Span]) -> list[tuple[str, int, int, int]]:
+    """The spans in order, each with the number of the line in which it starts."""
+    out, at, line = [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        line += text.count("\n", at, a)
+        at = a
+        out.append((kind, a, b, line))
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     """``kind:start:end`` by start, then kind as listed, comma-joined."""
     order = list(KINDS)
@@ -90,7 +113,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, lines: int = LINES) -> DataFrame:
             weak = weak_spans(text, base)
             counts.append([sum(k == kind for k, _, _ in base) for kind in BASE])
             strong.append(joined(base))
-            parts.append([(k, a, b, text.count("\n", 0, a)) for k, a, b in base + weak] if weak else [])
+            parts.append(_lines(text, base + weak) if weak else [])
         columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
         parts = pa.array([[dict(zip(("kind", "start", "end", "line"), p, strict=True)) for p in ps] for ps in parts], pa.list_(PART))
         return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(strong, pa.string()), parts], ["doc_id", "n_assign", "n_access", "n_hex", "base", "parts"])

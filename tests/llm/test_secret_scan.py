@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +71,45 @@ def test_whole_table(spark):
         listed = sorted(base, key=lambda s: (s[1], list(PLAIN).index(s[0])))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in listed).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+
+
+def slow_weak(text, base):
+    """Every candidate in turn against everything taken before."""
+    found = []
+    for kind, pattern in (("ident", secret_scan.IDENT), ("token", secret_scan.SHORT), ("endpoint", secret_scan.URL), ("endpoint", secret_scan.HOST)):
+        found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    for word in re.finditer(r"\S+", text):
+        for m in secret_scan.RANDOM.finditer(word[0]):
+            if len(word[0]) >= 16 and re.search("[0-9]", m[0]) and m[0] != m[0].lower() and m[0] != m[0].upper():
+                found.append(("token", word.start() + m.start(), word.start() + m.end()))
+    taken, out = [s[1:] for s in base], []
+    for s in found:
+        if all(b <= s[1] or s[2] <= a for a, b in taken):
+            taken.append(s[1:])
+            out.append(s)
+    return out
+
+
+def slow_linked(text, scope=200, lines=3):
+    """Each weak part against each other part."""
+    base = secret_scan.base_spans(text)
+    weak = slow_weak(text, base)
+    line = lambda s: text.count("\n", 0, s[1])
+    secret = lambda s: secret_scan.KINDS[s[0]] == "secret"
+    near = lambda s, t: s[1] <= t[2] + scope and t[1] <= s[2] + scope and abs(line(s) - line(t)) <= lines
+    return secret_scan.joined(base + [s for s in weak if any(near(s, t) and secret(s) != secret(t) for t in base + weak)])
+
+
+def test_linking_against_all_pairs(spark):
+    rng = random.Random(6)
+    parts = ["user=jane_doe ", "password: hunter2hunter2 ", "pwd=abcd ", "https://db.example.org/x ", "host=db1.local ", "AKIA" + "B2" * 8 + " ", "k3yT0kenWithM1xedCase99 ", "0123456789abcdef" * 2 + " ", "plain words stand here ", "login: root token=qwertyui ", "\n", "\n", "x " * 60]
+    docs = [(i, "".join(rng.choices(parts, k=rng.randrange(60)))) for i in range(120)] + [(500, None), (501, "")]
+    rows = secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows} == {d: slow_linked(t or "") for d, t in docs}
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = "user=jane_doe pwd=abcd k3yT0kenWithM1xedCase99 password: hunter2hunter2\n" * 40_000
+    began = time.process_time()
+    spans = secret_scan.weak_spans(text, base := secret_scan.base_spans(text))
+    assert len(secret_scan._lines(text, base + spans)) == 160_000 and time.process_time() - began < 30
