@@ -2,8 +2,8 @@
 
 Two transducers rewrite a text and keep for each character of their output the source span it
 came from. The first maps look-alike letters and digits to ASCII and deletes invisible characters.
-The second turns runs of spelled digits into digits and disguised ``at`` and ``dot`` into ``@``
-and ``.``. The detectors run on the source and on the rewritten text; what they find in rewritten
+The second turns bracketed ``at`` and ``dot`` into ``@`` and ``.``, and then runs of spelled digits
+into digits and ``at`` and ``dot`` between the parts of an address into the same. The detectors run on the source and on the rewritten text; what they find in rewritten
 places is mapped back to source characters and added unless a span of its kind lies there already.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ DIGIT = re.compile(rf"plus[\x20-]+|(?:{NAME}|[0-9])[\x20,.-]*", re.I | re.A)
 AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", re.I)
 SAID = re.compile(r"(?<=[A-Za-z0-9._%+-])(\sat\s)(?=[A-Za-z0-9-]{2,64}(?:\.|\sdot\s)[A-Za-z])", re.I)
-SAID_DOT = re.compile(r"(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z]{2})", re.I)
+SAID_DOT = re.compile(r"(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z]{2}|[0-9]{1,3}(?![0-9]))", re.I)
 
 Span = tuple[str, int, int]
 
@@ -118,6 +119,8 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
     view = Rewritten(text)
     if not text.isascii() and (odd := [(m.start(), m.end(), _plain(m[0])) for m in STRANGE.finditer(text)]):
         view = view.replace(odd)
+    if any(c in view.text for c in "([{<") and (edits := [(*m.span(), "@") for m in AT.finditer(view.text)] + [(*m.span(), ".") for m in DOT.finditer(view.text)]):
+        view = view.replace(_non_overlapping(edits))
     edits = []
     for run in SPELLED.finditer(view.text):
         if re.search("[A-Za-z]", run[0]):
@@ -125,8 +128,6 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
                 word = d[0].rstrip(" ,.-").lower()
                 last = d.end() == len(run[0])
                 edits.append((run.start() + d.start(), run.start() + (d.start() + len(word) if last else d.end()), "+" if word == "plus" else DIGITS.get(word, word)))
-    if "(" in view.text or "[" in view.text or "{" in view.text or "<" in view.text:
-        edits += [(*m.span(), "@") for m in AT.finditer(view.text)] + [(*m.span(), ".") for m in DOT.finditer(view.text)]
     low = view.text.lower()
     if " dot " in low or "\ndot " in low or " at " in low and SAID.search(view.text):
         edits += [(*m.span(), "@") for m in SAID.finditer(view.text)] + [(*m.span(), ".") for m in SAID_DOT.finditer(view.text)]
@@ -134,11 +135,13 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
         view = view.replace(_non_overlapping(edits))
     if not any(view.changed):
         return []
+    held = {kind: sorted((a, b) for k, a, b in base if k == kind) for kind in KINDS}  # of one kind: no overlaps
     out = []
     for kind, a, b in detect(view.text):
         if any(view.changed[a:b]):
             a, b = view.start[a], view.end[b - 1]
-            if not any(k == kind and s < b and a < e for k, s, e in base):
+            before = bisect_left(held[kind], (b,)) - 1
+            if before < 0 or held[kind][before][1] <= a:
                 out.append((kind, a, b))
     return out
 

@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -80,3 +81,14 @@ def test_whole_table(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in listed).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
     assert sum(r.n_email for r in rows) and sum(r.n_phone for r in rows)
+
+
+def test_mixed_disguises():
+    for text, kind, found in [("write jane at example [dot] com now", "email", "jane at example [dot] com"), ("host 192 dot 168 dot 10 dot 7 is up", "ip", "192 dot 168 dot 10 dot 7")]:
+        assert [(k, text[a:b]) for k, a, b in pii.hidden(text, pii.detect(text))] == [(kind, found)]
+
+
+def test_many_hidden_spans_take_linear_time():
+    text = "a.b@c.de and jane (at) example (dot) org, " * 20_000
+    began = time.process_time()
+    assert len(pii.hidden(text, pii.detect(text))) == 20_000 and time.process_time() - began < 30
