@@ -86,11 +86,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingles, simi
 
 
 def groups(own: DataFrame, docs: DataFrame, shingles, similarity: float = 0.8) -> DataFrame:
-    """``(sid, least)``: for each set of ``own(doc_id, th, *SIGNED)`` the least doc_id of its component.
+    """``(sid, root)``: for each set of ``own(th, *SIGNED)`` that has a similar one the least set of its component.
 
     ``th`` is the hash of a text of ``docs``, ``shingles`` the function from a text to its sorted hashes.
     """
-    sets = own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "keys", *(f"s{w}" for w in range(WORDS)))])
+    sets = own.where("sid is not null").groupBy("sid").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "keys", *(f"s{w}" for w in range(WORDS)))])
     sets = cut_lineage(sets)
     marks, bucket = sets.select("sid", "size", *(f"s{w}" for w in range(WORDS))), Window.partitionBy("key")
     shared = sets.select(F.explode("keys").alias("key"), "sid").select("key", "sid", F.count("*").over(bucket).alias("k"), F.min("sid").over(bucket).alias("star"))
@@ -106,6 +106,4 @@ def groups(own: DataFrame, docs: DataFrame, shingles, similarity: float = 0.8) -
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _near("x", "y", similarity))
     pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     second = _verified(pairs, sets, docs, shingles, similarity)
-    root = components(first.unionByName(second)).withColumnRenamed("node", "sid")
-    rooted = cut_lineage(sets.select("sid", "rep").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    return split_join(rooted.select("sid", "root"), rooted.groupBy("root").agg(F.min("rep").alias("least")), "root").select("sid", "least")
+    return components(first.unionByName(second)).withColumnRenamed("node", "sid")

@@ -154,11 +154,15 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _roots(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root)``: the least fingerprint that links reach, for each of the distinct ``fps(fp)`` that has a link."""
+    return components(links(fps, radius)).withColumnRenamed("node", "fp")
+
+
 def _component_ids(own: DataFrame, radius: int) -> DataFrame:
     """``(fp, component_id)``: the least doc_id that links reach from each fingerprint of ``own(doc_id, fp)``."""
     distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    root = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(_roots(distinct.select("fp"), radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return split_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
 
@@ -185,9 +189,11 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float
     """The rows of ``docs`` that stay: of each component the row with the least doc_id.
 
     Documents link if their fingerprints are within ``radius`` bits or their sets of word shingles
-    have a Jaccard similarity of ``similarity`` at least. Of repeated rows with that id one stays.
-    Rows with a null doc_id stay, as nothing tells them apart. All columns are returned, whatever
-    their names.
+    have a Jaccard similarity of ``similarity`` at least. A document is an id and a text: unlike
+    texts with one doc_id are documents of their own, alike ones go by the hash of the text, and of
+    rows with equal id and text one stays. Null, empty and blank texts have fingerprint zero and
+    count as alike. Rows with a null doc_id stay, as nothing tells them apart. All columns are
+    returned, whatever their names; an empty table gives no rows.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -202,9 +208,14 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     own = cut_lineage(map_batches(rows, each, f"doc_id long, th long, fp long, {resemblance.SIGNED}"))
     alike = resemblance.groups(own, docs, lambda t: shingle_set(t, words), similarity)
-    both = split_join(split_join(own.select("doc_id", "fp", "sid"), _component_ids(own, radius), "fp"), alike, "sid", "left")
-    both = cut_lineage(both.select("doc_id", "component_id", "least"))
-    root = components(both.select(F.col("component_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "component_id")
-    keep = split_join(both, root, "component_id", "left").where(F.col("doc_id") == F.coalesce("root", "component_id")).select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    root = _roots(own.select("fp").distinct(), radius).withColumnRenamed("root", "near")
+    both = split_join(own.select("doc_id", "th", "fp", "sid"), root, "fp", "left").withColumn("near", F.coalesce("near", "fp"))
+    both = split_join(both, alike, "sid", "left").select("doc_id", "th", "near", F.coalesce("root", "sid").alias("set"))
+    both = cut_lineage(both)
+    # components of both kinds: those by fingerprints, linked where they have documents of one set's component
+    edges = split_join(both.where("set is not null").select("near", "set"), both.where("set is not null").groupBy("set").agg(F.min("near").alias("least")), "set")
+    root = components(edges.select(F.col("near").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "near")
+    keep = split_join(both.where("doc_id is not null"), root, "near", "left").groupBy(F.coalesce("root", "near").alias("root")).agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay = held.where("id is not null").join(keep.select("k.doc_id", "k.th").withColumnRenamed("doc_id", "id"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    return stay.unionByName(held.where("id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

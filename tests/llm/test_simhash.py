@@ -87,6 +87,15 @@ def test_keep_one_and_empty(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_unlike_texts_of_one_id(spark):
+    """An id with two texts is two documents; columns may have dots and clash with those used inside."""
+    rows = [(1, "a b c d e f g", 5), (1, "quite another text with words of its own", 6), (2, "a b c d e f g", 7), (2, "a b c d e f g", 7), (3, None, 8), (4, "", 9), (5, " ", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `meta.src` int").withColumn("fp", F.lit(0)).withColumn("root", F.lit("r")).withColumn("row", F.lit(None).cast("int"))
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r["meta.src"]) for r in out.collect()) == [(1, 5), (1, 6), (3, 8)]
+
+
 def test_keep_one_against_all_jaccards(spark):
     """The pipeline's stage drops every copy with a Jaccard similarity of five-word shingles from 0.8."""
     rng, docs = random.Random(4), [(0, None), (1, ""), (2, " "), (None, "one row without an id")]
