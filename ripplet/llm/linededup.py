@@ -2,34 +2,44 @@
 
 A line's shingles are all its runs of ``SHINGLE`` UTF-8 bytes. One hash of each shingle gives the
 whole signature: the hash picks one of ``BANDS * ROWS`` bins, and each bin keeps its least hash.
-``ROWS`` bins make a band; lines that agree in a whole band share its bucket. A sketch of two bits
-a bin goes along and rules out pairs that agree in too few bins. What is left is checked by exact
-Jaccard similarity of the shingle sets. Links become components by distributed union-find, and of
-each component the first occurrence of a line is kept.
+``ROWS`` bins make a band; lines that agree in a whole band share its bucket. What shares a bucket
+is checked by exact Jaccard similarity of the shingle sets. Links become components by distributed
+union-find, and of each component the first occurrence of a line is kept.
+
+A long line's least hashes are small, so only hashes below a bound are looked at, which is set to
+leave about ``EXPECTED`` of them. If that leaves a bin empty, the line is signed by all its hashes:
+the signature is always that of the whole line.
 
 No bucket is compared pair by pair at once. First every line of a bucket is checked against the
-bucket's most frequent line only; the components of these links hold most of each large family.
-Then pairs are checked, but only those in a bucket whose lines are still in different components;
-a pair in one component could add nothing. So the components are those of all pairs. Bitmaps of
-the shingles' parities, which differ in no more bits than the sets in shingles, rule out most of
+bucket's most frequent line only, in large buckets then against some others; the components of
+these links hold most of each large family.
+Then pairs of the others are checked, but only those in a bucket whose lines are still in different
+components; a pair in one component could add nothing. So the components are those of all pairs.
+Bitmaps of the shingles, which differ in no more bits than the sets in shingles, rule out most of
 these pairs for certain before they are made.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.common import components, cut_lineage, split_join
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Shorter lines (bytes) are left alone.
+#: Shorter lines (bytes) have no fuzzy links; equal ones still count as one.
 SHORTEST = 20
-#: 64-bit words of a bitmap.
-WORDS = 32
-#: Bins of 24 whose two bits may differ. Of lines as similar as 0.8, one in ten thousand differs in more.
-DIFFERING = 10
+#: Hashes that a long line's signature looks at first.
+EXPECTED = 160
+#: 64-bit words of a bitmap; bytes of a line that are shingled at once.
+WORDS, CHUNK = 32, 4096
+#: Lines of a bucket from which more stars are tried before pairs, and how many.
+LARGE, STARS = 100, 2
+#: Slots of the hash map in front of an aggregation: a task's lines times bands shall find room.
+MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -39,109 +49,162 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line that is long enough: ``(ord, th, pos, line, id)``."""
+    """Every line that is not blank: ``(ord, th, pos, line, id)``."""
     found = _rows(docs).select("ord", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return found.where(F.octet_length("line") >= SHORTEST).withColumn("id", F.xxhash64("line"))
+    return found.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
-def _exploded(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each shingle of ``texts(*keep, line)``: ``(*keep, h)``."""
-    cut = texts.select(*keep, F.col("line").cast("binary").alias("data"))
+def _exploded(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each shingle of ``lines(*keep, line)``, repeats included: ``(*keep, h)``."""
+    cut = lines.select(*keep, F.col("line").cast("binary").alias("data"))
     each = cut.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - SHINGLE + 1)).alias("i"))
     return each.select(*keep, F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """In how many bins two sketches differ."""
-    x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
+def _signed(lines: DataFrame, bound: Column) -> DataFrame:
+    """``(id, whole, keys)``: the buckets of each line by its hashes below ``bound`` (of 2**56); ``whole`` if those by all hashes are the same.
 
-def _buckets(lines: DataFrame) -> DataFrame:
-    """``(key, id, n, sketch)``: each line in the bucket of each of its bands.
-
-    Each bin keeps the least of all the line's hashes in it, so lines with equal shingle sets have
-    equal signatures, however often a shingle repeats. An empty bin is a part of the signature too.
+    An empty bin counts as a value, an empty band has no bucket.
     """
-    hashed = _exploded(lines, ["id", "n"])
-    placed = hashed.select("id", "n", F.shiftrightunsigned("h", 8).alias("v"), F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin"))
-    placed = placed.select("id", "n", "v", F.expr(f"int(bin div {ROWS})").alias("band"), F.expr(f"bin % {ROWS}").alias("cell"))
-    least = placed.groupBy("id", "band").agg(*[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)], F.max("n").alias("n"))
-    bits = F.lit(0).cast("long")
-    for r in range(ROWS):
-        two = F.shiftrightunsigned(F.coalesce(f"m{r}", F.lit(0)), 20).bitwiseAND(F.lit(3))
-        bits = bits.bitwiseOR(F.call_function("shiftleft", two, (F.col("band") * ROWS + r) * 2))
+    hashed = _exploded(lines.withColumn("bound", bound.cast("long")), ["id", "bound"])
+    placed = hashed.select("id", "bound", F.shiftrightunsigned("h", 8).alias("v"), F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).where("v < bound")
+    placed = placed.select("id", "bound", "v", F.expr(f"int(bin div {ROWS})").alias("band"), F.expr(f"bin % {ROWS}").alias("cell"))
+    least = placed.groupBy("id", "band").agg(F.max("bound").alias("bound"), *[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
     key = F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(-1 - r).cast("long")) for r in range(ROWS)])
-    whole = least.select("id", "n", key.alias("key"), bits.alias("bits")).groupBy("id").agg(F.max("n").alias("n"), F.bit_or("bits").alias("sketch"), F.collect_list("key").alias("keys"))
-    return whole.select(F.explode("keys").alias("key"), "id", "n", "sketch")
+    full = F.greatest(*[F.col(f"m{r}").isNull() for r in range(ROWS)])
+    bands = least.select("id", "bound", "band", key.alias("key"), (~full).alias("full")).groupBy("id").agg(F.max("bound").alias("bound"), F.count_if("full").alias("full"), *[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
+    return bands.select("id", ((F.col("full") == BANDS) | (F.col("bound") >= 2**56)).alias("whole"), F.filter(F.array(*[f"k{b}" for b in range(BANDS)]), lambda k: k.isNotNull()).alias("keys"))
+
 
+def _signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables ``(id, keys)`` of the buckets of all lines; the first is persisted.
 
-def _bitmaps(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(id, size, w0, w1, …)``: the number of each line's distinct shingles, and their parities in ``64 * WORDS`` classes.
+    Lines with equal shingle sets have equal signatures, however often a shingle repeats.
+    """
+    spark, count = lines.sparkSession, F.octet_length("line") - SHINGLE + 1
+    slots = spark.conf.get(MAP_BITS, None)
+    spark.conf.set(MAP_BITS, "20")
+    try:
+        first = _signed(lines, F.lit(EXPECTED * 2.0**56) / count).persist(StorageLevel.MEMORY_AND_DISK)
+        whole = first.where("whole").select("id", "keys")
+        whole.agg(F.count("*")).collect()
+        rest = cut_lineage(_signed(lines.join(whole.select("id"), "id", "left_anti"), F.lit(2**56)).select("id", "keys"))
+    finally:
+        spark.conf.unset(MAP_BITS) if slots is None else spark.conf.set(MAP_BITS, slots)
+    return whole, rest
+
+
+def _shingles(line: str) -> Column:
+    """The distinct hashes of a line's shingles, in chunks, so that a long line is not copied for each."""
+    data = F.col(line).cast("binary")
+    chunks = F.transform(F.sequence(F.lit(1), F.octet_length(data) - SHINGLE + 1, F.lit(CHUNK - SHINGLE + 1)), lambda i: F.substring(data, i, F.lit(CHUNK)))
+    each = F.transform(chunks, lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.flatten(each))
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """``(id, size, bits)``: the number of each line's distinct shingles, and their parities in ``64 * WORDS`` classes.
 
     Sets that differ in d shingles have parities that differ in d classes at most.
     """
-    hashed = _exploded(lines.select("id", "line").join(ids, "id", "left_semi"), ["id"]).select("id", "h").distinct()
     bit = F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(64 * WORDS - 1))
-    words = hashed.select("id", F.shiftright(bit, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    words = words.groupBy("id", "w").agg(F.bit_xor("b").alias("b"), F.count("*").alias("size"))
-    return words.groupBy("id").agg(F.sum("size").alias("size"), *[F.coalesce(F.max(F.when(F.col("w") == k, F.col("b"))), F.lit(0)).alias(f"w{k}") for k in range(WORDS)])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = lines.select("id", F.explode(_shingles("line")).alias("h")).select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
+    words = words.groupBy("id", "w").agg(F.bit_xor("b").alias("b"), F.count("*").alias("n"))
+    wide = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.max(F.when(F.col("w") == k, F.col("b"))).alias(f"w{k}") for k in range(WORDS)])
+    return wide.select("id", "size", F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)]).alias("bits"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs ``(a, b)`` whose lines' shingle sets have this Jaccard similarity at least."""
-    texts = lines.select("id", "line")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    sides = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))).alias("s"))
-    held = _exploded(sides.select("a", "b", "s.side", "s.line"), ["a", "b", "side"]).groupBy("a", "b", "h").agg(F.bit_or("side").alias("in"))
-    counts = held.groupBy("a", "b").agg(F.count(F.when(F.col("in") == 3, 1)).alias("common"), F.count("*").alias("all"))
-    return counts.where(F.col("common") >= similarity * F.col("all")).select("a", "b")
+def _may(x: str, y: str, similarity: float) -> Column:
+    """Whether the sizes and bitmaps of ``x`` and ``y`` allow the similarity."""
+    sizes = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * (similarity - 1e-9)
+    off = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    return sizes & (off <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs(a, b, ...)`` whose lines' shingle sets have this Jaccard similarity at least."""
+    both = split_join(cut_lineage(pairs), texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = split_join(both, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    sets = both.select(*pairs.columns, _shingles("x").alias("x"), _shingles("y").alias("y"))
+    met = sets.select(*pairs.columns, F.size("x").alias("m"), F.size("y").alias("n"), F.explode(F.array(F.size(F.array_intersect("x", "y")))).alias("common"))  # exploded: the filter stays behind it
+    return met.where(F.col("common") * (1 + similarity) >= (F.col("m") + F.col("n")) * similarity - 1e-9).select(*pairs.columns)
+
+
+def _more_stars(marked: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``marked`` with the roots that more stars of large buckets lead to, and the links ``(a, b)`` found.
+
+    A family's first star may be a poor one. Each round takes another line of each bucket of
+    ``LARGE`` lines or more and checks the lines of other components against it.
+    """
+    links: list[DataFrame] = []
+    for k in range(STARS):
+        star = marked.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "size", "bits")).alias("y")).where(F.col("k") >= LARGE).select("key", "y")
+        met = split_join(marked.select("key", F.struct("id", "root", "size", "bits").alias("x")), star, "key").where((F.col("x.root") != F.col("y.root")) & _may("x", "y", similarity))
+        found = cut_lineage(_verified(met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.root").alias("to"), F.col("x.root").alias("from")).distinct(), texts, similarity))
+        if found.isEmpty():
+            break
+        links.append(found.select("a", "b"))
+        moved = components(found.select(F.col("from").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        marked = cut_lineage(split_join(marked, moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
+    return marked, links
 
 
 def _links(lines: DataFrame, similarity: float) -> DataFrame:
     """Components ``(node, root)`` of the lines that have a near-duplicate."""
-    bucket = Window.partitionBy("key")
-    shared = _buckets(lines).select("key", "id", "sketch", F.count("*").over(bucket).alias("k"), F.max(F.struct("n", "id", "sketch")).over(bucket).alias("star"))
-    shared = cut_lineage(shared.where("k > 1").drop("k"))
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    rays = shared.where((F.col("id") != F.col("star.id")) & (_differ(F.col("sketch"), F.col("star.sketch")) <= DIFFERING)).select(*pair(F.col("id"), F.col("star.id"))).distinct()
-    first = cut_lineage(_verified(rays, lines, similarity))
-    rooted = split_join(shared.select("key", "id", "sketch"), components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = cut_lineage(rooted.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo < hi").drop("lo", "hi"))
-    marked = cut_lineage(split_join(mixed, _bitmaps(mixed.select("id").distinct(), lines), "id"))  # both sides of the join below
+    whole, rest = _signatures(lines)
+    buckets = whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")
+    several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shared = cut_lineage(split_join(buckets, several, "key"))
+    whole.unpersist()
+    texts = cut_lineage(lines.join(shared.select("id").distinct(), "id", "left_semi"))
+    counted = split_join(shared, texts.select("id", "n"), "id")
+    star = counted.groupBy("key").agg(F.max(F.struct("n", "id")).alias("star")).select("key", F.col("star.id").alias("star"))
+    others = cut_lineage(split_join(shared, star, "key").where("id != star"))
+    rays = others.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
+    first = cut_lineage(_verified(rays, texts, similarity))
+    roots = cut_lineage(components(first))
+    rooted = split_join(others.select("key", "id"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = cut_lineage(rooted)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    mixed = cut_lineage(split_join(rooted, mixed, "key"))
+    bitmaps = _bitmaps(texts.join(mixed.select("id").distinct(), "id", "left_semi"))
+    marked, links = _more_stars(cut_lineage(split_join(mixed, bitmaps, "id")), texts, similarity)
     x, y = marked.alias("x"), marked.alias("y")
-    off = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(WORDS)), F.lit(0))
-    near = off <= (F.col("x.size") + F.col("y.size")) * ((1 - similarity) / (1 + similarity) + 1e-9)
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (_differ(F.col("x.sketch"), F.col("y.sketch")) <= DIFFERING)
-    second = _verified(x.join(y, same & near).select(*pair(F.col("x.id"), F.col("y.id"))).distinct(), lines, similarity)
-    return components(first.unionByName(second))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may("x", "y", similarity))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    links += [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), _verified(pairs, texts, similarity)]
+    return components(reduce(DataFrame.unionByName, links))
 
 
-def duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTEST) -> DataFrame:
     """``(ord, th, dropped)``: the line numbers, from 0, that a document loses; others are absent.
 
     Lines of one component, equal ones included, count as one; its first occurrence by doc_id and
-    line number stays. Rows with the same id and text are one document. Null texts have no lines.
+    line number stays. Blank lines stay; lines under ``shortest`` bytes count as one only if they
+    are equal. Rows with the same id and text are one document. Null texts have no lines. Unlike
+    lines whose first hashes are equal (about 3 in ten billion) are told apart by a second one and stay.
     """
     found = _occurrences(docs)
-    lines = found.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min(F.struct("ord", "pos", "th")).alias("first"))
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    roots = _links(lines, similarity)
+    lines = found.withColumn("h", F.hash("line")).groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    lines = lines.where("lo = hi").select("id", "line", "n").persist(StorageLevel.MEMORY_AND_DISK)
+    lines.agg(F.count("*")).collect()  # now its partitioning by id is known and saves shuffles
+    roots = _links(lines.where(F.octet_length("line") >= max(shortest, SHINGLE)), similarity)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
-    rooted = lines.select("id", "n", "first").join(roots, "id", "left").where("n > 1 or root is not null")
-    rooted = cut_lineage(rooted.select("id", "first", F.coalesce("root", "id").alias("root")))
+    rooted = lines.select("id", "n").join(roots, "id", "left").where("n > 1 or root is not null")
+    rooted = cut_lineage(rooted.select("id", F.coalesce("root", "id").alias("root")))
     lines.unpersist()
-    keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
-    kept = split_join(rooted.select("id", "root"), keep, "root").select("id", "keep")
-    lost = split_join(found.select("ord", "th", "pos", "id"), kept, "id").where(F.struct("ord", "pos", "th") != F.col("keep"))
+    held = cut_lineage(split_join(found.select("ord", "th", "pos", "id"), rooted, "id").select("ord", "pos", "th", "root"))
+    keep = held.groupBy("root").agg(F.min(F.struct("ord", "pos", "th")).alias("keep"))
+    lost = split_join(held, keep, "root").where(F.struct("ord", "pos", "th") != F.col("keep"))
     return lost.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
 def report(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, n_lines, n_dropped, dropped)`` for each row of ``docs(doc_id, text, ...)``; ``dropped`` lists line numbers from 0.
 
-    A null text has no line, an empty one a line of no length. Lines under ``SHORTEST`` bytes stay.
-    Repeated rows get equal results; null ids come after all others; an empty table gives no rows.
+    A null text has no line, an empty one a line of no length. Blank lines stay, and lines under
+    ``SHORTEST`` bytes but for equal ones. Repeated rows get equal results; null ids come after all others; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(text).alias("th"),

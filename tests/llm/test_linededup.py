@@ -12,14 +12,14 @@ def shingles(line):
 
 
 def slow(docs, similarity=0.8):
-    """Every pair of lines; the set of dropped (document, line number)."""
+    """Every pair of lines, those under 20 bytes only with equal ones; the set of dropped (document, line number)."""
     lines = {}
     for d, text in docs:
         for i, line in enumerate((text or "").split("\n")):
-            if len(line.encode()) >= 20:
+            if line.strip():
                 lines.setdefault(line, []).append((2**63 if d is None else d, text, i))
     names = list(lines)
-    sets, up = [shingles(x) for x in names], list(range(len(names)))
+    sets, up = [shingles(x) if len(x.encode()) >= 20 else set() for x in names], list(range(len(names)))
 
     def find(i):
         while up[i] != i:
@@ -29,7 +29,7 @@ def slow(docs, similarity=0.8):
     for i in range(len(names)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+            if a and b and min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
                 up[find(i)] = find(j)
     groups = {}
     for i, name in enumerate(names):
@@ -94,3 +94,22 @@ def test_repeat_counts_do_not_matter(spark):
         docs += [(6 * k + i, text) for i, text in enumerate([word * 1000, word * 900, chr(192 + k) * 300, chr(192 + k) * 400, passage * 10, passage * 2])]
     rows = linededup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id for r in rows if r.n_dropped} == {d for d, _ in docs if d % 2}
+
+
+def test_short_and_blank_lines(spark):
+    """Equal lines count as one at every length, but blank ones stay."""
+    df = spark.createDataFrame([(1, "Yes.\n\n \nYes."), (2, "Yes\n\n \nYes."), (3, "\u00e9"), (4, "\u00e9"), (5, None)], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in linededup.report(df).collect()} == {1: "3", 2: "3", 3: "", 4: "0", 5: ""}
+
+
+def test_a_bucket_of_many_unlike_lines(spark):
+    """Large families whose members differ too much from the most frequent line are still put together."""
+    rng, docs = random.Random(3), []
+    base = "".join(rng.choices("abcdefghijklm ", k=240))
+    for k in range(120):
+        at = (k % 6) * 40
+        variant = base[:at] + "".join(rng.choices("nopqrstu", k=20)) + base[at + 20 :]
+        docs += [(3 * k, variant), (3 * k + 1, variant[:-3] + "xyz"), (3 * k + 2, base)]
+    want = slow(docs)
+    got = {(r.doc_id, int(i)) for r in linededup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in r.dropped.split(",") if i}
+    assert got == {(d, i) for d, _, i in want} and want
