@@ -11,8 +11,7 @@ leave about ``EXPECTED`` of them. If that leaves a bin empty, the line is signed
 the signature is always that of the whole line.
 
 No bucket is compared pair by pair at once. First every line of a bucket is checked against the
-bucket's most frequent line only, in large buckets then against some others; the components of
-these links hold most of each large family.
+bucket's most frequent line only; the components of these links hold most of each large family.
 Then pairs of the others are checked, but only those in a bucket whose lines are still in different
 components; a pair in one component could add nothing. So the components are those of all pairs.
 Bitmaps of the shingles, which differ in no more bits than the sets in shingles, rule out most of
@@ -21,8 +20,6 @@ these pairs for certain before they are made.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +33,6 @@ SHORTEST = 20
 EXPECTED = 160
 #: 64-bit words of a bitmap; bytes of a line that are shingled at once.
 WORDS, CHUNK = 32, 4096
-#: Lines of a bucket from which more stars are tried before pairs, and how many.
-LARGE, STARS = 100, 2
 #: Slots of the hash map in front of an aggregation: a task's lines times bands shall find room.
 MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 
@@ -131,25 +126,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return met.where(F.col("common") * (1 + similarity) >= (F.col("m") + F.col("n")) * similarity - 1e-9).select(*pairs.columns)
 
 
-def _more_stars(marked: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
-    """``marked`` with the roots that more stars of large buckets lead to, and the links ``(a, b)`` found.
-
-    A family's first star may be a poor one. Each round takes another line of each bucket of
-    ``LARGE`` lines or more and checks the lines of other components against it.
-    """
-    links: list[DataFrame] = []
-    for k in range(STARS):
-        star = marked.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root", "size", "bits")).alias("y")).where(F.col("k") >= LARGE).select("key", "y")
-        met = split_join(marked.select("key", F.struct("id", "root", "size", "bits").alias("x")), star, "key").where((F.col("x.root") != F.col("y.root")) & _may("x", "y", similarity))
-        found = cut_lineage(_verified(met.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.root").alias("to"), F.col("x.root").alias("from")).distinct(), texts, similarity))
-        if found.isEmpty():
-            break
-        links.append(found.select("a", "b"))
-        moved = components(found.select(F.col("from").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        marked = cut_lineage(split_join(marked, moved, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
-    return marked, links
-
-
 def _links(lines: DataFrame, similarity: float) -> DataFrame:
     """Components ``(node, root)`` of the lines that have a near-duplicate."""
     whole, rest = _signatures(lines)
@@ -169,12 +145,11 @@ def _links(lines: DataFrame, similarity: float) -> DataFrame:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = cut_lineage(split_join(rooted, mixed, "key"))
     bitmaps = _bitmaps(texts.join(mixed.select("id").distinct(), "id", "left_semi"))
-    marked, links = _more_stars(cut_lineage(split_join(mixed, bitmaps, "id")), texts, similarity)
+    marked = cut_lineage(split_join(mixed, bitmaps, "id"))  # both sides of the join below
     x, y = marked.alias("x"), marked.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may("x", "y", similarity))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links += [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), _verified(pairs, texts, similarity)]
-    return components(reduce(DataFrame.unionByName, links))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, texts, similarity)))
 
 
 def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTEST) -> DataFrame:
