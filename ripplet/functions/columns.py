@@ -73,6 +73,17 @@ def pack_step(exponent: Column, mantissa: Column) -> Column:
     return F.shiftleft(exponent, 11).bitwiseOR(mantissa.bitwiseAND(F.lit(0x7FF)))
 
 
+def unpack_step(packed: Column) -> tuple[Column, Column]:
+    """Exponent and mantissa of a step size's 16-bit form."""
+    return F.shiftright(packed, 11), packed.bitwiseAND(F.lit(0x7FF))
+
+
+def colour_norm(comp: Column, reversible: Column) -> Column:
+    """The norm of a component of a colour transform; components past the third have none (1)."""
+    of = lambda table: F.coalesce(F.get(F.array(*map(F.lit, table)), comp.cast("int")), F.lit(1.0))
+    return F.when(reversible, of(NORMS_MCT)).otherwise(of(NORMS_MCT_REAL))
+
+
 def quantize(c: Column, step: Column) -> Column:
     return (F.signum(c.cast("double")) * F.floor(F.abs(c) / step)).cast("long")
 

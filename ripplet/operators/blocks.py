@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplet.functions.columns import bit_length
-from ripplet.operators.geometry import band_of
+from ripplet.operators.geometry import band_of, halved
 
 
-def in_blocks(coefficients: DataFrame, levels: int, cblk_w: int, cblk_h: int, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
-    """Each coefficient with its band, its block's place in the band and its own place in the block."""
-    size = Window.partitionBy(*plane)
-    data = coefficients.withColumns({"_w": F.max("x").over(size) + 1, "_h": F.max("y").over(size) + 1})
-    data = data.withColumn("b", band_of(levels, F.col("x"), F.col("y"), F.col("_w"), F.col("_h")))
+def in_blocks(coefficients: DataFrame, levels: int, cblk_w: int, cblk_h: int, size: tuple[str, str], plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
+    """Each coefficient of planes of a size, given as two expressions, with its band, its block's place in the band and its own place in the block."""
+    data = coefficients.withColumn("b", band_of(levels, F.col("x"), F.col("y"), *[F.expr(n).cast("long") for n in size]))
     bx, by = F.col("x") - F.col("b.x_off"), F.col("y") - F.col("b.y_off")
     return data.select(*plane, "b.band", "b.orient", (bx - bx % cblk_w).alias("cb_x"), (by - by % cblk_h).alias("cb_y"), (bx % cblk_w).alias("bx"), (by % cblk_h).alias("by"), "v")
 
@@ -59,12 +57,26 @@ def tag_tree(leaves: DataFrame, levels: int) -> DataFrame:
     return nodes.unionByName(above)
 
 
-def crop(samples: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
-    """The samples of a rectangle, from its own origin."""
+def tag_tree_sizes(grids: DataFrame) -> DataFrame:
+    """``grids(w, h, …)`` with the number of levels of a tag tree over ``w`` by ``h`` leaves, and of its nodes."""
+    side = F.greatest("w", "h")
+    grown = grids.withColumn("n_levels", F.when((F.col("w") < 1) | (F.col("h") < 1), 0).otherwise(bit_length(side - 1) + 1).cast("long"))
+    nodes = F.aggregate(F.sequence(F.lit(0), F.col("n_levels").cast("int") - 1), F.lit(0).cast("long"), lambda n, l: n + halved(F.col("w"), l) * halved(F.col("h"), l))
+    return grown.withColumn("n_nodes", F.when(F.col("n_levels") == 0, 0).otherwise(nodes).cast("long"))
+
+
+def crop(samples: DataFrame, x0: int, y0: int, x1: int, y1: int, dx: Column | int = 1, dy: Column | int = 1) -> DataFrame:
+    """The samples of a rectangle, from its own origin.
+
+    The rectangle is on the image's grid, of which a sample's component has every ``dx``-th column
+    and every ``dy``-th row; one that is cut by the edge belongs to it.
+    """
     if not (0 <= x0 < x1 and 0 <= y0 < y1):
         raise ValueError("an empty region")
-    inside = samples.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
-    return inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    for at, first, last, step in (("x", x0, x1, dx), ("y", y0, y1, dy)):
+        begin = F.floor(F.lit(first) / step)
+        samples = samples.where((F.col(at) >= begin) & (F.col(at) < F.ceil(F.lit(last) / step))).withColumn(at, F.col(at) - begin)
+    return samples
 
 
 def errors(pairs: DataFrame, peak: int = 255) -> DataFrame:

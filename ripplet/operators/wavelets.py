@@ -3,8 +3,8 @@
 A line is the samples with equal ``keys``, in the order of ``at``. A forward step leaves the low
 band in places 0 to n_low - 1 and the high band behind it. At the ends a half band's neighbour is
 the next nearest of its own: the sample after a missing left one, the one before a missing right
-one. All windows of a transform share one partitioning and order, so a line is shuffled and
-sorted once.
+one. All windows of a step share one partitioning and order, so a line is shuffled and sorted once
+for each step; a line is the largest unit that a task holds.
 """
 
 from __future__ import annotations
@@ -102,21 +102,35 @@ def inverse_97(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
 STEPS = {("53", False): forward_53, ("53", True): inverse_53, ("97", False): forward_97, ("97", True): inverse_97}
 
 
-def transform_2d(samples: DataFrame, levels: int, wavelet: str = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
+def sized(samples: DataFrame, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
+    """``samples`` with the size ``w, h`` of each plane.
+
+    The hash of the plane as one more join key keeps the shuffle of this join, which has a plane
+    in one place if the sizes are too many to send around, from being used by what follows.
+    """
+    found = samples.groupBy(*plane).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    left, right = (df.withColumn("_h", F.hash(*plane)) for df in (samples, found))
+    return left.join(right, [*plane, "_h"]).drop("_h")
+
+
+def transform_2d(samples: DataFrame, levels: int, wavelet: str = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
     """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
 
+    ``size`` has expressions of the width and height of a sample's plane, if they are known; else they are counted.
+
     A level works on the low band that the level before has left; each other sample is a line of its
     own, which stays as it is, so that all goes through one chain of windows. Every plane has its
     own size. For a lower resolution, transform the samples of its low band back by as many levels
     fewer.
     """
-    size = Window.partitionBy(*plane)
-    data = samples.select(*plane, "y", "x", "v", (F.max("x").over(size) + 1).alias("w"), (F.max("y").over(size) + 1).alias("h"))
+    if size is None:
+        samples, size = sized(samples, plane), ("w", "h")
+    data = samples.select(*plane, "y", "x", "v", F.expr(size[0]).cast("long").alias("_w"), F.expr(size[1]).cast("long").alias("_h"))
     step = STEPS[wavelet, inverse]
     for level in reversed(range(levels)) if inverse else range(levels):
-        inside = (F.col("x") < F.ceil(F.col("w") / (1 << level))) & (F.col("y") < F.ceil(F.col("h") / (1 << level)))
+        inside = (F.col("x") < F.ceil(F.col("_w") / (1 << level))) & (F.col("y") < F.ceil(F.col("_h") / (1 << level)))
         for at, other in (("y", "x"), ("x", "y")) if inverse else (("x", "y"), ("y", "x")):
             lined = data.withColumn("alone", F.when(inside, -1).otherwise(F.col(at))).withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(0))
-            done = step(lined, [*plane, "w", "h", other, "alone"], at)
+            done = step(lined, [*plane, "_w", "_h", other, "alone"], at)
             data = done.withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(F.col("alone"))).drop("alone")
     return data.select(*plane, "y", "x", "v")

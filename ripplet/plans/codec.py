@@ -18,6 +18,9 @@ from ripplet.sources import codestream
 from ripplet.sources.codestream import scan_blocks, scan_headers
 
 PLANE = ("image_id", "tile", "comp")
+#: A component of a tile with its size.
+TILE = (*PLANE, "tw", "th")
+SIZE = ("tw", "th")
 
 
 @dataclass(frozen=True)
@@ -37,17 +40,18 @@ class EncodeParams:
 
 
 def coefficients(samples: DataFrame, p: EncodeParams) -> DataFrame:
-    """``(image_id, tile, comp, y, x, v)``: shifted, colour-transformed and wavelet-transformed tiles, coordinates from each tile's origin."""
+    """``(*TILE, y, x, v)``: shifted, colour-transformed and wavelet-transformed tiles, coordinates from each tile's origin."""
     tw, th = p.tile_w or 1 << 30, p.tile_h or 1 << 30
-    size = samples.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("comp") + 1).alias("n"))
+    size = samples.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), (F.max("comp") + 1).alias("n"))
     across = F.ceil(F.col("w") / tw)
-    tiled = samples.join(size, "image_id").select(
-        "image_id", "n", (F.floor(F.col("y") / th) * across + F.floor(F.col("x") / tw)).cast("long").alias("tile"), "comp", (F.col("y") % th).alias("y"), (F.col("x") % tw).alias("x"),
+    left, right = (df.withColumn("_h", F.hash("image_id")) for df in (samples, size))  # as in wavelets.sized
+    tiled = left.join(right, ["image_id", "_h"]).select(
+        "image_id", "n", F.least(F.lit(tw), F.col("w") - F.col("x") + F.col("x") % tw).alias("tw"), F.least(F.lit(th), F.col("h") - F.col("y") + F.col("y") % th).alias("th"), (F.floor(F.col("y") / th) * across + F.floor(F.col("x") / tw)).cast("long").alias("tile"), "comp", (F.col("y") % th).alias("y"), (F.col("x") % tw).alias("x"),
         (F.col("v") - (0 if p.signed else 1 << (p.precision - 1))).alias("v"))
     if not p.lossless:
         tiled = tiled.withColumn("v", F.col("v").cast("float"))
-    data = _colour(tiled, rct_forward if p.lossless else ict_forward, F.col("n") >= 3, ["image_id", "tile", "n"])
-    data = transform_2d(data, p.levels, "53" if p.lossless else "97", plane=PLANE)
+    data = _colour(tiled, rct_forward if p.lossless else ict_forward, F.col("n") >= 3, ["image_id", "tile", "n", "tw", "th"])
+    data = transform_2d(data, p.levels, "53" if p.lossless else "97", plane=TILE, size=SIZE)
     return data if p.lossless else data.withColumn("v", F.round("v").cast("long"))
 
 
@@ -63,7 +67,7 @@ def _colour(data: DataFrame, transform, which: Column, keep: list[str]) -> DataF
 
 def coded_blocks(samples: DataFrame, p: EncodeParams) -> DataFrame:
     """Every code-block with its data; blocks are spread over the cluster by their place."""
-    placed = in_blocks(coefficients(samples, p), p.levels, p.cblk_w, p.cblk_h, PLANE)
+    placed = in_blocks(coefficients(samples, p), p.levels, p.cblk_w, p.cblk_h, SIZE, TILE)
     keys = [*PLANE, "band", "orient", "cb_x", "cb_y"]
     blocks = placed.groupBy(*keys).agg((F.max("bx") + 1).cast("int").alias("cb_w"), (F.max("by") + 1).cast("int").alias("cb_h"), F.sort_array(F.collect_list(F.struct("by", "bx", "v"))).alias("s"))
     blocks = blocks.withColumn("samples", F.expr("transform(s, p -> int(p.v))"))
@@ -101,22 +105,30 @@ def encode(samples: DataFrame, params: EncodeParams | None = None) -> DataFrame:
     return tiles.join(size, "image_id").mapInArrow(run, "image_id long, content binary")
 
 
-def decode(files: DataFrame, reduce: int = 0, region: tuple[int, int, int, int] | None = None, exact: bool = True) -> DataFrame:
-    """``samples(image_id, comp, y, x, v)`` of ``files(image_id, content)``; broken files give none (``scan_headers`` tells why).
+def decode(files: DataFrame, reduce: int = 0, region: tuple[int, int, int, int] | None = None, exact: bool = True, kinds: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """``samples(image_id, comp, y, x, v)`` of ``files(image_id, content)``; broken files give none (``decode_errors`` tells why).
 
     ``reduce`` drops so many of the finest levels, at most all; ``region`` = (x0, y0, x1, y1), at
-    full resolution only, gives that rectangle. Both leave out blocks and tiles before decoding.
+    full resolution only, gives that rectangle, or an error if it leaves the image. Both leave out
+    blocks and tiles before decoding. ``kinds`` names the levels, and whether they are reversible,
+    of all files; without it the headers are read first.
     """
     if region and (reduce or not (0 <= region[0] < region[2] and 0 <= region[1] < region[3])):
         raise ValueError("an empty region, or one of a reduced image")
-    kinds = scan_headers(files).where("error is null").select("header.levels", "header.reversible").distinct().collect()  # at most 66 rows
-    parts = [_decode_kind(files, k.levels, k.reversible, min(reduce, k.levels), region, exact) for k in kinds]
+    if kinds is None:
+        kinds = scan_headers(files).where("error is null").select("header.levels", "header.reversible").distinct().collect()  # at most 66 rows
+    parts = [_decode_kind(files, levels, reversible, min(reduce, levels), region, exact) for levels, reversible in kinds]
     if not parts:
         return files.sparkSession.createDataFrame([], "image_id long, comp int, y long, x long, v long")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return crop(out, *region) if region else out
+    return out
+
+
+def decode_errors(files: DataFrame, region: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``(image_id, error)`` for each file of which ``decode`` gives nothing: a broken header or payload, or a region that leaves the image."""
+    return scan_blocks(files, region=region).where("error is not null").select("image_id", "error")
 
 
 def _decode_kind(files: DataFrame, levels: int, reversible: bool, reduce: int, region, exact: bool) -> DataFrame:
@@ -132,17 +144,21 @@ def _decode_kind(files: DataFrame, levels: int, reversible: bool, reduce: int, r
         (F.col("cb_x") + F.when(F.col("kind").isin(0, 2), halved(F.col("w"), F.col("level"))).otherwise(0)).alias("px"),
         (F.col("cb_y") + F.when(F.col("kind").isin(1, 2), halved(F.col("ht"), F.col("level"))).otherwise(0)).alias("py"),
         halved(F.col("x0"), reduce).alias("x0"), halved(F.col("y0"), reduce).alias("y0"), F.col(f"{h}.mct").alias("mct"),
-        F.col(f"{h}.precisions").alias("precisions"), F.col(f"{h}.signed").alias("signed"))
-    keep = "image_id long, tile long, comp int, cb_w int, px long, py long, x0 long, y0 long, mct boolean, precisions array<int>, signed array<boolean>"
+        F.col(f"{h}.precisions").alias("precisions"), F.col(f"{h}.signed").alias("signed"), F.col(f"{h}.dx").alias("dx"), F.col(f"{h}.dy").alias("dy"),
+        halved(F.col("w"), reduce).alias("tw"), halved(F.col("ht"), reduce).alias("th"))
+    keep = "image_id long, tile long, comp int, cb_w int, px long, py long, x0 long, y0 long, mct boolean, precisions array<int>, signed array<boolean>, dx array<int>, dy array<int>, tw long, th long"
     spread = blocks.repartition("image_id", "tile", "comp", "px", "py")  # blocks are what takes time
     samples = decode_blocks(spread, keep, exact).select("*", F.posexplode("samples").alias("i", "v"))
     y, x = F.col("py") + F.floor(F.col("i") / F.col("cb_w")), F.col("px") + F.col("i") % F.col("cb_w")
-    tile = F.struct("x0", "y0", "mct", "precisions", "signed")
+    tile = F.struct("x0", "y0", "mct", "precisions", "signed", "dx", "dy", "tw", "th")
     placed = samples.select(*PLANE, tile.alias("about"), y.alias("y"), x.alias("x"), F.col("v").cast("long").alias("v"))
-    back = transform_2d(placed, levels - reduce, "53" if reversible else "97", inverse=True, plane=(*PLANE, "about"))
+    back = transform_2d(placed, levels - reduce, "53" if reversible else "97", inverse=True, plane=(*PLANE, "about"), size=("about.tw", "about.th"))
     if not reversible:
         back = back.withColumn("v", F.col("v").cast("float"))
     shown = _colour(back, rct_inverse if reversible else ict_inverse, F.col("about.mct"), ["image_id", "tile", "about"])
     shift = F.when(F.get("about.signed", F.col("comp")), 0).otherwise(F.call_function("shiftleft", F.lit(1), F.get("about.precisions", F.col("comp")) - 1))
     v = F.col("v") if reversible else F.round(F.col("v").cast("double"))
-    return shown.select("image_id", "comp", (F.col("y") + F.col("about.y0")).alias("y"), (F.col("x") + F.col("about.x0")).alias("x"), (v + shift).cast("long").alias("v"))
+    out = shown.select("image_id", "comp", (F.col("y") + F.col("about.y0")).alias("y"), (F.col("x") + F.col("about.x0")).alias("x"), (v + shift).cast("long").alias("v"), "about")
+    if region:
+        out = crop(out, *region, dx=F.get("about.dx", F.col("comp")), dy=F.get("about.dy", F.col("comp")))
+    return out.drop("about")

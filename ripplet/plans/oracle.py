@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplet.functions.columns import NORMS_53, NORMS_97
+from ripplet.functions.columns import NORMS_53, NORMS_97, NORMS_MCT, NORMS_MCT_REAL
 from ripplet.operators.geometry import ORDERS
 from ripplet.operators.wavelets import ALPHA, BETA, DELTA, GAMMA, K
 
@@ -120,6 +120,16 @@ FIVE = ["tt AS (SELECT image_id, comp, CASE WHEN x < 5 AND y < 5 THEN 0 WHEN y <
         "z AS (SELECT image_id, comp, tile, (max(x) + 2) // 2 AS lw, (max(y) + 2) // 2 AS lh FROM u GROUP BY ALL)",
         "bl AS (SELECT image_id, comp, tile, CASE WHEN x < lw AND y < lh THEN 0 WHEN y < lh THEN 1 WHEN x < lw THEN 2 ELSE 3 END AS band, max(x) - min(x) + 1 AS cb_w, max(y) - min(y) + 1 AS cb_h, max(abs(v)) AS m FROM u JOIN z USING (image_id, comp, tile) GROUP BY ALL)"]
 
+#: The image that a third vector completes.
+FILE = "(vec_id // 3)"
+STEPSIZES = sql(
+        """SELECT image_id, band, exponent, mantissa, (exponent << 11) | mantissa AS packed, round((1 + mantissa / 2048e0) * pow(2, exponent), 6) AS step
+ FROM (SELECT *, bits - (p - 13) AS exponent, (CASE WHEN p > 11 THEN s >> (p - 11) ELSE s << (11 - p) END) & 2047 AS mantissa FROM q3)""", SHAPES,
+        "q0 AS (SELECT image_id, levels + 1 AS num_res, 8 + image_id % 5 AS prec, image_id % 2 = 0 AS rev, band FROM s, (SELECT unnest(range(16)) AS band) WHERE band <= 3 * levels)",
+        "q1 AS (SELECT *, CASE WHEN band = 0 THEN 0 ELSE (band - 1) % 3 + 1 END AS o, num_res - 1 - CASE WHEN band = 0 THEN 0 ELSE (band - 1) // 3 + 1 END AS level FROM q0)",
+        f"q2 AS (SELECT *, prec + CASE WHEN NOT rev OR o = 0 THEN 0 WHEN o = 3 THEN 2 ELSE 1 END AS bits, CAST(floor(CASE WHEN rev THEN 1e0 ELSE 1e0 / {_norms(NORMS_97)} END * 8192) AS BIGINT) AS s FROM q1)",
+        "q3 AS (SELECT *, length(bin(s)) - 1 AS p FROM q2)")
+
 SQL = {
     "subband_stats": sql(f"SELECT image_id, CAST(comp AS BIGINT) AS comp, CAST({BAND1} AS BIGINT) AS band, max(abs(v)) AS max_abs, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM u GROUP BY ALL", RGB, RCT, LONG.format("rct"), transform("t", "u", 1, "image_id, comp")),
     "dc_shift": sql("SELECT image_id, y, x, v - 128 AS v FROM g", GRAY),
@@ -153,13 +163,7 @@ SQL = {
     "quantize_band": sql(f"SELECT image_id, y, x, {QUANT} AS q FROM t", *COEFFICIENTS),
     "dequantize_band": sql(f"SELECT image_id, y, x, CASE WHEN q = 0 THEN 0 ELSE CAST(round(sign(q) * (abs(q) + 0.5) * ({STEP})) AS BIGINT) END AS v FROM (SELECT *, {QUANT} AS q FROM t)", *COEFFICIENTS),
     "no_quantize": sql("SELECT image_id, y, x, v >> 2 AS v FROM t", *COEFFICIENTS),
-    "stepsizes": sql(
-        """SELECT image_id, band, exponent, mantissa, (exponent << 11) | mantissa AS packed, round((1 + mantissa / 2048e0) * pow(2, exponent), 6) AS step
- FROM (SELECT *, bits - (p - 13) AS exponent, (CASE WHEN p > 11 THEN s >> (p - 11) ELSE s << (11 - p) END) & 2047 AS mantissa FROM q3)""", SHAPES,
-        "q0 AS (SELECT image_id, levels + 1 AS num_res, 8 + image_id % 5 AS prec, image_id % 2 = 0 AS rev, band FROM s, (SELECT unnest(range(16)) AS band) WHERE band <= 3 * levels)",
-        "q1 AS (SELECT *, CASE WHEN band = 0 THEN 0 ELSE (band - 1) % 3 + 1 END AS o, num_res - 1 - CASE WHEN band = 0 THEN 0 ELSE (band - 1) // 3 + 1 END AS level FROM q0)",
-        f"q2 AS (SELECT *, prec + CASE WHEN NOT rev OR o = 0 THEN 0 WHEN o = 3 THEN 2 ELSE 1 END AS bits, CAST(floor(CASE WHEN rev THEN 1e0 ELSE 1e0 / {_norms(NORMS_97)} END * 8192) AS BIGINT) AS s FROM q1)",
-        "q3 AS (SELECT *, length(bin(s)) - 1 AS p FROM q2)"),
+    "stepsizes": STEPSIZES,
     "band_norms": sql(f"SELECT image_id, CAST(band AS BIGINT) AS band, {_norms(NORMS_53)} AS norm_53, {_norms(NORMS_97)} AS norm_97 FROM (SELECT *, list_position(['LL', 'HL', 'LH', 'HH'], orient) - 1 AS o FROM b)", SHAPES, BANDS),
     "lsb_compat": sql(f"SELECT image_id, y, x, {COMPAT} AS v FROM t", *COEFFICIENTS),
     "compat_decode": sql("SELECT image_id, y, x, v + 128 AS v FROM u", *COMPAT_DECODE),
@@ -180,6 +184,17 @@ SQL = {
     "region_decode": sql("SELECT image_id, y - 1 AS y, x - 2 AS x, c0, c1, c2 FROM rgb WHERE x >= 2 AND x < 4 AND y >= 1 AND y < 6", RGB),
     "reduced_decode": sql("SELECT image_id, y, x, v + 128 AS v FROM t WHERE x < 4 AND y < 4", GRAY, "k AS (SELECT image_id, y, x, v - 128 AS v FROM g)", transform("k", "t", 1)),
     "file_headers": "SELECT DISTINCT vec_id // 3 AS image_id, 8::BIGINT AS width, 8::BIGINT AS height, 5::BIGINT AS tile_w, 5::BIGINT AS tile_h, 3::BIGINT AS n_comps, 1::BIGINT AS layers, 2::BIGINT AS levels, 64::BIGINT AS cblk_w, 64::BIGINT AS cblk_h, 0::BIGINT AS quant_style, true AS mct, true AS reversible, 7::BIGINT AS n_steps FROM embeddings WHERE vec_id % 3 = 2",
+    "stepsizes_unpacked": sql("SELECT image_id, band, packed >> 11 AS exponent, packed & 2047 AS mantissa FROM u", f"u AS ({STEPSIZES})"),
+    "colour_norms": sql(f"SELECT image_id, comp, coalesce(CASE WHEN image_id % 2 = 0 THEN {NORMS_MCT}[comp + 1] ELSE {NORMS_MCT_REAL}[comp + 1] END, 1.0)::DOUBLE AS norm FROM s, (SELECT unnest(range(4)) AS comp) WHERE comp <= image_id % 4", SHAPES),
+    "tagtree_sizes": sql("""SELECT image_id, w, h, count(*) AS n_levels, CAST(sum(lw * lh) AS BIGINT) AS n_nodes
+ FROM (SELECT *, CAST(ceil(w / pow(2, l)) AS BIGINT) AS lw, CAST(ceil(h / pow(2, l)) AS BIGINT) AS lh FROM n, (SELECT unnest(range(12)) AS l) WHERE l = 0 OR pow(2, l - 1) < greatest(w, h)) GROUP BY image_id, w, h""",
+                         SHAPES, "n AS (SELECT image_id, (w + cblk_w - 1) // cblk_w AS w, (h + cblk_h - 1) // cblk_h AS h FROM s)"),
+    "file_colours": f"SELECT {FILE} AS image_id, 8::BIGINT AS height, 8::BIGINT AS width, 3::BIGINT AS n_comps, 7::BIGINT AS bpc, 1::BIGINT AS method, 16::BIGINT AS enum_cs FROM embeddings WHERE vec_id % 3 = 2",
+    "file_capabilities": f"SELECT {FILE} AS image_id, {FILE} % 2 = 1 AS high_throughput FROM embeddings WHERE vec_id % 3 = 2",
+    "file_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 2 AND {FILE} % 3 = 1",
+    "region_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 2",
+    "region_subsampled": sql("""SELECT image_id, comp::BIGINT AS comp, y // d - 1 // d AS y, x // d - 3 // d AS x, v FROM (SELECT *, CASE WHEN comp = 0 THEN 1 ELSE 2 END AS d FROM t)
+ WHERE x % d = 0 AND y % d = 0 AND x // d >= 3 // d AND x // d < (6 + d - 1) // d AND y // d >= 1 // d AND y // d < (7 + d - 1) // d""", RGB, LONG.format("rgb")),
     "file_boxes": """SELECT vec_id // 3 AS image_id, b.type AS "type", CAST(b.o AS BIGINT) AS "offset", CAST(b.l AS BIGINT) AS length, b.parent AS parent FROM embeddings,
  (SELECT unnest([{'type': 'jP  ', 'o': 8, 'l': 4, 'parent': ''}, {'type': 'ftyp', 'o': 20, 'l': 12, 'parent': ''}, {'type': 'jp2h', 'o': 40, 'l': 37, 'parent': ''}, {'type': 'ihdr', 'o': 48, 'l': 14, 'parent': 'jp2h'}, {'type': 'colr', 'o': 70, 'l': 7, 'parent': 'jp2h'}, {'type': 'jp2c', 'o': 85, 'l': NULL, 'parent': ''}]) AS b) WHERE vec_id % 3 = 2""",
     "t2_packets": sql(f"""SELECT image_id, CAST(comp AS BIGINT) AS comp, CAST(band AS BIGINT) AS band, CAST(0 AS BIGINT) AS k, CAST({PLANES} AS BIGINT) AS planes, CAST(CASE WHEN m = 0 THEN 0 ELSE 3 * length(bin(m)) - 2 END AS BIGINT) AS num_passes FROM bl""", *CODED),

@@ -11,6 +11,8 @@ from ripplet.plans import codec
 from ripplet.sources import codestream, samples
 
 LINE = ["image_id", "comp", "y"]
+#: The size of an image of one vector.
+EIGHT = ("8", "8")
 
 
 def _shifted(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,8 +26,8 @@ def _coloured(spark: SparkSession, sf: str) -> DataFrame:
 
 def subband_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Colour transform, one wavelet level, and per subband the largest magnitude, the sum and the count."""
-    data = wavelets.transform_2d(samples.long_form(_coloured(spark, sf)), 1)
-    placed = blocks.in_blocks(data, 1, 64, 64)
+    data = wavelets.transform_2d(samples.long_form(_coloured(spark, sf)), 1, size=EIGHT)
+    placed = blocks.in_blocks(data, 1, 64, 64, EIGHT)
     return placed.groupBy("image_id", F.col("comp").cast("long").alias("comp"), "band").agg(F.max(F.abs("v")).alias("max_abs"), F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
@@ -63,7 +65,7 @@ def dwt53_1d_inverse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dwt53_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(samples.gray(spark, sf), 1).select("image_id", "y", "x", "v")
+    return wavelets.transform_2d(samples.gray(spark, sf), 1, size=EIGHT).select("image_id", "y", "x", "v")
 
 
 def dwt53_multilevel(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +73,9 @@ def dwt53_multilevel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dwt53_multilevel_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(wavelets.transform_2d(samples.wide(spark, sf), 3), 3, inverse=True).select("image_id", "y", "x", "v")
+    plane, size = ("image_id", "comp", "w", "h"), ("w", "h")
+    data = wavelets.transform_2d(wavelets.sized(samples.wide(spark, sf)), 3, plane=plane, size=size)
+    return wavelets.transform_2d(data, 3, inverse=True, plane=plane, size=size).select("image_id", "y", "x", "v")
 
 
 def dwt97_1d(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,19 +83,20 @@ def dwt97_1d(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dwt97_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    data = wavelets.transform_2d(wavelets.transform_2d(samples.gray(spark, sf), 2, "97"), 2, "97", inverse=True)
+    data = wavelets.transform_2d(wavelets.transform_2d(samples.gray(spark, sf), 2, "97", size=EIGHT), 2, "97", inverse=True, size=EIGHT)
     return data.select("image_id", "y", "x", F.round("v", 6).alias("v"))
 
 
 def resolution_decode(spark: SparkSession, sf: str) -> DataFrame:
     """The image at half size: three levels forward, two of them back on the low band."""
-    low = wavelets.transform_2d(samples.gray(spark, sf), 3).where("x < 4 and y < 4")
-    return wavelets.transform_2d(low, 2, inverse=True).select("image_id", "y", "x", "v")
+    low = wavelets.transform_2d(samples.gray(spark, sf), 3, size=EIGHT).where("x < 4 and y < 4")
+    return wavelets.transform_2d(low, 2, inverse=True, size=("4", "4")).select("image_id", "y", "x", "v")
 
 
 def block_numbps(spark: SparkSession, sf: str) -> DataFrame:
-    data = wavelets.transform_2d(samples.wide(spark, sf), 1)
-    return blocks.bit_planes(blocks.in_blocks(data, 1, 16, 16)).select("image_id", "band", "cb_x", "cb_y", "numbps", "n")
+    plane, size = ("image_id", "comp", "w", "h"), ("w", "h")
+    data = wavelets.transform_2d(wavelets.sized(samples.wide(spark, sf)), 1, plane=plane, size=size)
+    return blocks.bit_planes(blocks.in_blocks(data, 1, 16, 16, size, plane)).select("image_id", "band", "cb_x", "cb_y", "numbps", "n")
 
 
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +155,7 @@ def tagtree_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(samples.gray(spark, sf).withColumn("v", (F.col("v") - 128) * 16), 1).select("image_id", "y", "x", "v")
+    return wavelets.transform_2d(samples.gray(spark, sf).withColumn("v", (F.col("v") - 128) * 16), 1, size=EIGHT).select("image_id", "y", "x", "v")
 
 
 def quantize_band(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,8 +189,8 @@ def lsb_compat(spark: SparkSession, sf: str) -> DataFrame:
 
 def compat_decode(spark: SparkSession, sf: str) -> DataFrame:
     """What coding and decoding with the lost last bit makes of the images, without the coder."""
-    data = wavelets.transform_2d(dc_shift(spark, sf).withColumn("comp", F.lit(0)), 2).withColumn("v", C.lsb_compat(F.col("v")))
-    return wavelets.transform_2d(data, 2, inverse=True).select("image_id", "y", "x", (F.col("v") + 128).alias("v"))
+    data = wavelets.transform_2d(dc_shift(spark, sf).withColumn("comp", F.lit(0)), 2, size=EIGHT).withColumn("v", C.lsb_compat(F.col("v")))
+    return wavelets.transform_2d(data, 2, inverse=True, size=EIGHT).select("image_id", "y", "x", (F.col("v") + 128).alias("v"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,22 +260,22 @@ def tile_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 def j2k_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Encode in 5x5 tiles and decode."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k")))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k"), kinds=[(2, True)]))
 
 
 def jp2_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2)))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=2), kinds=[(2, True)]))
 
 
 def region_decode(spark: SparkSession, sf: str) -> DataFrame:
     """A rectangle of tiled files; tiles outside are not decoded."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=1, tile_w=4, tile_h=4), region=(2, 1, 4, 6)))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=1, tile_w=4, tile_h=4), region=(2, 1, 4, 6), kinds=[(1, True)]))
 
 
 def reduced_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Files of gray images at half size; the finest bands are not decoded."""
     files = codec.encode(samples.gray(spark, sf), codec.EncodeParams(levels=3))
-    return codec.decode(files, reduce=1).select("image_id", "y", "x", "v")
+    return codec.decode(files, reduce=1, kinds=[(3, True)]).select("image_id", "y", "x", "v")
 
 
 def file_headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,7 +297,61 @@ def t2_packets(spark: SparkSession, sf: str) -> DataFrame:
     return packets.contributions(packed, keys).select("image_id", F.col("comp").cast("long").alias("comp"), "band", "k", "planes", "num_passes")
 
 
+def stepsizes_unpacked(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponents and mantissas from the 16-bit form of the step sizes."""
+    exponent, mantissa = C.unpack_step(F.col("packed"))
+    return stepsizes(spark, sf).select("image_id", "band", exponent.alias("exponent"), mantissa.alias("mantissa"))
+
+
+def colour_norms(spark: SparkSession, sf: str) -> DataFrame:
+    """The norms of both colour transforms for up to four components of each part's image."""
+    each = samples.shapes(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("image_id") % 4)).alias("comp"))
+    return each.select("image_id", "comp", C.colour_norm(F.col("comp"), F.col("image_id") % 2 == 0).alias("norm"))
+
+
+def tagtree_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels and nodes of a tag tree over each part's code-blocks."""
+    s = samples.shapes(spark, sf).select("image_id", C.ceil_div(F.col("w"), F.col("cblk_w")).alias("w"), C.ceil_div(F.col("h"), F.col("cblk_h")).alias("h"))
+    return blocks.tag_tree_sizes(s).select("image_id", "w", "h", "n_levels", "n_nodes")
+
+
+def file_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Image header and colour boxes of the containers."""
+    found = codestream.scan_colours(_files(spark, sf, levels=1)).where("error is null")
+    return found.select("image_id", "height", "width", *[F.col(c).cast("long").alias(c) for c in ("n_comps", "bpc", "method", "enum_cs")])
+
+
+def file_capabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Which files ask for high-throughput blocks; every other one is marked so in its coding style."""
+    files = _files(spark, sf, levels=1, format="j2k")
+    marked = F.concat(F.substring("content", 1, 63), F.unhex(F.lit("40")), F.substring(F.col("content"), F.lit(65), F.octet_length("content")))
+    files = files.withColumn("content", F.when(F.col("image_id") % 2 == 1, marked).otherwise(F.col("content")))
+    return codestream.scan_headers(files).select("image_id", F.col("header.high_throughput").alias("high_throughput"))
+
+
+def file_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third file is cut off in its last tile: the kinds of errors that decoding meets."""
+    files = _files(spark, sf, levels=1, tile_w=5, tile_h=5, format="j2k")
+    cut = F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 40)
+    files = files.withColumn("content", F.when(F.col("image_id") % 3 == 1, cut).otherwise(F.col("content")))
+    return codec.decode_errors(files).select("image_id", F.split("error", ":")[0].alias("kind"))
+
+
+def region_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A region that leaves the images."""
+    return codec.decode_errors(_files(spark, sf, levels=1, tile_w=5, tile_h=5), region=(4, 4, 20, 20)).select("image_id", F.split("error", ":")[0].alias("kind"))
+
+
+def region_subsampled(spark: SparkSession, sf: str) -> DataFrame:
+    """A rectangle of images whose second and third component have every second row and column."""
+    step = F.when(F.col("comp") == 0, 1).otherwise(2)
+    planes = samples.long_form(samples.rgb(spark, sf)).where((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    planes = planes.withColumns({"x": F.floor(F.col("x") / step), "y": F.floor(F.col("y") / step)})
+    return blocks.crop(planes, 3, 1, 6, 7, step, step).select("image_id", F.col("comp").cast("long").alias("comp"), "y", "x", "v")
+
+
 QUERIES = [
+    stepsizes_unpacked, colour_norms, tagtree_sizes, file_colours, file_capabilities, file_errors, region_errors, region_subsampled,
     subband_stats, dc_shift, rct_forward, rct_inverse, ict_forward, ict_roundtrip, dwt53_1d, dwt53_1d_inverse, dwt53_2d, dwt53_multilevel, dwt53_multilevel_inverse, dwt97_1d, dwt97_roundtrip,
     resolution_decode, block_numbps, tile_grid, resolution_sizes, subband_layout, band_dimensions, codeblock_grid, codeblock_count, packet_counts, tagtree_min, tagtree_roundtrip, quantize_band,
     dequantize_band, no_quantize, stepsizes, band_norms, lsb_compat, compat_decode, psnr, max_abs_error, region_crop, zc_contexts, sc_contexts, parameter_columns, detect_format, cblk_roundtrip,

@@ -228,7 +228,7 @@ def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[
     """Every code-block of ``files(image_id, content)`` with its file's header; a broken file gives one row with an error.
 
     Blocks of bands finer than ``levels_kept`` resolutions, and tiles outside ``region`` (x0, y0,
-    x1, y1), are left out here, before anything is decoded.
+    x1, y1), are left out here, before anything is decoded. A region that leaves the image is an error.
     """
     arrow = to_arrow(BLOCKS)
 
@@ -240,6 +240,8 @@ def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[
                     data = unwrap(content or b"")
                     header, at = main_header(data)
                     across = -(-header["width"] // header["tile_w"])
+                    if region and (region[2] > header["width"] or region[3] > header["height"]):
+                        raise OutOfBounds(f"region {region} of an image of {header['width']} by {header['height']}")
                     for tile, payload in tile_parts(data, at):
                         x0, y0 = tile % across * header["tile_w"], tile // across * header["tile_h"]
                         if region and not (x0 < region[2] and region[0] < x0 + header["tile_w"] and y0 < region[3] and region[1] < y0 + header["tile_h"]):
@@ -267,3 +269,31 @@ def scan_boxes(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return files.select("image_id", "content").mapInArrow(run, schema)
+
+
+COLOUR = "image_id long, height long, width long, n_comps int, bpc int, method int, enum_cs long, icc_length int, error string"
+
+
+def scan_colours(files: DataFrame) -> DataFrame:
+    """The image header and colour boxes of container files, in the columns of ``COLOUR``; an error if one is missing or broken. Other files give no row."""
+    arrow = to_arrow(COLOUR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if content and content[4:8] == b"jP  ":
+                    row = {"image_id": name}
+                    try:
+                        found = {kind: content[at : at + n] for kind, at, n, _, parent in boxes(content) if parent == "jp2h"}
+                        if not {"ihdr", "colr"} <= found.keys():
+                            raise InvalidData("no image header or colour box")
+                        row |= image_header(found["ihdr"]) | colour(found["colr"])
+                        row["icc_length"] = None if row["icc"] is None else len(row["icc"])
+                    except CodecError as e:
+                        row = {"image_id": name, "error": f"{type(e).__name__}: {e}"}
+                    rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in arrow.names} for r in rows], arrow)
+
+    return files.select("image_id", "content").mapInArrow(run, COLOUR)

@@ -1,3 +1,4 @@
+import re
 import math
 import random
 import struct
@@ -169,30 +170,6 @@ def test_arithmetic_coder(decisions):
     assert [reader.code(ctx) for ctx, _ in decisions] == [b for _, b in decisions]
 
 
-@given(st.lists(st.tuples(st.integers(0, 18), st.integers(0, 1)), max_size=400))
-@settings(max_examples=100, deadline=None)
-def test_marked_and_resilient_ends(decisions):
-    coder = entropy.Writer()
-    for ctx, bit in decisions:
-        coder.code(ctx, bit)
-    coder.mark()
-    reader = entropy.Reader(coder.finish_resilient())
-    assert [reader.code(ctx) for ctx, _ in decisions] == [b for _, b in decisions]
-    assert [reader.code(entropy.UNIFORM) for _ in range(4)] == [1, 0, 1, 0]
-
-
-@given(st.lists(st.integers(0, 1), max_size=200), st.booleans(), st.booleans())
-@settings(max_examples=200, deadline=None)
-def test_raw_bits(bits, ones, resilient):
-    bits = [1] * 24 + bits if ones else bits
-    writer = entropy.RawWriter()
-    for b in bits:
-        writer.put(b)
-    data = writer.finish(resilient)
-    reader = entropy.RawReader(data)
-    assert [reader.get() for _ in bits] == bits and all(b < 0x80 for a, b in zip(data, data[1:]) if a == 0xFF)
-
-
 @given(st.lists(st.tuples(st.booleans(), st.integers(0, 255), st.integers(1, 164), st.binary(max_size=400)), max_size=6), st.booleans(), st.booleans())
 @settings(max_examples=200, deadline=None)
 def test_packets(contributions, sop, eph):
@@ -293,3 +270,36 @@ def test_files_and_stream(spark, tmp_path):
     heads = streaming.header_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("heads").outputMode("append").trigger(availableNow=True).start()
     heads.awaitTermination()
     assert spark.sql("select count(*) from heads where header.width = 16 and error is null").first()[0] == 2
+
+
+def test_no_step_has_a_whole_image_in_one_task(spark):
+    """No shuffle of a wavelet transform goes by the image alone, with sizes counted or given."""
+    rows = spark.range(64).selectExpr("id div 64 as image_id", "0 as comp", "id div 8 as y", "id % 8 as x", "id as v")
+    for size in (None, ("8", "8")):
+        plan = wavelets.transform_2d(rows, 2, size=size)._jdf.queryExecution().executedPlan().toString()
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        lines = [k for k in keys if "alone" in k]
+        assert lines and all(re.search(r"\b[xy]#", k) for k in lines)
+
+
+def test_errors_of_decoding_have_rows(spark):
+    """A cut file and a region that leaves the image give an error and no samples; whole files are not touched."""
+    rows = spark.range(128).selectExpr("id div 64 as image_id", "0 as comp", "(id % 64) div 8 as y", "id % 8 as x", "id as v")
+    files = codec.encode(rows, codec.EncodeParams(levels=1, format="j2k")).collect()
+    broken = spark.createDataFrame([(f.image_id, bytes(f.content[:-20]) if f.image_id else bytes(f.content)) for f in files], "image_id long, content binary")
+    assert [(r.image_id, r.error.split(":")[0]) for r in codec.decode_errors(broken).collect()] == [(1, "OutOfBounds")]
+    assert {r.image_id for r in codec.decode(broken).collect()} == {0}
+    whole = spark.createDataFrame([(f.image_id, bytes(f.content)) for f in files], "image_id long, content binary")
+    assert codec.decode(whole, region=(4, 4, 20, 20)).count() == 0 and codec.decode_errors(whole, region=(4, 4, 20, 20)).count() == 2
+    assert codec.decode_errors(whole, region=(4, 4, 8, 8)).count() == 0 and codec.decode(whole, region=(4, 4, 8, 8)).count() == 32
+
+
+def test_steps_and_colour_boxes(spark):
+    row = spark.range(1).select(*C.unpack_step(F.lit(13 << 11 | 517))).first()
+    assert tuple(row) == (13, 517)
+    icc = bytes(range(256))
+    header = {"precisions": [8], "signed": [False], "height": 3, "width": 5, "n_comps": 1}
+    files = spark.createDataFrame([(0, codestream.wrap(b"", header, icc)), (1, codestream.wrap(b"", header)), (2, codestream.wrap(b"", header)[:50]), (3, b"\xff\x4f\xff\x51"), (4, None)], "image_id long, content binary")
+    found = {r.image_id: r for r in codestream.scan_colours(files).collect()}
+    assert found.keys() == {0, 1, 2} and (found[0].method, found[0].icc_length, found[0].height, found[0].width) == (2, 256, 3, 5)
+    assert (found[1].method, found[1].enum_cs) == (1, 17) and found[2].error and found[2].height is None
