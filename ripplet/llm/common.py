@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,10 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return salted[0].join(salted[1], [key, "_h"], how).drop("_h")
 
 
+#: Links that one task of a union-find round reads, 16 bytes each.
+LINKS_A_TASK = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, root)``, root the least id.
 
@@ -61,6 +65,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     each node's links to the least neighbour it knows, and the rounds end when no link moves.
     Nodes without a link to another node are absent. Self-loops, repeated and null links are
     allowed and have no effect. Each round is checkpointed; the driver sees one row of totals.
+    A round reads its links with tasks in proportion to their number; few links make one task,
+    between whose steps no files of shuffles are needed.
     """
     clean = edges.where(F.col("a") != F.col("b"))
     links = cut_lineage(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -68,12 +74,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        parent = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = split_join(large, parent, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut_lineage(small.unionByName(parent.withColumnRenamed("m", "b")).distinct())
+        tasks = 1 + before[0] // LINKS_A_TASK
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = links.coalesce(tasks).select(F.explode(ways).alias("way")).select("way.a", "way.b")
+        large = _with_least(both, tasks).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        ways = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = _with_least(large, tasks).select(F.explode(ways).alias("way")).select("way.a", "way.b")
+        links = cut_lineage(small.where("a != b").distinct())
         after = _totals(links)
         if after == before:
             break
@@ -83,5 +90,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_least(links: DataFrame, tasks: int) -> DataFrame:
+    """``links(a, b)`` with the least ``b`` of each ``a`` as ``m``: by a window in one task, by a join that splits hot nodes in several."""
+    if tasks == 1:
+        return links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return split_join(links, links.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
 def _totals(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first())
