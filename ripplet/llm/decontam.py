@@ -4,9 +4,10 @@ Words become template tokens: numbers, names (capitalised words inside a sentenc
 is one) and units after a number turn into typed placeholders, all else into lower-case literals
 without marks. Windows of template tokens of documents and items meet in a hash join. Where they
 match, the placeholders' values are paired up; along one alignment every value of the item must
-stand for one value of the document. So a question with other numbers or names is caught, and
-windows that share a template by chance with mixed-up values are not counted. A document is
-contaminated by an item if it holds at least ``coverage`` of the item's windows.
+stand for one value of the document, or only windows without values count. So a question with other numbers
+or names is caught, and windows that share a template by chance with mixed-up values are not
+counted. Windows of few literals say too little as templates and match only with equal values. A
+document is contaminated by an item if it holds at least ``coverage`` of the item's windows.
 
 Documents' windows are joined only if a bitmap of fixed size, built from the items, may hold them.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ripplet.llm.common import cut_lineage, map_batches
 
+#: Tokens of a window; literals from which on it matches with other values too.
 WINDOW, LITERALS = 8, 4
 #: Bits of the bitmap, a power of two; words that a task remembers.
 BITS, CACHE = 1 << 26, 600_000
@@ -85,18 +87,21 @@ class Templates:
         self.kind[at], self.ends[at], self.value[at] = kind, word[-1] in ".!?", xxhash.xxh64_intdigest(low.encode())
 
 
-def windows(kind: np.ndarray, template: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of one length that have enough literals."""
+def windows(kind: np.ndarray, template: np.ndarray, value: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all windows of one length, in order; the values count in those with few literals."""
     n = len(kind) - length + 1
     if n <= 0 or not length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     count = np.cumsum(np.r_[0, kind == LITERAL])
-    at = np.flatnonzero(count[length:] - count[:n] >= min(LITERALS, length))
-    h = np.full(len(at), length, np.uint64)
+    few = np.flatnonzero(count[length:] - count[:n] < LITERALS)
+    h, exact = np.full(n, length, np.uint64), np.full(len(few), length + WINDOW, np.uint64)
+    spread, own = template ^ template >> np.uint64(29), value ^ value >> np.uint64(31)
     for j in range(length):
-        h += (template[at + j] ^ template[at + j] >> np.uint64(29)) * FACTORS[j]
+        h += spread[j : j + n] * FACTORS[j]
+        exact += (spread[few + j] + own[few + j] * SIGNS[NUMBER]) * FACTORS[j]
+    h[few] = exact
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return at, h ^ h >> np.uint64(32)
+    return h ^ h >> np.uint64(32)
 
 
 WINDOWS = "id long, th long, h long, at int, length int, slots array<long>"
@@ -112,7 +117,8 @@ def _windows(rows: DataFrame, lengths: list[int] | None, bitmap=None) -> DataFra
         for id_, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             kind, template, value = state[0](text or "")
             for length in lengths or [min(WINDOW, len(kind))]:
-                at, h = windows(kind, template, length)
+                h = windows(kind, template, value, length)
+                at = np.arange(len(h))
                 if bitmap is not None:
                     held = bitmap.value
                     for shift in (0, 32):
@@ -151,8 +157,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``; ``th`` is the text's hash. Rows
     of docs with the same id (nulls are one) and text are one document; items with a null id count
     as one item. Null, empty and blank texts have no windows and match nothing; empty tables give
-    no rows. Windows with fewer than ``LITERALS`` literals are not used; an item that has no other
-    is never found. ``same_slots``: all paired values are equal, the item is there as it is.
+    no rows. Windows with fewer than ``LITERALS`` literals match only with equal values, so an item
+    of numbers and names is found where it stands as it is. Two values of an item may stand for one
+    value of a document. An item shorter than a window is one window: one word is in each document
+    with this word. ``same_slots``: all paired values are equal, the item is there as it is.
     """
     items = cut_lineage(_windows(_keyed(benchmark, "item_id").distinct(), None))
     sizes = items.groupBy("id").agg(F.count_distinct("th", "at").alias("item_windows")).withColumnRenamed("id", "item_id")
@@ -167,7 +175,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     pairs = met.select(*lane, F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("p")).select(*lane, "p.i", "p.d").distinct()
     values = pairs.groupBy(*lane, "i").agg(F.count("*").alias("n"), F.bool_and(F.col("i") == F.col("d")).alias("same"))
     lanes = values.groupBy(*lane).agg(F.max("n").alias("n"), F.bool_and("same").alias("same"))
-    joined = met.alias("m").join(lanes.alias("l"), [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in lane], "left").where("n is null or n = 1")
+    joined = met.alias("m").join(lanes.alias("l"), [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in lane], "left")
+    joined = joined.where("n is null or n = 1 or size(item_slots) = 0")
     joined = joined.select("m.doc_id", "m.th", "m.item_id", "m.item_th", "m.item_at", F.coalesce("l.same", F.lit(True)).alias("same"))
     covered = joined.groupBy("doc_id", "th", "item_id").agg(F.count_distinct("item_th", "item_at").alias("n_windows"), F.bool_and("same").alias("same_slots"))
     return covered.join(sizes, covered["item_id"].eqNullSafe(sizes["item_id"])).select(

@@ -24,7 +24,8 @@ def _windows(name: str, table: str, key: str, lengths: str) -> str:
  {name}_d AS (SELECT id, list(template ORDER BY tok) AS t, list(kind ORDER BY tok) AS k, list(value ORDER BY tok) AS v, count(*) AS n FROM {name}_t GROUP BY id),
  {name}_l AS (SELECT id, t, k, v, n, unnest({lengths}) AS length FROM {name}_d),
  {name}_s AS (SELECT id, length, place, t[place + 1:place + length] AS t, k[place + 1:place + length] AS k, v[place + 1:place + length] AS v FROM (SELECT *, unnest(range(n - length + 1)) AS place FROM {name}_l WHERE n >= length)),
- {name} AS (SELECT id, place, length, array_to_string(t, ' ') AS k, [p for p in list_zip(v, k) if p[2] <> 'literal'] AS slots FROM {name}_s WHERE len([x for x in k if x = 'literal']) >= least({LITERALS}, length))"""
+ {name} AS (SELECT id, place, length, CASE WHEN len([x for x in k if x = 'literal']) >= {LITERALS} THEN array_to_string(t, ' ') ELSE array_to_string(t, ' ') || ' with ' || array_to_string(v, ', ') END AS k,
+   [p for p in list_zip(v, k) if p[2] <> 'literal'] AS slots FROM {name}_s)"""
 
 
 LEAKS = f"""WITH {_windows('item', 'benchmark', 'item_id', f'[least({WINDOW}, n)]')},
@@ -32,7 +33,7 @@ LEAKS = f"""WITH {_windows('item', 'benchmark', 'item_id', f'[least({WINDOW}, n)
  met AS (SELECT d.id AS doc_id, i.id AS item_id, i.place AS item_place, d.place - i.place AS along, i.slots AS i_slots, d.slots AS d_slots FROM doc d JOIN item i ON d.k = i.k AND d.length = i.length),
  pairs AS (SELECT DISTINCT doc_id, item_id, along, i_slots[s + 1][1] AS i, d_slots[s + 1][1] AS d FROM (SELECT *, unnest(range(len(i_slots))) AS s FROM met)),
  lanes AS (SELECT doc_id, item_id, along, max(n) AS n, bool_and(same) AS same FROM (SELECT doc_id, item_id, along, i, count(*) AS n, bool_and(i = d) AS same FROM pairs GROUP BY ALL) GROUP BY ALL),
- good AS (SELECT m.doc_id, m.item_id, m.item_place, coalesce(l.same, true) AS same FROM met m LEFT JOIN lanes l ON m.doc_id = l.doc_id AND m.item_id = l.item_id AND m.along = l.along WHERE l.n IS NULL OR l.n = 1),
+ good AS (SELECT m.doc_id, m.item_id, m.item_place, coalesce(l.same, true) AS same FROM met m LEFT JOIN lanes l ON m.doc_id = l.doc_id AND m.item_id = l.item_id AND m.along = l.along WHERE l.n IS NULL OR l.n = 1 OR len(m.i_slots) = 0),
  sizes AS (SELECT id AS item_id, count(*) AS item_windows FROM item GROUP BY id),
  covered AS (SELECT doc_id, item_id, count(DISTINCT item_place) AS n_windows, bool_and(same) AS same_slots FROM good GROUP BY ALL)
  SELECT doc_id, item_id, n_windows, item_windows, n_windows / item_windows AS coverage, same_slots FROM covered JOIN sizes USING (item_id) WHERE n_windows >= 0.5 * item_windows"""

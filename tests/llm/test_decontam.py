@@ -34,8 +34,8 @@ def grams(text, n):
     tokens = template(text)
     for i in range(len(tokens) - n + 1):
         part = tokens[i : i + n]
-        if sum(v is None for _, v in part) >= min(4, n):
-            yield i, tuple(t for t, _ in part), tuple(tuple(sorted(v)) for _, v in part if v is not None)
+        slots = tuple(tuple(sorted(v)) for _, v in part if v is not None)
+        yield i, (tuple(t for t, _ in part), slots if n - len(slots) < 4 else None), slots
 
 
 def slow(docs, items, coverage):
@@ -49,7 +49,7 @@ def slow(docs, items, coverage):
     out = {}
     for d, text in docs:
         lanes = defaultdict(list)
-        for n in {len(k) for k in held}:
+        for n in {len(k) for k, _ in held}:
             for at, key, slots in grams(text, n):
                 for item, i, own in held[key]:
                     lanes[item, at - i].append((i, own, slots))
@@ -59,8 +59,9 @@ def slow(docs, items, coverage):
             for _, own, slots in rows:
                 for a, b in zip(own, slots, strict=True):
                     values[a].add(b)
-            if all(len(v) == 1 for v in values.values()):
-                hit[item] |= {i for i, _, _ in rows}
+            torn = any(len(v) > 1 for v in values.values())
+            if counted := {i for i, own, _ in rows if not torn or not own}:
+                hit[item] |= counted
                 same[item] &= all(v == {a} for a, v in values.items())
         for item, s in hit.items():
             if len(s) >= coverage * total[item]:
@@ -72,12 +73,15 @@ QUESTION = "A train leaves the station at 9 hours and travels 120 km before Anna
 OTHER = QUESTION.replace("120", "75").replace("Anna Smith", "Bob").replace("3 bags", "eleven bags").replace("9 hours", "14 minutes")
 MIXED = OTHER.replace("75", "88", 1)
 
+TWICE = "In this shop one pays 40 dollars for the shoes that lie in the window to the left of the door and for the belt that hangs on the wall behind them while one pays 40 dollars for a hat."
+
 
 def test_questions(spark):
     lead = "Some words come first and say nothing of it, then "
     docs = {1: QUESTION, 2: lead + QUESTION + " And more follows here.", 3: OTHER, 4: MIXED, 5: lead * 9, 6: None, 7: "", 8: " | ".join(QUESTION.split()), 9: QUESTION[: len(QUESTION) // 4] + lead,
-            10: "filler words " * 40_000 + QUESTION, 11: "short item of five words"}
-    items = {0: QUESTION, 1: "short item of five words", 2: None, 3: "", 4: "7 8 9 10 11"}
+            10: "filler words " * 40_000 + QUESTION, 11: "short item of five words",
+            12: "First compute 12 + 7 - 3 * 4 and then stop.", 13: "First compute 12 + 9 - 3 * 4 and then stop.", 14: TWICE.replace("40", "41", 1)}
+    items = {0: QUESTION, 1: "short item of five words", 2: None, 3: "", 4: "7 8 9 10 11", 5: "Compute 12 + 7 - 3 * 4", 6: TWICE}
     rows = [*docs.items(), (None, QUESTION), (1, QUESTION), (2, "the same id, another text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("x")).withColumn("item_id", F.lit(1))
     bench = spark.createDataFrame([*items.items(), (None, "an item without any id of its own at all")], "item_id long, text string").withColumn("th", F.lit(0))
@@ -86,8 +90,9 @@ def test_questions(spark):
     want = slow([*docs.items(), (None, QUESTION)], items.items(), 0.5)
     assert found == want
     assert {d for d, i in found if i == 0} == {1, 2, 3, 8, 10, None} and (11, 1) in found and not found[3, 0][2] and found[1, 0][2]
+    assert (12, 5) in found and (13, 5) not in found and found[14, 6][0] < found[14, 6][1] and not found[14, 6][2]
     left = decontam.decontaminated(df, bench)
-    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [4, 5, 6, 7, 9, 2]))
+    assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [4, 5, 6, 7, 9, 2, 13]))
     for a, b in ((df.limit(0), bench), (df, bench.limit(0))):
         assert decontam.matches(a, b).count() == 0
         assert decontam.decontaminated(a, b).count() == a.count()
