@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import cut_lineage
+from ripplet.llm.common import cut_lineage, split_join
 
 BITS = 128
 #: Terms whose bits are weighed at once, and words whose hashes a task remembers.
@@ -162,8 +162,8 @@ def fingerprint_edits(docs: DataFrame, radius: int = 3, every: int = 50) -> Data
     rows = cut_lineage(edited(docs))
     fps = rows.groupBy("low", "high").agg(F.count("*").alias("n"))
     asked = F.col("doc_id") % every == 0
-    found = search(rows.where(asked), fps, radius).groupBy(F.col("q_low").alias("low"), F.col("q_high").alias("high")).agg((F.sum("n") - 1).alias("within"))
-    near = rows.where(asked).join(found, ["low", "high"]).unionByName(rows.where(~asked | asked.isNull()), allowMissingColumns=True)
+    found = search(rows.where(asked), fps, radius).groupBy(F.struct(F.col("q_low").alias("low"), F.col("q_high").alias("high")).alias("own")).agg((F.sum("n") - 1).alias("within"))
+    near = split_join(rows.where(asked).withColumn("own", F.struct("low", "high")), found, "own").drop("own").unionByName(rows.where(~asked | asked.isNull()), allowMissingColumns=True)
     return near.select(
         "doc_id", "n_chars", "edited_sha256", text_of("low", "high").alias("fingerprint"), text_of("edited_low", "edited_high").alias("edited_fingerprint"),
         (1 - hamming("", "edited_") / BITS).alias("near_edited"), (1 - hamming("", "next_") / BITS).alias("near_next"), "within")
