@@ -138,17 +138,22 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks, budgets = _chains(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = fp = np.zeros(0, np.int64)
+        def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = _pairs(key, fp.view(np.uint64), masks, budgets)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the last run, which may go on in the next batch
         for batch in batches:
-            key, fp = (np.r_[old, batch.column(i).to_numpy()] for i, old in enumerate((key, fp)))
-            if len(key) and key[0] != key[-1]:  # the last run may go on in the next batch
+            if not batch.num_rows:
+                continue
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if held[0][0][0] != held[-1][0][-1]:
+                key, fp = map(np.concatenate, zip(*held, strict=True))
                 cut = int(np.searchsorted(key, key[-1]))
-                a, b = _pairs(key[:cut], fp[:cut].view(np.uint64), masks, budgets)
-                key, fp = key[cut:], fp[cut:]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-        if len(key):
-            a, b = _pairs(key, fp.view(np.uint64), masks, budgets)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                held = [(key[cut:], fp[cut:])]
+                yield linked(key[:cut], fp[:cut])
+        if held:
+            yield linked(*map(np.concatenate, zip(*held, strict=True)))
 
     keyed = fps.select(F.explode(_keys(F.col("fp"), radius)).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")

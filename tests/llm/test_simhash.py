@@ -123,3 +123,15 @@ def test_keep_one_against_all_jaccards(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = {d for d in ids if find(d) == d} | {None}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want and len(want) < len(ids) - 40
+
+
+def test_runs_over_many_batches(spark):
+    near = [(1 << 40) ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)]  # most share keys
+    fps = spark.createDataFrame([(x,) for x in [*near, 7 << 50, -5]], "fp long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = {tuple(r) for r in simhash._roots(fps, 4).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(r) for r in simhash._roots(fps, 4).collect()} == whole == {(x, min(near)) for x in near if x != min(near)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
