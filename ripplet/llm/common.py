@@ -57,6 +57,24 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return salted[0].join(salted[1], [key, "_h"], how).drop("_h")
 
 
+#: Words of 64 bits in the bitmap of ``sifted``: as many rows are broadcast at most, however large the input.
+SIEVE = 1 << 18
+
+
+def sifted(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts without a shuffle: those whose values of ``on`` may be in ``keys``, and those whose are certainly not.
+
+    A bitmap of fixed size holds one bit for each key; the fuller it is, the more rows go to the first part.
+    ``keys`` is read once and its bitmap checkpointed. Nulls are values like any other here.
+    """
+    at = F.pmod(F.xxhash64(*on), F.lit(64 * SIEVE))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = cut_lineage(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    held = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return held.where(hit).select(*rows.columns), held.where(~hit).select(*rows.columns)
+
+
 #: Links that one task of a union-find round reads, 16 bytes each.
 LINKS_A_TASK = 200_000
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import components, cut_lineage, map_batches, split_join
+from ripplet.llm.common import components, cut_lineage, map_batches, sifted, split_join
 
 BANDS, ROWS, WORDS = 20, 5, 4
 #: Least hashes of 100 whose two bits may differ: at a similarity of 0.8, 15 do, and more than 33 in five deviations' tail.
@@ -63,8 +63,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingles, simi
     """The pairs ``(a, b)`` whose sets have this Jaccard similarity at least."""
     pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("th"), text.cast("binary").alias("text")).join(sets.join(ids, "sid", "left_semi").select("th", "sid"), "th").dropDuplicates(["sid"])
+    wanted, text = cut_lineage(sets.join(ids, "sid", "left_semi").select("th", "sid")), F.col("text").cast("string")
+    rows, _ = sifted(docs.select(F.xxhash64(text).alias("th"), text.cast("binary").alias("text")), wanted, ["th"])
+    texts = rows.dropDuplicates(["th"]).join(wanted, "th")  # copies of a text go before the join; a set has one ``th``
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm import resemblance
-from ripplet.llm.common import components, cut_lineage, map_batches, split_join
+from ripplet.llm.common import components, cut_lineage, map_batches, sifted, split_join
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -220,7 +220,13 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float
     # components of both kinds: those by fingerprints, linked where they have documents of one set's component
     edges = split_join(both.where("set is not null").select("near", "set"), both.where("set is not null").groupBy("set").agg(F.min("near").alias("least")), "set")
     root = components(edges.select(F.col("near").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "near")
-    keep = split_join(both.where("doc_id is not null"), root, "near", "left").groupBy(F.coalesce("root", "near").alias("root")).agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    member = split_join(both.where("doc_id is not null"), root, "near", "left").select(F.struct("doc_id", "th").alias("me"), F.coalesce("root", "near").alias("root"))
+    member = cut_lineage(member)
+    keep = member.groupBy("root").agg(F.min("me").alias("keep"))
+    seen = split_join(member, keep, "root").groupBy("me").agg(F.max(F.col("me") != F.col("keep")).alias("lost"), F.count("*").alias("n"))
+    # only rows that go or repeat are shuffled with their texts; all others stay where they are
+    touched = cut_lineage(seen.where("lost or n > 1").select(F.col("me.doc_id").alias("id"), F.col("me.th").alias("th"), "lost"))
     held = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stay = held.where("id is not null").join(keep.select("k.doc_id", "k.th").withColumnRenamed("doc_id", "id"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    return stay.unionByName(held.where("id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    maybe, stay = sifted(held.where("id is not null"), touched, ["id", "th"])
+    first = maybe.dropDuplicates(["id", "th"]).join(touched, ["id", "th"], "left").where("lost is null or not lost").select(*held.columns)
+    return stay.unionByName(first).unionByName(held.where("id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
