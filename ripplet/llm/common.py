@@ -46,15 +46,16 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join where ``left`` may hold a hot key and ``right`` has each key once.
+def split_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join where ``left`` may hold a hot key (of one column or several) and ``right`` has each key once.
 
     The hash of the key as a second join key gives both sides a shuffle of this join's own,
     even if ``right`` comes out of an aggregate over ``key``; adaptive execution splits the
     large partitions of a hot key only between two such shuffles.
     """
-    salted = [df.withColumn("_h", F.hash(F.col(key))) for df in (left, right)]
-    return salted[0].join(salted[1], [key, "_h"], how).drop("_h")
+    keys = [key] if isinstance(key, str) else key
+    salted = [df.withColumn("_h", F.hash(*keys)) for df in (left, right)]
+    return salted[0].join(salted[1], [*keys, "_h"], how).drop("_h")
 
 
 #: Words of 64 bits in the bitmap of ``sifted``: as many rows are broadcast at most, however large the input.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ripplet.llm import oracle_tables
 from ripplet.llm.decontam import LITERALS, NUMBER_WORDS, UNITS, WINDOW
 
 PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -38,4 +39,4 @@ LEAKS = f"""WITH {_windows('item', 'benchmark', 'item_id', f'[least({WINDOW}, n)
  covered AS (SELECT doc_id, item_id, count(DISTINCT item_place) AS n_windows, bool_and(same) AS same_slots FROM good GROUP BY ALL)
  SELECT doc_id, item_id, n_windows, item_windows, n_windows / item_windows AS coverage, same_slots FROM covered JOIN sizes USING (item_id) WHERE n_windows >= 0.5 * item_windows"""
 
-SQL = {"op3_template_decontamination": LEAKS}
+SQL = {"op3_template_decontamination": LEAKS} | oracle_tables.SQL

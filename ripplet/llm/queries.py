@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontam, fingerprint, langid, linededup, oracle, packing, pii, quality, secret_scan, sharding, simhash
+from ripplet.llm import decontam, fingerprint, langid, linededup, merkle, oracle, packing, pii, quality, secret_scan, sharding, simhash
 from ripplet.llm.common import documents
 
 
@@ -57,8 +57,20 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir), radius=3, every=50)
 
 
+def op12_slot_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the check of tampered texts."""
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, merkle.tampered(docs, every=5))
+
+
+QUERIES = [
+    op1_simhash_near_dedup, op2_subword_quality, op3_template_decontamination, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing,
+    op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints, op12_slot_merkle_manifest,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_subword_quality, op3_template_decontamination, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing, op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
