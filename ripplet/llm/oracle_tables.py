@@ -50,4 +50,11 @@ MERKLE = f"""WITH d AS (SELECT doc_id, source AS g, {_leaf('text')} AS h, {_leaf
  tp0 AS (SELECT p.doc_id, p.leaf, t.h AS subroot, 1 AS one, t.pos AS at, p.found, p.proof FROM {_TOPS} p JOIN t0 t ON p.g IS NOT DISTINCT FROM t.g), {_ABOVE}
  SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, found AS folded_root, found = h AS verified FROM {_LAST}, t4"""
 
-SQL = {"op12_slot_merkle_manifest": MERKLE}
+_PART = "('0x' || substr(sha, 5 * k + 1, 5))::BIGINT"
+_SIGNS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_PART} >> {s}) & 31)::INTEGER + 1, 1)" for s in (15, 10, 5, 0))
+WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+ b AS (SELECT sha, string_agg({_SIGNS}, '' ORDER BY k) AS payload_digest FROM (SELECT DISTINCT sha FROM p), (SELECT unnest(range(8)) AS k) GROUP BY sha),
+ o AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS owner FROM p)
+ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < owner THEN owner END AS refers_to FROM o JOIN b USING (sha)"""
+
+SQL = {"op12_slot_merkle_manifest": MERKLE, "op13_two_level_warc": WARC}

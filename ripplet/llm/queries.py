@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontam, fingerprint, langid, linededup, merkle, oracle, packing, pii, quality, secret_scan, sharding, simhash
-from ripplet.llm.common import documents
+from ripplet.llm import decontam, fingerprint, langid, linededup, merkle, oracle, packing, pii, quality, secret_scan, sharding, simhash, warc
+from ripplet.llm.common import documents, shared_folder
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,15 @@ def op12_slot_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, merkle.tampered(docs, every=5))
 
 
+def op13_two_level_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages in the shared folder, read back by their index."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.archive(pages, shared_folder(spark, "warc")).drop("url")
+
+
 QUERIES = [
     op1_simhash_near_dedup, op2_subword_quality, op3_template_decontamination, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing,
-    op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints, op12_slot_merkle_manifest,
+    op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints, op12_slot_merkle_manifest, op13_two_level_warc,
 ]
 
 
