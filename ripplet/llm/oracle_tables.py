@@ -57,4 +57,17 @@ WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_byte
  o AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS owner FROM p)
  SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < owner THEN owner END AS refers_to FROM o JOIN b USING (sha)"""
 
-SQL = {"op12_slot_merkle_manifest": MERKLE, "op13_two_level_warc": WARC}
+def _terms(table: str, key: str) -> str:
+    sign = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{sign}')) AS term FROM {table}"
+
+
+SEARCH = f"""WITH d AS ({_terms('documents', 'doc_id')}), q AS (SELECT item_id, term, count(*) AS times FROM ({_terms('benchmark', 'item_id')}) GROUP BY ALL),
+ n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL), g AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, g),
+ m AS (SELECT doc_id, 100 - 75 + (75 * n * big_n) // big_l AS m FROM n, g),
+ s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+ SELECT * FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10"""
+
+SQL = {"op11_geometric_block_search": SEARCH, "op12_slot_merkle_manifest": MERKLE, "op13_two_level_warc": WARC}

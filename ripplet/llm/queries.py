@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm import decontam, fingerprint, langid, linededup, merkle, oracle, packing, pii, quality, secret_scan, sharding, simhash, warc
+from ripplet.llm import decontam, fingerprint, langid, lexical, linededup, merkle, oracle, packing, pii, quality, secret_scan, sharding, simhash, warc
 from ripplet.llm.common import documents, shared_folder
 
 
@@ -57,6 +57,11 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir), radius=3, every=50)
 
 
+def op11_geometric_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op12_slot_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of each document, and the check of tampered texts."""
     docs = documents(spark, sf_dir)
@@ -71,7 +76,7 @@ def op13_two_level_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_simhash_near_dedup, op2_subword_quality, op3_template_decontamination, op4_byte_cnn_language, op5_credential_linking, op6_pii_deobfuscation, op7_kk_packing,
-    op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints, op12_slot_merkle_manifest, op13_two_level_warc,
+    op8_bfd_sharding, op9_fuzzy_lines, op10_simhash_fingerprints, op11_geometric_block_search, op12_slot_merkle_manifest, op13_two_level_warc,
 ]
 
 
