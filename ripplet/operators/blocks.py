@@ -6,24 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplet.functions.columns import bit_length
-from ripplet.operators.geometry import band_of, halved
+from ripplet.operators.geometry import halved
 
 
-def in_blocks(coefficients: DataFrame, levels: int, cblk_w: int, cblk_h: int, size: tuple[str, str], plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
-    """Each coefficient of planes of a size, given as two expressions, with its band, its block's place in the band and its own place in the block."""
-    data = coefficients.withColumn("b", band_of(levels, F.col("x"), F.col("y"), *[F.expr(n).cast("long") for n in size]))
-    bx, by = F.col("x") - F.col("b.x_off"), F.col("y") - F.col("b.y_off")
-    return data.select(*plane, "b.band", "b.orient", (bx - bx % cblk_w).alias("cb_x"), (by - by % cblk_h).alias("cb_y"), (bx % cblk_w).alias("bx"), (by % cblk_h).alias("by"), "v")
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, by the keys; with a number given, small partitions are not put together, as it is time that their rows take and not bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def bit_planes(blocks: DataFrame, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
-    """``(*plane, band, cb_x, cb_y, numbps, n)``: the bit planes of each block's largest magnitude."""
-    return blocks.groupBy(*plane, "band", "cb_x", "cb_y").agg(bit_length(F.max(F.abs("v"))).alias("numbps"), F.count("*").alias("n"))
+def in_code_blocks(pieces: DataFrame, plane: list[str], cblk_w: int, cblk_h: int) -> DataFrame:
+    """Code-blocks ``(*plane, band, level, orient, cb_x, cb_y, cb_w, cb_h, samples)`` of the pieces of all bands; samples are in rows. A plane's column ``levels`` numbers its bands.
 
-
-def neighbours(samples: DataFrame, value: Column) -> DataFrame:
+    A piece begins at an edge of its band, so it is cut where blocks end and never put together again
+    but with its neighbours in a block.
+    """
+    step = F.when(F.col("down"), F.lit(cblk_h)).otherwise(F.lit(cblk_w))
+    parts = F.transform(F.sequence(F.lit(1), F.size("v"), step), lambda i: F.slice("v", i, step))
+    kind = F.array_position(F.array(*map(F.lit, ("HL", "LH", "HH"))), F.col("orient"))
+    band = F.when(F.col("orient") == "LL", 0).otherwise(3 * (F.col("levels") - F.col("level")) + kind).cast("long")
+    cut = pieces.select(*plane, "level", "orient", "down", "x", "y", F.posexplode(parts).alias("j", "v"))
+    along = F.col("j") * F.when(F.col("down"), F.lit(cblk_h)).otherwise(F.lit(cblk_w))
+    x, y = F.col("x") + F.when(F.col("down"), 0).otherwise(along), F.col("y") + F.when(F.col("down"), along).otherwise(0)
+    cut = cut.select(*plane, band.alias("band"), "level", "orient", "down", (x - x % cblk_w).alias("cb_x"), (y - y % cblk_h).alias("cb_y"), F.when(F.col("down"), x % cblk_w).otherwise(y % cblk_h).alias("i"), "v")
+    cut = spread(cut, *plane, "band", "cb_x", "cb_y")
+    held = cut.groupBy(*plane, "band", "level", "orient", "down", "cb_x", "cb_y").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("m"))
+    rows = F.transform(F.sequence(F.lit(0), F.size(F.get("m", F.lit(0))) - 1), lambda r: F.transform("m", lambda c: F.get(c, r)))
+    held = held.withColumn("m", F.when(F.col("down"), rows).otherwise(F.col("m")))
+    return held.select(*plane, "band", "level", "orient", "cb_x", "cb_y", F.size(F.get("m", F.lit(0))).alias("cb_w"), F.size("m").alias("cb_h"), F.flatten("m").cast("array<int>").alias("samples"))
+
+
+def bit_planes(blocks: DataFrame) -> DataFrame:
+    """Code-blocks with ``numbps``, the bit planes of their largest magnitude, and ``n``, their samples."""
+    most = F.array_max(F.transform("samples", lambda v: F.abs(v)))
+    return blocks.withColumns({"numbps": bit_length(most.cast("long")), "n": F.size("samples").cast("long")})
+
+
+def neighbours(samples: DataFrame, value: Column, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
     """Samples with ``value`` of the eight samples around: columns ``nw n ne w c e sw s se``, 0 outside the plane."""
-    row, column = (Window.partitionBy("image_id", "comp", a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
+    row, column = (Window.partitionBy(*plane, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     data = samples.withColumn("c", value.cast("long"))
     data = data.withColumns({"n": F.lag("c", 1, 0).over(column), "s": F.lead("c", 1, 0).over(column)})
     sides = {name: f("c" if not at else at, 1, 0).over(row) for name, f, at in (("w", F.lag, ""), ("e", F.lead, ""), ("nw", F.lag, "n"), ("ne", F.lead, "n"), ("sw", F.lag, "s"), ("se", F.lead, "s"))}
@@ -49,12 +69,32 @@ def sign_context() -> tuple[Column, Column]:
     return offset.cast("long"), ((h < 0) | ((h == 0) & (v < 0))).cast("long")
 
 
-def tag_tree(leaves: DataFrame, levels: int) -> DataFrame:
-    """``(image_id, level, y, x, value)``: the minimum over each node's leaves, by repeated halving of a leaf table ``(image_id, y, x, value)``."""
-    nodes = leaves.select("image_id", F.lit(0).cast("long").alias("level"), "y", "x", "value")
-    places = F.explode(F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda l: F.struct(l.cast("long").alias("level"), F.call_function("shiftright", F.col("y"), l).alias("y"), F.call_function("shiftright", F.col("x"), l).alias("x"))))
-    above = leaves.select("image_id", places.alias("p"), "value").groupBy("image_id", "p.level", "p.y", "p.x").agg(F.min("value").alias("value"))
-    return nodes.unionByName(above)
+def refinement_contexts(samples: DataFrame, plane: tuple[str, ...]) -> DataFrame:
+    """``(*plane, y, x, bit, ctx)``: the context, 14 to 16, of every refinement of the samples ``(*plane, y, x, v)`` of blocks.
+
+    A sample is refined in each bit plane below its top one. The first time its context says whether
+    a sample around is significant by then, which is one that has a bit in this plane or above: next to
+    a significant sample it was found in this plane's first pass at the latest.
+    """
+    around = neighbours(samples, F.abs("v"), plane)
+    most = F.greatest("nw", "n", "ne", "w", "e", "sw", "s", "se")
+    top = bit_length(F.col("c")).cast("int") - 1
+    each = around.where(F.col("c") >= 2).select(*plane, "y", "x", top.alias("top"), most.alias("most"), F.explode(F.sequence(F.lit(0), top - 1)).alias("bit"))
+    near = F.call_function("shiftright", F.col("most"), F.col("bit")) > 0
+    ctx = F.when(F.col("bit") < F.col("top") - 1, 16).when(near, 15).otherwise(14)
+    return each.select(*plane, "y", "x", F.col("bit").cast("long").alias("bit"), ctx.cast("long").alias("ctx"))
+
+
+def tag_tree(leaves: DataFrame, levels: int | Column, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """``(*keys, level, y, x, value)``: the minimum over each node's leaves ``(*keys, y, x, value, …)``, ``levels`` levels above them.
+
+    ``levels`` may be a column, alike for all leaves of a tree: each grid has its own depth. A level is
+    summed up from the leaves, in one shuffle for all levels.
+    """
+    depth = F.lit(levels) if isinstance(levels, int) else levels
+    at = lambda c, l: F.call_function("shiftright", F.col(c), l.cast("int")).alias(c)
+    places = F.transform(F.sequence(F.lit(0), depth.cast("int")), lambda l: F.struct(l.cast("long").alias("level"), at("y", l), at("x", l)))
+    return leaves.select(*keys, F.explode(places).alias("p"), "value").groupBy(*keys, "p.level", "p.y", "p.x").agg(F.min("value").alias("value"))
 
 
 def tag_tree_sizes(grids: DataFrame) -> DataFrame:

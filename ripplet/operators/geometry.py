@@ -60,19 +60,6 @@ def codeblocks(bands: DataFrame) -> DataFrame:
     return cells.select("image_id", "band", "cb_x", "cb_y", F.least(F.col("cblk_w"), F.col("w") - F.col("cb_x")).alias("cb_w"), F.least(F.col("cblk_h"), F.col("h") - F.col("cb_y")).alias("cb_h"))
 
 
-def band_of(levels: int, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """The subband of a sample at ``x, y`` of a transformed plane, as ``struct<band, orient, level, x_off, y_off>``."""
-    entry = lambda b, o, l, xo, yo: F.struct(F.lit(b).cast("long").alias("band"), F.lit(o).alias("orient"), F.lit(l).cast("long").alias("level"), xo.cast("long").alias("x_off"), yo.cast("long").alias("y_off"))
-    zero, out = F.lit(0), None
-    for level in range(1, levels + 1):
-        lw, lh, first = halved(w, level), halved(h, level), 1 + 3 * (levels - level)
-        for k, (o, hit, xo, yo) in enumerate((("HL", (x >= lw) & (y < lh), lw, zero), ("LH", (x < lw) & (y >= lh), zero, lh), ("HH", (x >= lw) & (y >= lh), lw, lh))):
-            made = entry(first + k, o, level, xo, yo)
-            out = F.when(hit, made) if out is None else out.when(hit, made)
-    last = entry(0, "LL", levels, zero, zero)
-    return last if out is None else out.otherwise(last)
-
-
 def packets(precincts: DataFrame, order: str) -> DataFrame:
     """``(image_id, seq, layer, res, comp, precinct)``: the packets of ``precincts(image_id, comp, res, n_precincts, layers)`` in one of five orders."""
     rows = precincts.where("n_precincts > 0 and layers > 0").withColumn("layer", F.explode(F.expr("sequence(0L, layers - 1)"))).withColumn("precinct", F.explode(F.expr("sequence(0L, n_precincts - 1)")))

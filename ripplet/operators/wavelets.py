@@ -1,136 +1,222 @@
-"""Wavelet transforms as ordered windows over samples.
+"""Wavelet transforms on lines as arrays.
 
-A line is the samples with equal ``keys``, in the order of ``at``. A forward step leaves the low
-band in places 0 to n_low - 1 and the high band behind it. At the ends a half band's neighbour is
-the next nearest of its own: the sample after a missing left one, the one before a missing right
-one. All windows of a step share one partitioning and order, so a line is shuffled and sorted once
-for each step; a line is the largest unit that a task holds.
+A line is a row ``(*keys, v array)``. A step splits it into its low and its high band and lifts them
+with higher-order functions, so nothing is shuffled. At the ends a half band's neighbour is the next
+nearest of its own: the sample after a missing left one, the one before a missing right one.
+
+A level of a plane lifts its rows, transposes them by chunks of columns, and lifts the columns. Its
+three high bands are set aside as pieces; only the low band goes on to the next level. So a level
+shuffles what the level before left over, and one row or column is the largest unit of a task, a
+chunk of columns the largest group. The levels and the wavelet of a plane may be columns of its rows:
+a plane that has no more levels leaves the plan.
+
+A piece is a run of one band's samples: ``(*plane, level, orient, x, y, down, v, x_off, y_off)`` with its
+start in the band, its direction, and where the band begins in the transformed plane.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lifting steps and scale of the 9/7 wavelet.
 ALPHA, BETA, GAMMA, DELTA, K = -1.586134342, -0.052980118, 0.882911075, 0.443506852, 1.230174105
 
+#: Columns that are transposed together.
+CHUNK = 64
+#: ``53``, ``97``, or the name of a boolean column that is true where it is 5/3; then samples are doubles.
+Wavelet = str
 
-def _line(keys: list[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order)
-
-
-def _right_low(w: Window) -> Column:
-    """The low neighbour after a high sample."""
-    return F.coalesce(F.lead("lo").over(w), F.lag("lo").over(w), F.col("lo"))
-
-
-def _left_high(w: Window) -> Column:
-    return F.coalesce(F.lag("hi").over(w), F.lead("hi").over(w), F.col("hi"))
-
-
-def _right_high(w: Window) -> Column:
-    return F.coalesce(F.col("hi"), F.lag("hi", 2).over(w), F.lag("hi", 1).over(w))
-
-
-def _split(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Pairs ``(i, lo, hi)`` of even and odd samples; hi is null at the end of an odd line."""
-    paired = samples.withColumn("hi", F.lead("v").over(_line(keys, at)))
-    return paired.where(F.col(at) % 2 == 0).select(*keys, F.shiftright(at, 1).alias("i"), F.col("v").alias("lo"), "hi")
-
-
-def _bands(pairs: DataFrame, keys: list[str], at: str) -> DataFrame:
-    n_low = F.count("*").over(Window.partitionBy(*keys))
-    both = pairs.withColumn("n_low", n_low).select(*keys, F.explode(F.array(F.struct(F.col("i").alias(at), F.col("lo").alias("v")), F.struct((F.col("n_low") + F.col("i")).alias(at), F.col("hi").alias("v")))).alias("s"))
-    return both.where("s.v is not null").select(*keys, f"s.{at}", "s.v")
-
-
-def _join_bands(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Pairs ``(i, lo, hi)`` from a line's two bands."""
-    whole = Window.partitionBy(*keys)
-    low = F.expr(f"{at} < n_low")
-    ordered = samples.withColumn("n_low", F.floor((F.count("*").over(whole) + 1) / 2))
-    ordered = ordered.withColumn("k", F.when(low, 2 * F.col(at)).otherwise(2 * (F.col(at) - F.col("n_low")) + 1))
-    return ordered.withColumn("hi", F.lead("v").over(_line(keys, "k"))).where("k % 2 = 0").select(*keys, F.shiftright("k", 1).alias("i"), F.col("v").alias("lo"), "hi")
-
-
-def _interleave(pairs: DataFrame, keys: list[str], at: str) -> DataFrame:
-    both = pairs.select(*keys, F.explode(F.array(F.struct((2 * F.col("i")).alias(at), F.col("lo").alias("v")), F.struct((2 * F.col("i") + 1).alias(at), F.col("hi").alias("v")))).alias("s"))
-    return both.where("s.v is not null").select(*keys, f"s.{at}", "s.v")
-
-
-def _lift(pairs: DataFrame, keys: list[str], steps: list[tuple[str, Column]]) -> DataFrame:
-    """Apply lifting steps in turn; a line of one sample has no high band and stays as it is."""
-    return reduce(lambda df, s: df.withColumn(s[0], F.coalesce(s[1], F.col(s[0])) if s[0] == "lo" else s[1]), steps, pairs)
 
+def _beside_high() -> Column:
+    """For each high sample the sum of its low neighbours."""
+    lo = F.col("lo")
+    beyond = F.coalesce(F.get(lo, F.size(lo) - 2), F.get(lo, F.lit(0)))
+    right = F.concat(F.slice(lo, F.lit(2), F.size(lo)), F.array(beyond))
+    return F.slice(F.zip_with(lo, right, lambda a, b: a + b), F.lit(1), F.size("hi"))
+
+
+def _beside_low() -> Column:
+    """For each low sample the sum of its high neighbours."""
+    hi = F.col("hi")
+    first = F.coalesce(F.get(hi, F.lit(1)), F.get(hi, F.lit(0)))
+    last = F.coalesce(F.get(hi, F.size(hi) - 2), F.get(hi, F.lit(0)))
+    both = F.zip_with(F.concat(F.array(first), hi), F.concat(hi, F.array(last)), lambda a, b: a + b)
+    return F.slice(both, F.lit(1), F.size("lo"))
+
+
+def _steps(wavelet: Wavelet, sign: int) -> list[tuple[str, Callable[[Column, Column], Column]]]:
+    """The lifting steps in forward order: which band changes, and how by the sum of its neighbours."""
+    if wavelet == "53":
+        return [("hi", lambda x, s: x - sign * F.shiftright(s, 1)), ("lo", lambda x, s: x + sign * F.shiftright(s + 2, 2))]
+    real = lambda factor: lambda x, s: x + sign * factor * s
+    steps = [(("hi", "lo")[k % 2], real(factor)) for k, factor in enumerate((ALPHA, BETA, GAMMA, DELTA))]
+    if wavelet == "97":
+        return steps
+    whole = [lambda x, s: x - sign * F.floor(s / 2), lambda x, s: x + sign * F.floor((s + 2) / 4), lambda x, s: x, lambda x, s: x]
+    either = lambda f, g: lambda x, s: F.when(F.col(wavelet), g(x, s)).otherwise(f(x, s)).cast("double")
+    return [(band, either(f, g)) for (band, f), g in zip(steps, whole, strict=True)]
+
+
+def _lifted(lines: DataFrame, steps: list) -> DataFrame:
+    """Apply the steps in turn; a line of one sample has no high band and stays as it is."""
+    for band, change in steps:
+        beside = _beside_high() if band == "hi" else _beside_low()
+        lines = lines.withColumn(band, F.when(F.size("hi") == 0, F.col(band)).otherwise(F.zip_with(band, beside, change)))
+    return lines
+
+
+def _scaled(lines: DataFrame, wavelet: Wavelet, lo: float, hi: float) -> DataFrame:
+    if wavelet == "53":
+        return lines
+    keep = F.size("hi") == 0
+    if wavelet != "97":
+        keep = keep | F.col(wavelet)
+    times = lambda factor: lambda x: x * factor
+    return lines.withColumns({band: F.when(keep, F.col(band)).otherwise(F.transform(band, times(factor))) for band, factor in (("lo", lo), ("hi", hi))})
+
+
+def split(lines: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
+    """Lines ``(…, v)`` as their bands ``(…, lo, hi)``."""
+    at = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
+    bands = lines.withColumns({"lo": at(0), "hi": at(1)}).drop("v")
+    return _scaled(_lifted(bands, _steps(wavelet, 1)), wavelet, 1 / K, K)
+
+
+def joined(bands: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
+    """Lines ``(…, v)`` from their bands ``(…, lo, hi)``."""
+    done = _lifted(_scaled(bands, wavelet, K, 1 / K), _steps(wavelet, -1)[::-1])
+    pairs = F.zip_with("lo", "hi", lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))
+    return done.withColumn("v", F.flatten(pairs)).drop("lo", "hi")
+
+
+def halves(lines: DataFrame) -> DataFrame:
+    """Lines ``(…, v)`` whose low band stands before their high band, as ``(…, lo, hi)``."""
+    n = F.expr("(size(v) + 1) div 2").cast("int")
+    return lines.withColumns({"lo": F.slice("v", F.lit(1), n), "hi": F.slice("v", n + 1, F.size("v"))}).drop("v")
+
+
+def gathered(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Lines ``(*keys, v)`` of samples ``(*keys, at, v)``."""
+    return samples.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "v"))), lambda p: p["v"]).alias("v"))
+
+
+def scattered(lines: DataFrame, keys: list[str], at: str) -> DataFrame:
+    return lines.select(*keys, F.posexplode("v").alias(at, "v")).withColumn(at, F.col(at).cast("long"))
+
+
+def transposed(lines: DataFrame, keys: list[str], at: str, other: str) -> DataFrame:
+    """Lines ``(*keys, other, v)`` down a plane from all lines ``(*keys, at, v)`` across it, by a shuffle of chunks."""
+    chunks = F.transform(F.sequence(F.lit(1), F.size("v"), F.lit(CHUNK)), lambda i: F.slice("v", i, F.lit(CHUNK)))
+    cut = lines.select(*keys, at, F.posexplode(chunks).alias("_c", "part"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(at, "part"))), lambda p: p["part"])
+    stacked = cut.groupBy(*keys, "_c").agg(rows.alias("rows"))
+    columns = F.transform(F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1), lambda k: F.transform("rows", lambda r: F.get(r, k)))
+    each = stacked.select(*keys, "_c", F.posexplode(columns).alias("_k", "v"))
+    return each.select(*keys, (F.col("_c") * CHUNK + F.col("_k")).cast("long").alias(other), "v")
+
+
+def _piece(orient: str, x: Column, v: Column | str) -> Column:
+    return F.struct(F.lit(orient).alias("orient"), x.cast("long").alias("x"), (F.col(v) if isinstance(v, str) else v).alias("v"))
+
+
+def decompose(lines: DataFrame, plane: list[str], levels: int, wavelet: Wavelet = "53", own_levels: str | None = None) -> DataFrame:
+    """The pieces of all bands of planes ``lines(*plane, y, v)``, after ``levels`` levels, or after as many as the column ``own_levels`` says, at most that."""
+    n = F.col(own_levels).cast("int") if own_levels else F.lit(levels)
+    zero = F.lit(0).cast("long")
+    none = lines.where(n == 0) if own_levels or not levels else None
+    out = None
+    if none is not None:
+        out = none.select(*plane, F.lit(0).alias("level"), F.lit("LL").alias("orient"), zero.alias("x"), F.col("y").cast("long").alias("y"), F.lit(False).alias("down"), "v", zero.alias("x_off"), zero.alias("y_off"))
+    rows = lines.where(n > 0) if own_levels else lines
+    for level in range(1, levels + 1):
+        across = split(rows.withColumn("_w", F.size("v")), wavelet)
+        across = across.select(*plane, "_w", "y", F.concat("lo", "hi").alias("v"))
+        columns = split(transposed(across, [*plane, "_w"], "y", "x"), wavelet)
+        low = F.expr("(_w + 1) div 2").cast("long")
+        inside, last = F.col("x") < low, n == level
+        right = F.array(_piece("HL", F.col("x") - low, "lo"), _piece("HH", F.col("x") - low, "hi"))
+        left = F.array(_piece("LH", F.col("x"), "hi"), F.when(last, _piece("LL", F.col("x"), "lo")))
+        pieces = columns.select(*plane, F.explode(F.when(inside, left).otherwise(right)).alias("p"), low.alias("low"), F.size("lo").cast("long").alias("high"))
+        pieces = pieces.where("size(p.v) > 0")
+        x_off, y_off = F.when(F.col("p.orient").isin("HL", "HH"), F.col("low")).otherwise(0), F.when(F.col("p.orient").isin("LH", "HH"), F.col("high")).otherwise(0)
+        made = pieces.select(*plane, F.lit(level).alias("level"), "p.orient", "p.x", zero.alias("y"), F.lit(True).alias("down"), "p.v", x_off.cast("long").alias("x_off"), y_off.cast("long").alias("y_off"))
+        out = made if out is None else out.unionByName(made)
+        if level < levels:
+            rows = transposed(columns.where(inside & (n > level)).select(*plane, "x", F.col("lo").alias("v")), plane, "x", "y")
+    return out
+
+
+def compose(pieces: Callable[[int], DataFrame], plane: list[str], levels: int, wavelet: Wavelet = "53", reduce: int = 0, size: tuple[str, str] = ("tw", "th")) -> DataFrame:
+    """Rows ``(*plane, y, v)`` of planes from ``pieces(level)``, the pieces ``(*plane, orient, x, y, v)`` down each band of a level, the low one of planes that end there included.
+
+    ``size`` has expressions of a plane's size. The finest ``reduce`` levels are left out; planes that have no more levels than that are not among the rows.
+    """
+    current = None
+    for level in range(levels, reduce, -1):
+        low = F.ceil(F.expr(size[0]) / (1 << level)).cast("long")
+        high = F.col("orient").isin("HL", "HH")
+        columns = pieces(level).select(*plane, (F.col("x") + F.when(high, low).otherwise(0)).cast("long").alias("x"), F.col("orient").isin("LH", "HH").alias("second"), F.col("y").cast("long").alias("y"), "v")
+        if current is not None:
+            columns = columns.unionByName(current.select(*plane, "x", F.lit(False).alias("second"), F.lit(0).cast("long").alias("y"), "v"))
+        held = columns.groupBy(*plane, "x").agg(F.sort_array(F.collect_list(F.struct("second", "y", "v"))).alias("parts"))
+        part = lambda second: F.flatten(F.transform(F.filter("parts", lambda p: p["second"] == second), lambda p: p["v"]))
+        down = joined(held.select(*plane, "x", part(False).alias("lo"), part(True).alias("hi")), wavelet)
+        rows = joined(halves(transposed(down, plane, "x", "y")), wavelet)
+        if level > reduce + 1:
+            current = transposed(rows, plane, "y", "x")
+    return rows
+
+
+def placed(pieces: DataFrame, plane: list[str]) -> DataFrame:
+    """Samples ``(*plane, y, x, v)`` of pieces, at their places in the transformed plane."""
+    each = pieces.select(*plane, "x", "y", "x_off", "y_off", "down", F.posexplode("v").alias("i", "v"))
+    along = lambda down: F.when(F.col("down") == down, F.col("i")).otherwise(0)
+    return each.select(*plane, (F.col("y_off") + F.col("y") + along(True)).alias("y"), (F.col("x_off") + F.col("x") + along(False)).alias("x"), "v")
+
+
+def cut_bands(samples: DataFrame, plane: list[str], levels: int, size: tuple[str, str]) -> Callable[[int], DataFrame]:
+    """The pieces of transformed planes ``samples(*plane, y, x, v)`` of a size, for ``compose``: each sample is one."""
+
+    def pieces(level: int) -> DataFrame:
+        lw, lh, w, h = (F.ceil(F.expr(size[k]) / (1 << n)).cast("long") for n in (level, level - 1) for k in (0, 1))
+        inside = (F.col("x") < w) & (F.col("y") < h)
+        right, below = F.col("x") >= lw, F.col("y") >= lh
+        wanted = inside if level == levels else inside & (right | below)
+        orient = F.when(right & below, "HH").when(right, "HL").when(below, "LH").otherwise("LL")
+        return samples.where(wanted).select(*plane, orient.alias("orient"), (F.col("x") - F.when(right, lw).otherwise(0)).alias("x"), (F.col("y") - F.when(below, lh).otherwise(0)).alias("y"), F.array("v").alias("v"))
+
+    return pieces
+
+
+def transform_2d(samples: DataFrame, levels: int, wavelet: Wavelet = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
+    """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
 
-def forward_53(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    w = _line(keys, "i")
-    predict = F.col("hi") - F.shiftright(F.col("lo") + _right_low(w), 1)
-    update = F.col("lo") + F.shiftright(_left_high(w) + _right_high(w) + 2, 2)
-    return _bands(_lift(_split(samples, keys, at), keys, [("hi", predict), ("lo", update)]), keys, at)
-
-
-def inverse_53(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    w = _line(keys, "i")
-    update = F.col("lo") - F.shiftright(_left_high(w) + _right_high(w) + 2, 2)
-    predict = F.col("hi") + F.shiftright(F.col("lo") + _right_low(w), 1)
-    return _interleave(_lift(_join_bands(samples, keys, at), keys, [("lo", update), ("hi", predict)]), keys, at)
-
-
-def forward_97(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    w = _line(keys, "i")
-    high = lambda f: ("hi", F.col("hi") + f * (F.col("lo") + _right_low(w)))
-    low = lambda f: ("lo", F.col("lo") + f * (_left_high(w) + _right_high(w)))
-    alone = F.count("*").over(Window.partitionBy(*keys)) + F.count("hi").over(Window.partitionBy(*keys)) == 1
-    scale = [("lo", F.when(alone, F.col("lo")).otherwise(F.col("lo") * (1 / K))), ("hi", F.col("hi") * K)]
-    pairs = _split(samples.withColumn("v", F.col("v").cast("double")), keys, at)
-    return _bands(_lift(pairs, keys, [high(ALPHA), low(BETA), high(GAMMA), low(DELTA), *scale]), keys, at)
-
-
-def inverse_97(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
-    w = _line(keys, "i")
-    high = lambda f: ("hi", F.col("hi") - f * (F.col("lo") + _right_low(w)))
-    low = lambda f: ("lo", F.col("lo") - f * (_left_high(w) + _right_high(w)))
-    alone = F.count("*").over(Window.partitionBy(*keys)) + F.count("hi").over(Window.partitionBy(*keys)) == 1
-    scale = [("lo", F.when(alone, F.col("lo")).otherwise(F.col("lo") * K)), ("hi", F.col("hi") * (1 / K))]
-    return _interleave(_lift(_join_bands(samples, keys, at), keys, [*scale, low(DELTA), high(GAMMA), low(BETA), high(ALPHA)]), keys, at)
-
-
-STEPS = {("53", False): forward_53, ("53", True): inverse_53, ("97", False): forward_97, ("97", True): inverse_97}
-
-
-def sized(samples: DataFrame, plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
-    """``samples`` with the size ``w, h`` of each plane.
-
-    The hash of the plane as one more join key keeps the shuffle of this join, which has a plane
-    in one place if the sizes are too many to send around, from being used by what follows.
+    Back needs ``size``, expressions of the width and height of a sample's plane. Every plane has its
+    own size. For a lower resolution, transform the samples of its low band back by as many levels fewer.
     """
-    found = samples.groupBy(*plane).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    left, right = (df.withColumn("_h", F.hash(*plane)) for df in (samples, found))
-    return left.join(right, [*plane, "_h"]).drop("_h")
+    keys = list(plane)
+    if not levels:
+        return samples.select(*keys, "y", "x", "v")
+    data = samples.withColumn("v", F.col("v").cast("double")) if wavelet == "97" else samples
+    if not inverse:
+        return placed(decompose(gathered(data, [*keys, "y"], "x"), keys, levels, wavelet), keys)
+    if size is None:
+        raise ValueError("size: what the planes' sizes are")
+    return scattered(compose(cut_bands(data, keys, levels, size), keys, levels, wavelet, size=size), [*keys, "y"], "x")
 
 
-def transform_2d(samples: DataFrame, levels: int, wavelet: str = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
-    """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
+def _line_step(back: bool, wavelet: Wavelet) -> Callable[[DataFrame, list[str], str], DataFrame]:
+    def step(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
+        data = samples.withColumn("v", F.col("v").cast("double")) if wavelet == "97" else samples
+        lines = gathered(data, keys, at)
+        done = joined(halves(lines), wavelet) if back else split(lines, wavelet).withColumn("v", F.concat("lo", "hi"))
+        return scattered(done, keys, at)
 
-    ``size`` has expressions of the width and height of a sample's plane, if they are known; else they are counted.
+    return step
 
-    A level works on the low band that the level before has left; each other sample is a line of its
-    own, which stays as it is, so that all goes through one chain of windows. Every plane has its
-    own size. For a lower resolution, transform the samples of its low band back by as many levels
-    fewer.
-    """
-    if size is None:
-        samples, size = sized(samples, plane), ("w", "h")
-    data = samples.select(*plane, "y", "x", "v", F.expr(size[0]).cast("long").alias("_w"), F.expr(size[1]).cast("long").alias("_h"))
-    step = STEPS[wavelet, inverse]
-    for level in reversed(range(levels)) if inverse else range(levels):
-        inside = (F.col("x") < F.ceil(F.col("_w") / (1 << level))) & (F.col("y") < F.ceil(F.col("_h") / (1 << level)))
-        for at, other in (("y", "x"), ("x", "y")) if inverse else (("x", "y"), ("y", "x")):
-            lined = data.withColumn("alone", F.when(inside, -1).otherwise(F.col(at))).withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(0))
-            done = step(lined, [*plane, "_w", "_h", other, "alone"], at)
-            data = done.withColumn(at, F.when(F.col("alone") < 0, F.col(at)).otherwise(F.col("alone"))).drop("alone")
-    return data.select(*plane, "y", "x", "v")
+
+#: One step on the lines of ``samples(*keys, at, v)`` with given keys: forward leaves the low band in front of the high one.
+forward_53, inverse_53, forward_97, inverse_97 = (_line_step(back, w) for w in ("53", "97") for back in (False, True))

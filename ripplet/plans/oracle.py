@@ -10,8 +10,8 @@ V = "CAST(floor(CAST({} AS DOUBLE) * 127 + 128) AS BIGINT)"
 N64 = "(SELECT unnest(range(64)) AS i)"
 GRAY = f"g AS (SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, {V.format('embedding[i + 1]')} AS v FROM embeddings, {N64})"
 WIDE = f"c AS (SELECT vec_id // 64 AS image_id, vec_id % 64 AS y, i AS x, {V.format('embedding[i + 1]')} AS v FROM embeddings, {N64})"
-RGB = f"""rgb AS (SELECT a.vec_id // 3 AS image_id, i // 8 AS y, i % 8 AS x, {V.format('a.embedding[i + 1]')} AS c0, {V.format('b.embedding[i + 1]')} AS c1, {V.format('d.embedding[i + 1]')} AS c2
- FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings d ON d.vec_id = a.vec_id + 2, {N64} WHERE a.vec_id % 3 = 0)"""
+RGB = f"""rgb AS (SELECT a.vec_id // 3 AS image_id, i // 8 AS y, i % 8 AS x, {V.format('a.embedding[i + 1]')} AS c0, coalesce({V.format('b.embedding[i + 1]')}, 0) AS c1, coalesce({V.format('d.embedding[i + 1]')}, 0) AS c2
+ FROM (SELECT * FROM embeddings WHERE vec_id % 3 = 0) a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 LEFT JOIN embeddings d ON d.vec_id = a.vec_id + 2, {N64})"""
 RCT = "rct AS (SELECT image_id, y, x, ((c0 - 128) + 2 * (c1 - 128) + (c2 - 128)) >> 2 AS c0, c2 - c1 AS c1, c0 - c1 AS c2 FROM rgb)"
 SHAPES = """s AS (SELECT p_partkey AS image_id, CAST(p_size * 3 + p_partkey % 7 AS BIGINT) AS w, p_partkey % 90 + 1 AS h, p_partkey % 6 AS levels, 64 AS tile_w, 48 AS tile_h, 32 AS cblk_w, 16 AS cblk_h FROM part)"""
 LONG = "t AS (SELECT image_id, 0 AS comp, y, x, c0 AS v FROM {0} UNION ALL SELECT image_id, 1, y, x, c1 FROM {0} UNION ALL SELECT image_id, 2, y, x, c2 FROM {0})"
@@ -120,7 +120,7 @@ FIVE = ["tt AS (SELECT image_id, comp, CASE WHEN x < 5 AND y < 5 THEN 0 WHEN y <
         "z AS (SELECT image_id, comp, tile, (max(x) + 2) // 2 AS lw, (max(y) + 2) // 2 AS lh FROM u GROUP BY ALL)",
         "bl AS (SELECT image_id, comp, tile, CASE WHEN x < lw AND y < lh THEN 0 WHEN y < lh THEN 1 WHEN x < lw THEN 2 ELSE 3 END AS band, max(x) - min(x) + 1 AS cb_w, max(y) - min(y) + 1 AS cb_h, max(abs(v)) AS m FROM u JOIN z USING (image_id, comp, tile) GROUP BY ALL)"]
 
-#: The image that a third vector completes.
+#: The image that a vector begins.
 FILE = "(vec_id // 3)"
 STEPSIZES = sql(
         """SELECT image_id, band, exponent, mantissa, (exponent << 11) | mantissa AS packed, round((1 + mantissa / 2048e0) * pow(2, exponent), 6) AS step
@@ -183,20 +183,43 @@ SQL = {
     "jp2_roundtrip": SAME_RGB,
     "region_decode": sql("SELECT image_id, y - 1 AS y, x - 2 AS x, c0, c1, c2 FROM rgb WHERE x >= 2 AND x < 4 AND y >= 1 AND y < 6", RGB),
     "reduced_decode": sql("SELECT image_id, y, x, v + 128 AS v FROM t WHERE x < 4 AND y < 4", GRAY, "k AS (SELECT image_id, y, x, v - 128 AS v FROM g)", transform("k", "t", 1)),
-    "file_headers": "SELECT DISTINCT vec_id // 3 AS image_id, 8::BIGINT AS width, 8::BIGINT AS height, 5::BIGINT AS tile_w, 5::BIGINT AS tile_h, 3::BIGINT AS n_comps, 1::BIGINT AS layers, 2::BIGINT AS levels, 64::BIGINT AS cblk_w, 64::BIGINT AS cblk_h, 0::BIGINT AS quant_style, true AS mct, true AS reversible, 7::BIGINT AS n_steps FROM embeddings WHERE vec_id % 3 = 2",
+    "file_headers": "SELECT DISTINCT vec_id // 3 AS image_id, 8::BIGINT AS width, 8::BIGINT AS height, 5::BIGINT AS tile_w, 5::BIGINT AS tile_h, 3::BIGINT AS n_comps, 1::BIGINT AS layers, 2::BIGINT AS levels, 64::BIGINT AS cblk_w, 64::BIGINT AS cblk_h, 0::BIGINT AS quant_style, true AS mct, true AS reversible, 7::BIGINT AS n_steps FROM embeddings WHERE vec_id % 3 = 0",
     "stepsizes_unpacked": sql("SELECT image_id, band, packed >> 11 AS exponent, packed & 2047 AS mantissa FROM u", f"u AS ({STEPSIZES})"),
     "colour_norms": sql(f"SELECT image_id, comp, coalesce(CASE WHEN image_id % 2 = 0 THEN {NORMS_MCT}[comp + 1] ELSE {NORMS_MCT_REAL}[comp + 1] END, 1.0)::DOUBLE AS norm FROM s, (SELECT unnest(range(4)) AS comp) WHERE comp <= image_id % 4", SHAPES),
     "tagtree_sizes": sql("""SELECT image_id, w, h, count(*) AS n_levels, CAST(sum(lw * lh) AS BIGINT) AS n_nodes
  FROM (SELECT *, CAST(ceil(w / pow(2, l)) AS BIGINT) AS lw, CAST(ceil(h / pow(2, l)) AS BIGINT) AS lh FROM n, (SELECT unnest(range(12)) AS l) WHERE l = 0 OR pow(2, l - 1) < greatest(w, h)) GROUP BY image_id, w, h""",
                          SHAPES, "n AS (SELECT image_id, (w + cblk_w - 1) // cblk_w AS w, (h + cblk_h - 1) // cblk_h AS h FROM s)"),
-    "file_colours": f"SELECT {FILE} AS image_id, 8::BIGINT AS height, 8::BIGINT AS width, 3::BIGINT AS n_comps, 7::BIGINT AS bpc, 1::BIGINT AS method, 16::BIGINT AS enum_cs FROM embeddings WHERE vec_id % 3 = 2",
-    "file_capabilities": f"SELECT {FILE} AS image_id, {FILE} % 2 = 1 AS high_throughput FROM embeddings WHERE vec_id % 3 = 2",
-    "file_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 2 AND {FILE} % 3 = 1",
-    "region_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 2",
+    "file_colours": f"SELECT {FILE} AS image_id, 8::BIGINT AS height, 8::BIGINT AS width, 3::BIGINT AS n_comps, 7::BIGINT AS bpc, 1::BIGINT AS method, 16::BIGINT AS enum_cs FROM embeddings WHERE vec_id % 3 = 0",
+    "file_capabilities": f"SELECT {FILE} AS image_id, {FILE} % 2 = 1 AS high_throughput FROM embeddings WHERE vec_id % 3 = 0",
+    "file_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 0 AND {FILE} % 3 = 1",
+    "region_errors": f"SELECT {FILE} AS image_id, 'OutOfBounds' AS kind FROM embeddings WHERE vec_id % 3 = 0",
     "region_subsampled": sql("""SELECT image_id, comp::BIGINT AS comp, y // d - 1 // d AS y, x // d - 3 // d AS x, v FROM (SELECT *, CASE WHEN comp = 0 THEN 1 ELSE 2 END AS d FROM t)
  WHERE x % d = 0 AND y % d = 0 AND x // d >= 3 // d AND x // d < (6 + d - 1) // d AND y // d >= 1 // d AND y // d < (7 + d - 1) // d""", RGB, LONG.format("rgb")),
+    "mixed_decode": """SELECT vec_id AS image_id, vec_id % 6 AS levels, (vec_id // 6) % 2 = 0 AS lossless, 64::BIGINT AS n, CASE WHEN (vec_id // 6) % 2 = 0 THEN 0::BIGINT END AS max_error, true AS near FROM embeddings""",
+    "tile_index": f"SELECT {FILE} AS image_id, t AS tile, 1::BIGINT AS n, true AS \"full\", 3::BIGINT AS tile_w FROM embeddings, (SELECT unnest(range(6)) AS t) WHERE vec_id % 3 = 0",
+    "region_ranged": sql("SELECT image_id, y - 1 AS y, x - 2 AS x, c0, c1, c2 FROM rgb WHERE x >= 2 AND x < 4 AND y >= 1 AND y < 6", RGB),
+    "region_bytes": f"SELECT {FILE} AS image_id, 4::BIGINT AS tiles, 2::BIGINT AS hits, true AS fewer FROM embeddings WHERE vec_id % 3 = 0",
+    "rate_choice": sql("""SELECT image_id, band, max(k) AS kept FROM (SELECT *, sum(cost) OVER (PARTITION BY image_id ORDER BY worth DESC, band, k) AS spent FROM w) WHERE spent <= 200 GROUP BY ALL""", *COEFFICIENTS,
+                       "c AS (SELECT image_id, CASE WHEN x >= 4 THEN 1 ELSE 0 END + CASE WHEN y >= 4 THEN 2 ELSE 0 END AS band, abs(v)::BIGINT AS m, b FROM t, (SELECT unnest(range(13)) AS b))",
+                       """e AS (SELECT image_id, band::BIGINT AS band, 13 - b AS k, sum(CASE WHEN m >> b > 0 THEN 1 ELSE 0 END) AS cost, sum((m & ((2::BIGINT << b) - 1)) ** 2 - (m & ((1::BIGINT << b) - 1)) ** 2) AS gain FROM c GROUP BY ALL)""",
+                       "w AS (SELECT *, min(gain::DOUBLE / (cost + 1)) OVER (PARTITION BY image_id, band ORDER BY k) AS worth FROM e)"),
+    "rate_limited": "SELECT vec_id // 16 AS part, true AS within, 192 * count(*) AS n, true AS falls FROM embeddings GROUP BY ALL",
+    "refinement_contexts": sql("""SELECT image_id, band, y, x, b AS bit, CASE WHEN m >> (b + 2) > 0 THEN 16 WHEN greatest(w, e, n, s, nw, ne, sw, se) >> b > 0 THEN 15 ELSE 14 END::BIGINT AS ctx
+ FROM a, (SELECT unnest(range(16)) AS b) WHERE m >> (b + 1) > 0""", *COEFFICIENTS,
+                               "q AS (SELECT image_id, (CASE WHEN x >= 4 THEN 1 ELSE 0 END + CASE WHEN y >= 4 THEN 2 ELSE 0 END)::BIGINT AS band, y % 4 AS y, x % 4 AS x, abs(v >> 4) AS m FROM t)",
+                               "r AS (SELECT *, coalesce(lag(m) OVER k, 0) AS n, coalesce(lead(m) OVER k, 0) AS s FROM q WINDOW k AS (PARTITION BY image_id, band, x ORDER BY y))",
+                               f"a AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in SIDES.items()).replace('(c)', '(m)')} FROM r WINDOW r AS (PARTITION BY image_id, band, y ORDER BY x))"),
+    "tagtree_grids": sql("""SELECT image_id, l AS level, y >> l AS y, x >> l AS x, min((image_id * 31 + y * 17 + x * 7) % 23) AS value
+ FROM n, (SELECT unnest(range(12)) AS l), (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x) WHERE y < h AND x < w AND (l = 0 OR (1 << (l - 1)::INTEGER) < greatest(w, h)) GROUP BY ALL""",
+                         SHAPES, "n AS (SELECT image_id, (w + cblk_w - 1) // cblk_w AS w, (h + cblk_h - 1) // cblk_h AS h FROM s)"),
+    "subsampled_roundtrip": sql("SELECT image_id, comp::BIGINT AS comp, y // d AS y, x // d AS x, v FROM (SELECT *, CASE WHEN comp = 0 THEN 1 ELSE 2 END AS d FROM t) WHERE x % d = 0 AND y % d = 0", RGB, LONG.format("rgb")),
+    "region_subsampled_decode": sql("""SELECT image_id, comp::BIGINT AS comp, y // d - 1 // d AS y, x // d - 3 // d AS x, v FROM (SELECT *, CASE WHEN comp = 0 THEN 1 ELSE 2 END AS d FROM t)
+ WHERE x % d = 0 AND y % d = 0 AND x // d >= 3 // d AND x // d < (6 + d - 1) // d AND y // d >= 1 // d AND y // d < (7 + d - 1) // d""", RGB, LONG.format("rgb")),
+    "file_markers": f"""SELECT image_id, CASE WHEN image_id % 3 = 1 THEN 16 ELSE 8 END::BIGINT AS box_header, m.m AS marker, (m.o + CASE WHEN m.late AND image_id % 2 = 1 THEN 10 ELSE 0 END)::BIGINT AS "offset", m.l::BIGINT AS length FROM (SELECT {FILE} AS image_id FROM embeddings WHERE vec_id % 3 = 0),
+ (SELECT unnest([{{'m': 'SOC', 'o': 0, 'l': 0, 'late': false}}, {{'m': 'SIZ', 'o': 2, 'l': 47, 'late': false}}, {{'m': 'CAP', 'o': 51, 'l': 8, 'late': false}}, {{'m': 'COD', 'o': 51, 'l': 12, 'late': true}}, {{'m': 'QCD', 'o': 65, 'l': 10, 'late': true}}, {{'m': 'SOT', 'o': 77, 'l': 10, 'late': true}}]) AS m)
+ WHERE m.m <> 'CAP' OR image_id % 2 = 1""",
     "file_boxes": """SELECT vec_id // 3 AS image_id, b.type AS "type", CAST(b.o AS BIGINT) AS "offset", CAST(b.l AS BIGINT) AS length, b.parent AS parent FROM embeddings,
- (SELECT unnest([{'type': 'jP  ', 'o': 8, 'l': 4, 'parent': ''}, {'type': 'ftyp', 'o': 20, 'l': 12, 'parent': ''}, {'type': 'jp2h', 'o': 40, 'l': 37, 'parent': ''}, {'type': 'ihdr', 'o': 48, 'l': 14, 'parent': 'jp2h'}, {'type': 'colr', 'o': 70, 'l': 7, 'parent': 'jp2h'}, {'type': 'jp2c', 'o': 85, 'l': NULL, 'parent': ''}]) AS b) WHERE vec_id % 3 = 2""",
+ (SELECT unnest([{'type': 'jP  ', 'o': 8, 'l': 4, 'parent': ''}, {'type': 'ftyp', 'o': 20, 'l': 12, 'parent': ''}, {'type': 'jp2h', 'o': 40, 'l': 37, 'parent': ''}, {'type': 'ihdr', 'o': 48, 'l': 14, 'parent': 'jp2h'}, {'type': 'colr', 'o': 70, 'l': 7, 'parent': 'jp2h'}, {'type': 'jp2c', 'o': 85, 'l': NULL, 'parent': ''}]) AS b) WHERE vec_id % 3 = 0""",
     "t2_packets": sql(f"""SELECT image_id, CAST(comp AS BIGINT) AS comp, CAST(band AS BIGINT) AS band, CAST(0 AS BIGINT) AS k, CAST({PLANES} AS BIGINT) AS planes, CAST(CASE WHEN m = 0 THEN 0 ELSE 3 * length(bin(m)) - 2 END AS BIGINT) AS num_passes FROM bl""", *CODED),
 } | {
     f"packets_{o}": sql(f"""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY {', '.join(keys)}) - 1 AS BIGINT) AS seq, layer, res, comp, precinct

@@ -6,15 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions import columns as C
-from ripplet.operators import blocks, entropy, geometry, packets, wavelets
+from ripplet.operators import blocks, entropy, geometry, packets, rates, wavelets
 from ripplet.plans import codec
-from ripplet.sources import codestream, samples
+from ripplet.sources import codestream, ranges, samples, sinks
+from ripplet.sources.shared import shared_folder
 
 LINE = ["image_id", "comp", "y"]
+PLANE = ["image_id", "comp"]
 #: The size of an image of one vector.
 EIGHT = ("8", "8")
 
 
+def _samples(lines: DataFrame) -> DataFrame:
+    return wavelets.scattered(lines, ["image_id", "y"], "x")
+
+
+def _transformed(lines: DataFrame, levels: int, wavelet: str = "53") -> DataFrame:
+    """Samples of transformed planes ``lines(image_id, comp, y, v)``."""
+    return wavelets.placed(wavelets.decompose(lines, PLANE, levels, wavelet), PLANE)
+
+
+def _restored(samples: DataFrame, levels: int, size: tuple[str, str], wavelet: str = "53", plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
+    return wavelets.transform_2d(samples, levels, wavelet, inverse=True, plane=plane, size=size).select("image_id", "y", "x", "v")
+
+
 def _shifted(spark: SparkSession, sf: str) -> DataFrame:
     return samples.rgb(spark, sf).select("image_id", "y", "x", *[(F.col(f"c{k}") - 128).alias(f"c{k}") for k in range(3)])
 
@@ -26,9 +41,14 @@ def _coloured(spark: SparkSession, sf: str) -> DataFrame:
 
 def subband_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Colour transform, one wavelet level, and per subband the largest magnitude, the sum and the count."""
-    data = wavelets.transform_2d(samples.long_form(_coloured(spark, sf)), 1, size=EIGHT)
-    placed = blocks.in_blocks(data, 1, 64, 64, EIGHT)
-    return placed.groupBy("image_id", F.col("comp").cast("long").alias("comp"), "band").agg(F.max(F.abs("v")).alias("max_abs"), F.sum("v").alias("total"), F.count("*").alias("n"))
+    pixels = F.arrays_zip(*[F.transform(f"c{k}", lambda v: v - 128).alias(f"c{k}") for k in range(3)])
+    of = lambda k: lambda p: C.rct_forward(p["c0"], p["c1"], p["c2"])[k]
+    planes = F.array(*[F.struct(F.lit(k).alias("comp"), F.transform(pixels, of(k)).alias("v")) for k in range(3)])
+    lines = samples.rgb_lines(spark, sf).select("image_id", "y", F.explode(planes).alias("p")).select("image_id", "p.comp", "y", "p.v")
+    pieces = wavelets.decompose(lines, PLANE, 1)
+    band = F.array_position(F.array(*map(F.lit, ("LL", "HL", "LH", "HH"))), F.col("orient")) - 1
+    own = pieces.select("image_id", F.col("comp").cast("long").alias("comp"), band.alias("band"), F.array_max(F.transform("v", lambda v: F.abs(v))).alias("m"), F.aggregate("v", F.lit(0).cast("long"), lambda a, v: a + v).alias("t"), F.size("v").alias("k"))
+    return own.groupBy("image_id", "comp", "band").agg(F.max("m").alias("max_abs"), F.sum("t").alias("total"), F.sum("k").alias("n"))
 
 
 def dc_shift(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,46 +77,50 @@ def ict_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dwt53_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.forward_53(samples.wide(spark, sf), LINE, "x").select("image_id", "y", "x", "v")
+    return _samples(wavelets.split(samples.wide_lines(spark, sf)).withColumn("v", F.concat("lo", "hi")))
 
 
 def dwt53_1d_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.inverse_53(wavelets.forward_53(samples.wide(spark, sf), LINE, "x"), LINE, "x").select("image_id", "y", "x", "v")
+    return _samples(wavelets.joined(wavelets.split(samples.wide_lines(spark, sf))))
 
 
 def dwt53_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(samples.gray(spark, sf), 1, size=EIGHT).select("image_id", "y", "x", "v")
+    return _transformed(samples.gray_lines(spark, sf), 1).select("image_id", "y", "x", "v")
 
 
 def dwt53_multilevel(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(samples.wide(spark, sf), 3).select("image_id", "y", "x", "v")
+    return _transformed(samples.wide_lines(spark, sf), 3).select("image_id", "y", "x", "v")
 
 
 def dwt53_multilevel_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    plane, size = ("image_id", "comp", "w", "h"), ("w", "h")
-    data = wavelets.transform_2d(wavelets.sized(samples.wide(spark, sf)), 3, plane=plane, size=size)
-    return wavelets.transform_2d(data, 3, inverse=True, plane=plane, size=size).select("image_id", "y", "x", "v")
+    """Three levels and back; the images' heights are counted."""
+    lines = samples.wide_lines(spark, sf)
+    sized = lines.join(lines.groupBy("image_id").agg((F.max("y") + 1).alias("h")), "image_id")
+    plane = ("image_id", "comp", "h")
+    data = wavelets.placed(wavelets.decompose(sized, list(plane), 3), list(plane))
+    return _restored(data, 3, ("64", "h"), plane=plane)
 
 
 def dwt97_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.forward_97(samples.wide(spark, sf), LINE, "x").select("image_id", "y", "x", F.round("v", 6).alias("v"))
+    lines = samples.wide_lines(spark, sf).withColumn("v", F.col("v").cast("array<double>"))
+    return _samples(wavelets.split(lines, "97").withColumn("v", F.transform(F.concat("lo", "hi"), lambda v: F.round(v, 6))))
 
 
 def dwt97_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    data = wavelets.transform_2d(wavelets.transform_2d(samples.gray(spark, sf), 2, "97", size=EIGHT), 2, "97", inverse=True, size=EIGHT)
-    return data.select("image_id", "y", "x", F.round("v", 6).alias("v"))
+    lines = samples.gray_lines(spark, sf).withColumn("v", F.col("v").cast("array<double>"))
+    return _restored(_transformed(lines, 2, "97"), 2, EIGHT, "97").withColumn("v", F.round("v", 6))
 
 
 def resolution_decode(spark: SparkSession, sf: str) -> DataFrame:
     """The image at half size: three levels forward, two of them back on the low band."""
-    low = wavelets.transform_2d(samples.gray(spark, sf), 3, size=EIGHT).where("x < 4 and y < 4")
-    return wavelets.transform_2d(low, 2, inverse=True, size=("4", "4")).select("image_id", "y", "x", "v")
+    low = _transformed(samples.gray_lines(spark, sf), 3).where("x < 4 and y < 4")
+    return _restored(low, 2, ("4", "4"))
 
 
 def block_numbps(spark: SparkSession, sf: str) -> DataFrame:
-    plane, size = ("image_id", "comp", "w", "h"), ("w", "h")
-    data = wavelets.transform_2d(wavelets.sized(samples.wide(spark, sf)), 1, plane=plane, size=size)
-    return blocks.bit_planes(blocks.in_blocks(data, 1, 16, 16, size, plane)).select("image_id", "band", "cb_x", "cb_y", "numbps", "n")
+    lines = samples.wide_lines(spark, sf).withColumn("levels", F.lit(1))
+    plane = [*PLANE, "levels"]
+    return blocks.bit_planes(blocks.in_code_blocks(wavelets.decompose(lines, plane, 1), plane, 16, 16)).select("image_id", "band", "cb_x", "cb_y", "numbps", "n")
 
 
 def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +179,8 @@ def tagtree_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    return wavelets.transform_2d(samples.gray(spark, sf).withColumn("v", (F.col("v") - 128) * 16), 1, size=EIGHT).select("image_id", "y", "x", "v")
+    lines = samples.gray_lines(spark, sf).withColumn("v", F.transform("v", lambda v: (v - 128) * 16))
+    return _transformed(lines, 1).select("image_id", "y", "x", "v")
 
 
 def quantize_band(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,8 +214,9 @@ def lsb_compat(spark: SparkSession, sf: str) -> DataFrame:
 
 def compat_decode(spark: SparkSession, sf: str) -> DataFrame:
     """What coding and decoding with the lost last bit makes of the images, without the coder."""
-    data = wavelets.transform_2d(dc_shift(spark, sf).withColumn("comp", F.lit(0)), 2, size=EIGHT).withColumn("v", C.lsb_compat(F.col("v")))
-    return wavelets.transform_2d(data, 2, inverse=True, size=EIGHT).select("image_id", "y", "x", (F.col("v") + 128).alias("v"))
+    lines = samples.gray_lines(spark, sf).withColumn("v", F.transform("v", lambda v: v - 128))
+    data = _transformed(lines, 2).withColumn("v", C.lsb_compat(F.col("v")))
+    return _restored(data, 2, EIGHT).withColumn("v", F.col("v") + 128)
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,22 +286,22 @@ def tile_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 def j2k_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Encode in 5x5 tiles and decode."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k"), kinds=[(2, True)]))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k"), levels=2))
 
 
 def jp2_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2), kinds=[(2, True)]))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=2), levels=2))
 
 
 def region_decode(spark: SparkSession, sf: str) -> DataFrame:
     """A rectangle of tiled files; tiles outside are not decoded."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=1, tile_w=4, tile_h=4), region=(2, 1, 4, 6), kinds=[(1, True)]))
+    return samples.pixels(codec.decode(_files(spark, sf, levels=1, tile_w=4, tile_h=4), region=(2, 1, 4, 6), levels=1))
 
 
 def reduced_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Files of gray images at half size; the finest bands are not decoded."""
     files = codec.encode(samples.gray(spark, sf), codec.EncodeParams(levels=3))
-    return codec.decode(files, reduce=1, kinds=[(3, True)]).select("image_id", "y", "x", "v")
+    return codec.decode(files, reduce=1, levels=3).select("image_id", "y", "x", "v")
 
 
 def file_headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,9 +371,120 @@ def region_errors(spark: SparkSession, sf: str) -> DataFrame:
 def region_subsampled(spark: SparkSession, sf: str) -> DataFrame:
     """A rectangle of images whose second and third component have every second row and column."""
     step = F.when(F.col("comp") == 0, 1).otherwise(2)
+    return blocks.crop(_subsampled(spark, sf), 3, 1, 6, 7, step, step).select("image_id", F.col("comp").cast("long").alias("comp"), "y", "x", "v")
+
+
+def mixed_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """One table of files of 0 to 5 levels, every other one lossy, through one plan: how far each image is from what it was."""
+    levels, lossless = (F.col("image_id") % 6).cast("int"), F.expr("(image_id div 6) % 2 = 0")
+    data = samples.gray(spark, sf)
+    files = codec.encode(data.withColumns({"levels": levels, "lossless": lossless}), codec.EncodeParams(levels=5, format="j2k"))
+    back = codec.decode(files, levels=5).withColumnRenamed("v", "b")
+    found = blocks.errors(data.withColumnRenamed("v", "a").join(back, ["image_id", "comp", "y", "x"]))
+    return found.select("image_id", levels.cast("long").alias("levels"), lossless.alias("lossless"), "n", F.when(lossless, F.col("max_error")).alias("max_error"), (F.col("max_error") <= 2).alias("near"))
+
+
+def _packed(spark: SparkSession, sf: str, **params) -> DataFrame:
+    """The tile index of files that lie in packs in the shared folder."""
+    return ranges.index_tiles(sinks.write_packs(_files(spark, sf, **params), shared_folder(spark, "packs")))
+
+
+def tile_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The tiles of packed containers; none lies in another, and none has more bytes than its file."""
+    found = _packed(spark, sf, levels=1, tile_w=3, tile_h=5)
+    return found.groupBy("image_id", F.col("tile").cast("long").alias("tile")).agg(F.count("*").alias("n"), F.min(F.col("length") > 0).alias("full"), F.min("header.tile_w").cast("long").alias("tile_w"))
+
+
+def region_ranged(spark: SparkSession, sf: str) -> DataFrame:
+    """A rectangle of packed files of which only the bytes of its tiles are read."""
+    region = (2, 1, 4, 6)
+    hit = ranges.in_region(_packed(spark, sf, levels=1, tile_w=4, tile_h=4), region)
+    return samples.pixels(codec.decode_scanned(ranges.scan_ranges(hit), 1, region=region))
+
+
+def region_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many tiles a region of the right half reads, and whether their bytes are what is left of all tiles' without the others."""
+    index = _packed(spark, sf, levels=1, tile_w=4, tile_h=4)
+    whole = index.groupBy("image_id").agg(F.count("*").alias("tiles"), F.sum("length").alias("bytes"))
+    hit = ranges.in_region(index, (4, 0, 8, 8)).groupBy("image_id").agg(F.count("*").alias("hits"), F.sum("length").alias("part"))
+    return whole.join(hit, "image_id").select("image_id", "tiles", "hits", (F.col("part") < F.col("bytes")).alias("fewer"))
+
+
+def _plane_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """For each band of each gray image and each of its bit planes, from the top, what it costs and gains: a bit for each significant sample, and what of the squared error it takes."""
+    data = _coefficients(spark, sf)
+    band = F.when(F.col("x") >= 4, 1).otherwise(0) + F.when(F.col("y") >= 4, 2).otherwise(0)
+    m = F.abs("v")
+    each = data.select("image_id", band.cast("long").alias("band"), m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(12))).alias("bit"))
+    low = lambda n: F.col("m") - F.call_function("shiftleft", F.call_function("shiftright", F.col("m"), n), n)
+    gain = low(F.col("bit") + 1) * low(F.col("bit") + 1) - low(F.col("bit")) * low(F.col("bit"))
+    cost = F.when(F.call_function("shiftright", F.col("m"), F.col("bit")) > 0, 1).otherwise(0)
+    return each.groupBy("image_id", "band", (13 - F.col("bit")).cast("long").alias("k")).agg(F.sum(cost).alias("cost"), F.sum(gain).alias("gain"))
+
+
+def rate_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The bit planes that each band keeps if an image has 200 bits."""
+    return rates.choose(_plane_passes(spark, sf), ["image_id"], ["band"], F.lit(200)).select("image_id", "band", "kept")
+
+
+def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """Gray images in payloads of at most 140, 160 and 200 bytes: all are within, all decode, and more bytes never leave more error over all images of a group of sixteen."""
+    data, out = samples.gray(spark, sf), None
+    for limit in (140, 160, 200):
+        p = codec.EncodeParams(levels=1, format="j2k", max_bytes=limit)
+        files = codec.encode(data, p)
+        sizes = codestream.scan_markers(files).where("marker = 'SOD'").select("image_id", "length")
+        back = blocks.errors(data.withColumnRenamed("v", "a").join(codec.decode(files, levels=1).withColumnRenamed("v", "b"), ["image_id", "comp", "y", "x"]))
+        own = back.join(sizes, "image_id").groupBy(F.expr("image_id div 16").alias("part")).agg(
+            F.lit(limit).alias("bytes_most"), F.max(F.col("length") <= limit).alias("within"), F.sum("n").alias("n"), F.sum("sse").alias("sse"))
+        out = own if out is None else out.unionByName(own)
+    sums = [F.max(F.when(F.col("bytes_most") == b, F.col("sse"))) for b in (140, 160, 200)]
+    return out.groupBy("part").agg(F.min("within").alias("within"), F.sum("n").alias("n"), ((sums[0] >= sums[1]) & (sums[1] >= sums[2]) & (sums[0] > sums[2])).alias("falls"))
+
+
+def refinement_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of each refinement of the coefficients of 4x4 blocks, one for each band."""
+    band = F.when(F.col("x") >= 4, 1).otherwise(0) + F.when(F.col("y") >= 4, 2).otherwise(0)
+    data = _coefficients(spark, sf).select("image_id", band.cast("long").alias("band"), (F.col("y") % 4).alias("y"), (F.col("x") % 4).alias("x"), F.shiftright("v", 4).alias("v"))
+    return blocks.refinement_contexts(data, ("image_id", "band"))
+
+
+def tagtree_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag trees over the code-blocks of each part's image, each of its own depth."""
+    s = samples.shapes(spark, sf).select("image_id", C.ceil_div(F.col("w"), F.col("cblk_w")).alias("w"), C.ceil_div(F.col("h"), F.col("cblk_h")).alias("h"))
+    sized = blocks.tag_tree_sizes(s)
+    cells = sized.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
+    leaves = cells.withColumn("value", (F.col("image_id") * 31 + F.col("y") * 17 + F.col("x") * 7) % 23)
+    return blocks.tag_tree(leaves, F.col("n_levels") - 1)
+
+
+def _subsampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of images whose second and third component have every second row and column."""
+    step = F.when(F.col("comp") == 0, 1).otherwise(2)
     planes = samples.long_form(samples.rgb(spark, sf)).where((F.col("x") % step == 0) & (F.col("y") % step == 0))
-    planes = planes.withColumns({"x": F.floor(F.col("x") / step), "y": F.floor(F.col("y") / step)})
-    return blocks.crop(planes, 3, 1, 6, 7, step, step).select("image_id", F.col("comp").cast("long").alias("comp"), "y", "x", "v")
+    return planes.withColumns({"x": F.floor(F.col("x") / step), "y": F.floor(F.col("y") / step)})
+
+
+def _chroma(spark: SparkSession, sf: str) -> DataFrame:
+    p = codec.EncodeParams(levels=1, tile_w=5, tile_h=3, dx=(1, 2, 2), dy=(1, 2, 2))
+    return codec.encode(_subsampled(spark, sf), p)
+
+
+def subsampled_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with 2x2 chroma in tiles of odd sizes."""
+    return codec.decode(_chroma(spark, sf), levels=1).select("image_id", F.col("comp").cast("long").alias("comp"), "y", "x", "v")
+
+
+def region_subsampled_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """A rectangle of files with 2x2 chroma."""
+    return codec.decode(_chroma(spark, sf), region=(3, 1, 6, 7), levels=1).select("image_id", F.col("comp").cast("long").alias("comp"), "y", "x", "v")
+
+
+def file_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """All markers but the tiles' of containers: every other one has a capability segment, every third one a box with a 16-byte header."""
+    files = codestream.rewrapped(_files(spark, sf, levels=2), F.col("image_id") % 2 == 1, F.col("image_id") % 3 == 1)
+    found = codestream.scan_markers(files).where("marker not in ('SOD', 'EOC')")
+    return found.select("image_id", F.col("box_header").cast("long").alias("box_header"), "marker", "offset", "length")
 
 
 QUERIES = [
@@ -355,6 +492,7 @@ QUERIES = [
     subband_stats, dc_shift, rct_forward, rct_inverse, ict_forward, ict_roundtrip, dwt53_1d, dwt53_1d_inverse, dwt53_2d, dwt53_multilevel, dwt53_multilevel_inverse, dwt97_1d, dwt97_roundtrip,
     resolution_decode, block_numbps, tile_grid, resolution_sizes, subband_layout, band_dimensions, codeblock_grid, codeblock_count, packet_counts, tagtree_min, tagtree_roundtrip, quantize_band,
     dequantize_band, no_quantize, stepsizes, band_norms, lsb_compat, compat_decode, psnr, max_abs_error, region_crop, zc_contexts, sc_contexts, parameter_columns, detect_format, cblk_roundtrip,
+    mixed_decode, tile_index, region_ranged, region_bytes, rate_choice, rate_limited, refinement_contexts, tagtree_grids, subsampled_roundtrip, region_subsampled_decode, file_markers,
     tile_payload, j2k_roundtrip, jp2_roundtrip, region_decode, reduced_decode, file_headers, file_boxes, t2_packets,
 ]
 ALL = {f.__name__: f for f in QUERIES} | {f"packets_{o}": packets_in(o) for o in geometry.ORDERS}

@@ -39,19 +39,24 @@ def detect_format(content: Column) -> Column:
     return F.when(jp2, "jp2").when(F.substring(content, 1, 2) == F.lit(struct.pack(">H", SOC)), "j2k")
 
 
+def box_header(data: bytes, left: int) -> tuple[str, int, int]:
+    """``(type, header size, whole size)`` of the box at the start of ``data``, of which ``left`` bytes are left in the file."""
+    size, kind = take(">I4s", data, 0)
+    head = 8
+    if size == 1:
+        (size,), head = take(">Q", data, 8), 16
+    elif size == 0:
+        size = left
+    if size < head or size > left:
+        raise InvalidData(f"a box of {size} bytes where {left} are left")
+    return kind.decode("latin-1"), head, size
+
+
 def boxes(data: bytes, at: int = 0, end: int | None = None, parent: str = "") -> Iterator[tuple[str, int, int, int, str]]:
     """``(type, offset of the payload, its length, header size, parent)`` of every box; the header box is entered."""
     end = len(data) if end is None else end
     while at < end:
-        size, kind = take(">I4s", data, at)
-        head = 8
-        if size == 1:
-            (size,), head = take(">Q", data, at + 8), 16
-        elif size == 0:
-            size = end - at
-        if size < head or at + size > end:
-            raise InvalidData(f"a box of {size} bytes at {at}")
-        name = kind.decode("latin-1")
+        name, head, size = box_header(data[at : at + 16], end - at)
         yield name, at + head, size - head, head, parent
         if name == "jp2h":
             yield from boxes(data, at + head, at + size, name)
@@ -79,12 +84,12 @@ def colour(payload: bytes) -> dict:
     raise Unsupported(f"colour method {method}")
 
 
-def wrap(codestream: bytes, header: dict, icc: bytes | None = None) -> bytes:
-    """A container with a codestream."""
+def wrap(codestream: bytes, header: dict, icc: bytes | None = None, wide: bool = False) -> bytes:
+    """A container with a codestream; ``wide`` gives its box a header of 16 bytes."""
     bits = header["precisions"][0] - 1 | 0x80 * header["signed"][0]
     ihdr = box("ihdr", struct.pack(">IIHBBBB", header["height"], header["width"], header["n_comps"], bits, 7, 0, 0))
     colr = box("colr", struct.pack(">BBB", 2, 0, 0) + icc if icc is not None else struct.pack(">BBBI", 1, 0, 0, SRGB if header["n_comps"] >= 3 else GRAY))
-    return box("jP  ", SIGNATURE) + box("ftyp", BRAND + bytes(4) + BRAND) + box("jp2h", ihdr + colr) + box("jp2c", codestream)
+    return box("jP  ", SIGNATURE) + box("ftyp", BRAND + bytes(4) + BRAND) + box("jp2h", ihdr + colr) + box("jp2c", codestream, wide)
 
 
 def unwrap(data: bytes) -> bytes:
@@ -164,19 +169,64 @@ def write_tile(index: int, payload: bytes) -> bytes:
     return struct.pack(">HHHIBB", SOT, 10, index, 14 + len(payload), 0, 1) + struct.pack(">H", SOD) + payload
 
 
+def tile_head(head: bytes, left: int) -> tuple[int, int]:
+    """``(tile, size)`` of the tile part that begins with these 14 bytes, of which ``left`` bytes are left in the stream."""
+    if take(">H", head, 0)[0] != SOT:
+        raise InvalidData("no tile part")
+    length, index, size, _, _ = take(">HHIBB", head, 2)
+    if length != 10 or take(">H", head, 12)[0] != SOD:
+        raise InvalidData("a broken tile part")
+    size = size or left - 2
+    if not 14 <= size <= left:
+        raise OutOfBounds(f"a tile part of {size} bytes where {left} are left")
+    return index, size
+
+
 def tile_parts(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
     """``(tile, payload)`` of each tile part up to the end marker."""
-    while (marker := take(">H", data, at)[0]) != EOC:
-        if marker != SOT:
-            raise InvalidData(f"no tile part at {at}")
-        length, index, size, _, _ = take(">HHIBB", data, at + 2)
-        if length != 10 or take(">H", data, at + 12)[0] != SOD:
-            raise InvalidData(f"a broken tile part at {at}")
-        end = at + size if size else len(data) - 2
-        if end > len(data) or end < at + 14:
-            raise OutOfBounds(f"a tile part of {size} bytes at {at}")
-        yield index, data[at + 14 : end]
-        at = end
+    while take(">H", data, at)[0] != EOC:
+        index, size = tile_head(data[at : at + 14], len(data) - at)
+        yield index, data[at + 14 : at + size]
+        at += size
+
+
+# Names of the markers that files have here.
+MARKERS = {SOC: "SOC", SIZ: "SIZ", COD: "COD", QCD: "QCD", CAP: "CAP", SOT: "SOT", SOD: "SOD", EOC: "EOC"}
+
+
+def segments(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """``(marker, offset, length)`` of all markers of a codestream: the length of a segment without its marker, of a tile's data for SOD."""
+    at = 0
+    while True:
+        (marker,) = take(">H", data, at)
+        if marker >> 8 != 0xFF:
+            raise InvalidData(f"no marker at {at}")
+        name = MARKERS.get(marker, f"{marker:04X}")
+        if marker in (SOC, EOC):
+            yield name, at, 0
+            if marker == EOC:
+                return
+            at += 2
+            continue
+        if marker == SOT:
+            _, size = tile_head(data[at : at + 14], len(data) - at)
+            yield name, at, 10
+            yield "SOD", at + 12, size - 14
+            at += size
+            continue
+        (length,) = take(">H", data, at + 2)
+        if length < 2 or at + 2 + length > len(data):
+            raise OutOfBounds(f"a segment of {length} bytes at {at}")
+        if marker == CAP:
+            capabilities(data[at + 4 : at + 2 + length])
+        yield name, at, length
+        at += 2 + length
+
+
+def with_capabilities(data: bytes, word: int, numbers: list[int]) -> bytes:
+    """A codestream with a capability segment behind its SIZ segment."""
+    (length,) = take(">H", data, 4)
+    return data[: 4 + length] + struct.pack(">H", CAP) + capability_segment(word, numbers) + data[4 + length :]
 
 
 PAYLOAD = struct.Struct("<6H3I")
@@ -224,11 +274,28 @@ def scan_headers(files: DataFrame) -> DataFrame:
     return files.select("image_id", "content").mapInArrow(run, schema)
 
 
-def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[int, int, int, int] | None = None) -> DataFrame:
+def _tile_wanted(header: dict, tile: int, region: tuple[int, int, int, int] | None) -> bool:
+    across = -(-header["width"] // header["tile_w"])
+    x0, y0 = tile % across * header["tile_w"], tile // across * header["tile_h"]
+    return region is None or x0 < region[2] and region[0] < x0 + header["tile_w"] and y0 < region[3] and region[1] < y0 + header["tile_h"]
+
+
+def _check_region(header: dict, region: tuple[int, int, int, int] | None) -> None:
+    if region and (region[2] > header["width"] or region[3] > header["height"]):
+        raise OutOfBounds(f"region {region} of an image of {header['width']} by {header['height']}")
+
+
+def tile_blocks(payload: bytes, header: dict, reduce: int) -> Iterator[tuple]:
+    """The blocks of a tile's payload but those of the finest ``reduce`` levels."""
+    most = 3 * (header["levels"] - min(reduce, header["levels"]))
+    return (b for b in read_payload(payload) if b[1] <= most)
+
+
+def scan_blocks(files: DataFrame, reduce: int = 0, region: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Every code-block of ``files(image_id, content)`` with its file's header; a broken file gives one row with an error.
 
-    Blocks of bands finer than ``levels_kept`` resolutions, and tiles outside ``region`` (x0, y0,
-    x1, y1), are left out here, before anything is decoded. A region that leaves the image is an error.
+    Blocks of the finest ``reduce`` levels, and tiles outside ``region`` (x0, y0, x1, y1), are left
+    out here, before anything is decoded. A region that leaves the image is an error.
     """
     arrow = to_arrow(BLOCKS)
 
@@ -239,16 +306,10 @@ def scan_blocks(files: DataFrame, levels_kept: int | None = None, region: tuple[
                 try:
                     data = unwrap(content or b"")
                     header, at = main_header(data)
-                    across = -(-header["width"] // header["tile_w"])
-                    if region and (region[2] > header["width"] or region[3] > header["height"]):
-                        raise OutOfBounds(f"region {region} of an image of {header['width']} by {header['height']}")
+                    _check_region(header, region)
                     for tile, payload in tile_parts(data, at):
-                        x0, y0 = tile % across * header["tile_w"], tile // across * header["tile_h"]
-                        if region and not (x0 < region[2] and region[0] < x0 + header["tile_w"] and y0 < region[3] and region[1] < y0 + header["tile_h"]):
-                            continue
-                        for comp, band, *rest in read_payload(payload):
-                            if levels_kept is None or band <= 3 * levels_kept:
-                                rows.append(dict(zip(arrow.names, (name, tile, comp, band, *rest, header, None), strict=True)))
+                        if _tile_wanted(header, tile, region):
+                            rows += [dict(zip(arrow.names, (name, tile, *b, header, None), strict=True)) for b in tile_blocks(payload, header, reduce)]
                 except CodecError as e:
                     rows = [{"image_id": name, "error": f"{type(e).__name__}: {e}"}]
                 if rows:
@@ -297,3 +358,42 @@ def scan_colours(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in arrow.names} for r in rows], arrow)
 
     return files.select("image_id", "content").mapInArrow(run, COLOUR)
+
+
+MARKER = "image_id long, box_header int, marker string, offset long, length long, error string"
+
+
+def scan_markers(files: DataFrame) -> DataFrame:
+    """All markers of ``files(image_id, content)``, in the columns of ``MARKER``: places in the codestream, the header size of the box that holds it (0 without a container). Markers up to an error have rows, and the error one of its own."""
+    arrow = to_arrow(MARKER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    data = content or b""
+                    head = 0 if data[:2] == b"\xff\x4f" else next((b[3] for b in boxes(data) if b[0] == "jp2c"), 0)
+                    for marker, at, length in segments(unwrap(data)):
+                        rows.append((name, head, marker, at, length, None))
+                except CodecError as e:
+                    rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return files.select("image_id", "content").mapInArrow(run, MARKER)
+
+
+def rewrapped(files: DataFrame, capable: Column, wide: Column) -> DataFrame:
+    """``files(image_id, content)`` of codestreams in containers: with a capability segment where ``capable`` holds, in a box with a 16-byte header where ``wide`` does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for content, cap, wide in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                data = unwrap(content)
+                header, _ = main_header(data)
+                made.append(wrap(with_capabilities(data, 0x00020000, [0x0020]) if cap else data, header, wide=wide))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
+
+    return files.select("image_id", "content", capable.alias("c"), wide.alias("w")).mapInArrow(run, "image_id long, content binary")

@@ -17,25 +17,58 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
 
+def _eight_bits(v: str) -> Column:
+    return F.transform(v, _eight_bit)
+
+
+def _rows(planes: DataFrame, keys: list[str]) -> DataFrame:
+    """The eight rows ``(*keys, y, v)`` of planes ``(*keys, v)`` of 64 samples."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("v", y * 8 + 1, F.lit(8)))
+    return planes.select(*keys, F.posexplode(each).alias("y", "v")).withColumn("y", F.col("y").cast("long"))
+
+
+def gray_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout A as rows ``(image_id, comp, y, v)``: a vector is one 8x8 image."""
+    planes = vectors(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.lit(0).alias("comp"), _eight_bits("embedding").alias("v"))
+    return _rows(planes, ["image_id", "comp"])
+
+
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout A: a vector is one 8x8 image."""
     rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
     return rows.select("image_id", F.lit(0).alias("comp"), F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"), _eight_bit(F.col("e")).alias("v"))
 
 
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(image_id, p0, p1, p2)``: three neighbouring vectors; what is missing of the last image is black."""
+    of = lambda k: F.first(F.when(F.col("vec_id") % 3 == k, _eight_bits("embedding")), ignorenulls=True)
+    planes = vectors(spark, sf_dir).groupBy(F.expr("vec_id div 3").alias("image_id")).agg(*[of(k).alias(f"p{k}") for k in range(3)])
+    black = F.array_repeat(F.lit(0).cast("long"), 64)
+    return planes.select("image_id", *[F.coalesce(f"p{k}", black).alias(f"p{k}") for k in range(3)])
+
+
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout B, a pixel table: three neighbouring vectors are the components ``c0, c1, c2`` of one 8x8 image; incomplete ones are left out."""
-    planes = vectors(spark, sf_dir).groupBy(F.expr("vec_id div 3").alias("image_id")).agg(
-        *[F.first(F.when(F.col("vec_id") % 3 == k, F.col("embedding")), ignorenulls=True).alias(f"p{k}") for k in range(3)])
-    full = planes.where("p0 is not null and p1 is not null and p2 is not null")
-    rows = full.select("image_id", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("i", "p"))
-    return rows.select("image_id", F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"), *[_eight_bit(F.col(f"p.p{k}")).alias(f"c{k}") for k in range(3)])
+    """Layout B, a pixel table: three neighbouring vectors are the components ``c0, c1, c2`` of one 8x8 image."""
+    rows = _planes(spark, sf_dir).select("image_id", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("i", "p"))
+    return rows.select("image_id", F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"), *[F.col(f"p.p{k}").alias(f"c{k}") for k in range(3)])
+
+
+def rgb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout B as rows of pixels ``(image_id, y, c0, c1, c2)``, arrays."""
+    planes = _planes(spark, sf_dir)
+    row = lambda k, y: F.slice(f"p{k}", y * 8 + 1, F.lit(8)).alias(f"c{k}")
+    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.struct(y.cast("long").alias("y"), *[row(k, y) for k in range(3)]))
+    return planes.select("image_id", F.explode(each).alias("r")).select("image_id", "r.*")
+
+
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout C as rows ``(image_id, comp, y, v)``: 64 neighbouring vectors are the rows of one image 64 wide; the last one may be lower."""
+    return vectors(spark, sf_dir).select(F.expr("vec_id div 64").alias("image_id"), F.lit(0).alias("comp"), (F.col("vec_id") % 64).alias("y"), _eight_bits("embedding").alias("v"))
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout C: 64 neighbouring vectors are the rows of one image 64 wide; the last one may be lower."""
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    return rows.select(F.expr("vec_id div 64").alias("image_id"), F.lit(0).alias("comp"), (F.col("vec_id") % 64).alias("y"), F.col("i").cast("long").alias("x"), _eight_bit(F.col("e")).alias("v"))
+    """Layout C as samples."""
+    return wide_lines(spark, sf_dir).select("image_id", "comp", "y", F.posexplode("v").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
 
 
 def long_form(pixels: DataFrame) -> DataFrame:
