@@ -130,15 +130,39 @@ def pack_cell(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tu
     """Windows of ``(document, start, length)`` for documents of these sizes."""
     full = [[(d, at, capacity)] for d, n in enumerate(sizes) for at in range(0, n - capacity + 1, capacity)]
     rest = [(d, n - n % capacity, n % capacity) for d, n in enumerate(sizes) if n % capacity]
-    lengths = [length for _, _, length in rest]
-    k = -(-sum(lengths) // capacity)
-    while rest:
-        windows = [[rest[i] for i in items] for items in difference(lengths, k)]
-        over = max(sum(p[2] for p in w) for w in windows) - capacity
-        if over <= 0:
-            return full + (_fill(windows, capacity) if cut else [w for w in windows if w])
-        k += 1 + k * over // capacity
-    return full
+    if not rest:
+        return full
+    windows = _least_windows([length for _, _, length in rest], capacity)
+    pieces = [[rest[i] for i in items] for items in windows]
+    return full + (_fill(pieces, capacity) if cut else [w for w in pieces if w])
+
+
+def _least_windows(lengths: list[int], capacity: int) -> list[list[int]]:
+    """The items of each window by differencing, with so many windows that none exceeds the capacity.
+
+    The count starts at what sums and items above half a window ask for. Where a window exceeds, it rises
+    by the excess and by twice the last rise at least; a large last rise is halved back.
+    """
+    k = max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
+    low, step = k - 1, 0
+
+    def tried(k: int) -> tuple[int, list[list[int]]]:
+        windows = difference(lengths, k)
+        return max(sum(lengths[i] for i in w) for w in windows) - capacity, windows
+
+    over, windows = tried(k)
+    while over > 0:
+        low, step = k, max(2 * step, 1 + k * over // capacity)
+        k += step
+        over, windows = tried(k)
+    while k - low > 1 + k // 64:
+        middle = (low + k) // 2
+        over, found = tried(middle)
+        if over > 0:
+            low = middle
+        else:
+            k, windows = middle, found
+    return windows
 
 
 def _take(spare: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:

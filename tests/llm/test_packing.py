@@ -53,6 +53,15 @@ def test_differencing(sizes, k):
     assert sums == sorted(sum(sizes[i] for i in w) for w in slow_difference(sizes, k))
 
 
+@pytest.mark.parametrize("sizes", [[1025] * 1023, [1100] * 953, [700] * 500 + [690] * 401, list(range(1, 2047, 7)) * 3])
+def test_few_differencings_find_the_window_count(sizes, monkeypatch):
+    tried, plain = [], packing.difference
+    monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or plain(sizes, k))
+    windows = packing.pack_cell(sizes, 2048, cut=False)
+    assert len(tried) < 20 and all(sum(n for _, _, n in w) <= 2048 for w in windows)
+    assert len(windows) <= 1.02 * max(-(-sum(sizes) // 2048), sum(n > 1024 for n in sizes), -(-len(sizes) // max(1, 2048 // min(sizes)))) + 1
+
+
 def test_the_window_count_rises():
     """Three items of 0.6 windows need three windows, not two; cut, they fill one and the rest is powers of two."""
     assert sorted(len(w) for w in packing.pack_cell([60, 60, 60], 100, cut=False)) == [1, 1, 1]
