@@ -1,27 +1,28 @@
 """Documents whose sets of word shingles have a given Jaccard similarity at least.
 
-Equal sets are one node. A set's signature has ``BANDS * ROWS`` least hashes, each under another
-multiplier; sets that agree in a whole band share its bucket. Of pairs as similar as 0.8, one in 2500
-shares none. As with lines, every set of a bucket is checked against one of them first, then pairs
-whose sets are still in different components. Two bits of each least hash rule out most pairs; what
-is left is checked by exact Jaccard similarity.
+Equal sets are one node. A set's signature has least hashes, each under another multiplier, in
+bands; sets that agree in a whole band share its bucket. How many bands of how many hashes follows from
+the similarity: of pairs just as similar, one in 2500 shares no bucket. As with lines, every set of a
+bucket is checked against one of them first, then pairs whose sets are still in different components.
+Sizes and bitmaps, which differ in no more bits than the sets in shingles, rule out pairs for certain;
+what is left is checked by exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.common import components, cut_lineage, map_batches, sifted, split_join
 
-BANDS, ROWS, WORDS = 20, 5, 4
-#: Least hashes of 100 whose two bits may differ: at a similarity of 0.8, 15 do, and more than 33 in five deviations' tail.
-DIFFERING = 33
-FACTORS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Least hashes of a signature at most, 64-bit words of a bitmap, and the share of pairs at the similarity that may be in no bucket together.
+HASHES, WORDS, MISSED = 100, 8, 1 / 2500
+FACTORS = np.random.default_rng(1).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose hashes are multiplied at once.
 BLOCK = 1 << 11
@@ -33,30 +34,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def signature(hashes: np.ndarray) -> tuple:
+def banding(similarity: float) -> tuple[int, int]:
+    """``(bands, rows)``: the longest bands with which no more than ``MISSED`` of pairs of this similarity share none."""
+    for rows in range(8, 0, -1):
+        bands = 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(similarity**rows))) if similarity > 0 else HASHES + 1
+        if bands * rows <= HASHES:
+            return bands, rows
+    raise ValueError(f"similarity: {similarity} needs more than {HASHES} hashes")
+
+
+def signature(hashes: np.ndarray, similarity: float = 0.8) -> tuple:
     """``SIGNED`` of a set of shingle hashes, sorted and distinct; all null for the empty set."""
     if not len(hashes):
         return (None,) * (3 + WORDS)
-    least = np.full(len(FACTORS), ~np.uint64(0))
+    bands, rows = banding(similarity)
+    factors = FACTORS[: bands * rows]
+    least = np.full(len(factors), ~np.uint64(0))
     for k in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[k : k + BLOCK, None] * FACTORS).min(0))
-    keys = _mix((least.reshape(BANDS, ROWS) * FACTORS[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * MIX)
-    two = np.zeros(32 * WORDS, np.uint64)
-    two[: len(least)] = _mix(least) >> np.uint64(62)
-    bits = (two.reshape(WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        least = np.minimum(least, (hashes[k : k + BLOCK, None] * factors).min(0))
+    keys = _mix((least.reshape(bands, rows) * FACTORS[:rows]).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * MIX)
+    odd = np.bincount((_mix(hashes) >> np.uint64(20)).astype(np.int64) & 64 * WORDS - 1, minlength=64 * WORDS) & 1
+    bits = np.packbits(odd.astype(bool), bitorder="little").view("<i8")
     place = _mix(np.arange(len(hashes), dtype=np.uint64) + MIX)
     sid = _mix((_mix(hashes ^ place)).sum(dtype=np.uint64, keepdims=True))
-    return int(sid.view(np.int64)[0]), len(hashes), keys.view(np.int64).tolist(), *bits.view(np.int64).tolist()
+    return int(sid.view(np.int64)[0]), len(hashes), keys.view(np.int64).tolist(), *bits.tolist()
 
 
 def _near(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and bits allow the similarity."""
+    """Whether sizes and bitmaps allow the similarity."""
     off = F.lit(0)
     for w in range(WORDS):
-        x = F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}"))
-        off = off + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        off = off + F.bit_count(F.col(f"{a}.s{w}").bitwiseXOR(F.col(f"{b}.s{w}")))
     sizes = F.least(f"{a}.size", f"{b}.size") >= F.greatest(f"{a}.size", f"{b}.size") * (similarity - 1e-9)
-    return sizes & (off <= DIFFERING)
+    return sizes & (off <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingles, similarity: float) -> DataFrame:
@@ -81,8 +91,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingles, simi
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     held = cut_lineage(map_batches(texts.select("sid", "text"), hashed, "sid long, held binary"))
-    both = split_join(pairs, held.withColumnsRenamed({"sid": "a", "held": "x"}), "a")
-    both = split_join(both, held.withColumnsRenamed({"sid": "b", "held": "y"}), "b")
+    both = split_join(pairs, held.withColumnsRenamed({"sid": "b", "held": "y"}), "b")
+    both = split_join(both, held.withColumnsRenamed({"sid": "a", "held": "x"}), "a")  # last: what many pairs have in common is not shuffled with each
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
@@ -93,16 +103,17 @@ def groups(own: DataFrame, docs: DataFrame, shingles, similarity: float = 0.8) -
     """
     sets = own.where("sid is not null").groupBy("sid").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", "keys", *(f"s{w}" for w in range(WORDS)))])
     sets = cut_lineage(sets)
-    marks, bucket = sets.select("sid", "size", *(f"s{w}" for w in range(WORDS))), Window.partitionBy("key")
-    shared = sets.select(F.explode("keys").alias("key"), "sid").select("key", "sid", F.count("*").over(bucket).alias("k"), F.min("sid").over(bucket).alias("star"))
-    shared = cut_lineage(shared.where("k > 1").drop("k"))
+    marks, buckets = sets.select("sid", "size", *(f"s{w}" for w in range(WORDS))), sets.select(F.explode("keys").alias("key"), "sid")
+    stars = buckets.groupBy("key").agg(F.count("*").alias("k"), F.min("sid").alias("star")).where("k > 1").drop("k")
+    shared = cut_lineage(split_join(buckets, stars, "key"))
     rays = shared.where("sid != star").select(F.col("star").alias("a"), F.col("sid").alias("b")).distinct()
     rays = split_join(rays, marks.select(F.col("sid").alias("a"), F.struct(*marks.columns).alias("x")), "a")
     rays = split_join(rays, marks.select(F.col("sid").alias("b"), F.struct(*marks.columns).alias("y")), "b").where(_near("x", "y", similarity)).select("a", "b")
     first = _verified(rays, sets, docs, shingles, similarity)
     rooted = split_join(shared.select("key", "sid"), components(first).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = rooted.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo < hi").drop("lo", "hi")
-    marked = cut_lineage(split_join(mixed, marks, "sid"))
+    rooted = cut_lineage(rooted)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    marked = cut_lineage(split_join(split_join(rooted, mixed, "key"), marks, "sid"))
     x, y = marked.alias("x"), marked.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _near("x", "y", similarity))
     pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()

@@ -201,11 +201,13 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, similarity: float
     returned, whatever their names; an empty table gives no rows.
     """
 
+    resemblance.banding(similarity)  # an error here if it is too low
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(2).to_pylist()
         fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * resemblance.WORDS]
-        signed = zip(*[resemblance.signature(shingle_set(t, words)) for t in texts], strict=True)
+        signed = zip(*[resemblance.signature(shingle_set(t, words), similarity) for t in texts], strict=True)
         columns = [pa.array(c, k) for c, k in zip(signed, kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), *columns], ["doc_id", "th", "fp", *(f.split()[0] for f in resemblance.SIGNED.split(", "))])
 
