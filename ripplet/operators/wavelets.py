@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Lifting steps and scale of the 9/7 wavelet.
@@ -30,122 +30,114 @@ CHUNK = 64
 Wavelet = str
 
 
-def _beside_high() -> Column:
-    """For each high sample the sum of its low neighbours."""
-    lo = F.col("lo")
-    beyond = F.coalesce(F.get(lo, F.size(lo) - 2), F.get(lo, F.lit(0)))
-    right = F.concat(F.slice(lo, F.lit(2), F.size(lo)), F.array(beyond))
-    return F.slice(F.zip_with(lo, right, lambda a, b: a + b), F.lit(1), F.size("hi"))
+def _lo_beside(s: str) -> str:
+    """For each high sample of bands ``s`` the sum of its low neighbours."""
+    beyond = f"coalesce(get({s}.lo, size({s}.lo) - 2), get({s}.lo, 0))"
+    return f"slice(zip_with({s}.lo, concat(slice({s}.lo, 2, size({s}.lo)), array({beyond})), (a, b) -> a + b), 1, size({s}.hi))"
 
 
-def _beside_low() -> Column:
-    """For each low sample the sum of its high neighbours."""
-    hi = F.col("hi")
-    first = F.coalesce(F.get(hi, F.lit(1)), F.get(hi, F.lit(0)))
-    last = F.coalesce(F.get(hi, F.size(hi) - 2), F.get(hi, F.lit(0)))
-    both = F.zip_with(F.concat(F.array(first), hi), F.concat(hi, F.array(last)), lambda a, b: a + b)
-    return F.slice(both, F.lit(1), F.size("lo"))
+def _hi_beside(s: str) -> str:
+    """For each low sample of bands ``s`` the sum of its high neighbours."""
+    first, last = f"coalesce(get({s}.hi, 1), get({s}.hi, 0))", f"coalesce(get({s}.hi, size({s}.hi) - 2), get({s}.hi, 0))"
+    return f"slice(zip_with(concat(array({first}), {s}.hi), concat({s}.hi, array({last})), (a, b) -> a + b), 1, size({s}.lo))"
 
 
-def _steps(wavelet: Wavelet, sign: int) -> list[tuple[str, Callable[[Column, Column], Column]]]:
-    """The lifting steps in forward order: which band changes, and how by the sum of its neighbours."""
+def _steps(wavelet: Wavelet, sign: str) -> list[tuple[str, str]]:
+    """The lifting steps in forward order: which band changes, and how a sample ``x`` does by the sum ``n`` of its neighbours."""
+    minus, plus = ("-", "+") if sign == "+" else ("+", "-")
     if wavelet == "53":
-        return [("hi", lambda x, s: x - sign * F.shiftright(s, 1)), ("lo", lambda x, s: x + sign * F.shiftright(s + 2, 2))]
-    real = lambda factor: lambda x, s: x + sign * factor * s
-    steps = [(("hi", "lo")[k % 2], real(factor)) for k, factor in enumerate((ALPHA, BETA, GAMMA, DELTA))]
+        return [("hi", f"x {minus} shiftright(n, 1)"), ("lo", f"x {plus} shiftright(n + 2, 2)")]
+    real = [(("hi", "lo")[k % 2], f"x {plus} {factor!r}D * n") for k, factor in enumerate((ALPHA, BETA, GAMMA, DELTA))]
     if wavelet == "97":
-        return steps
-    whole = [lambda x, s: x - sign * F.floor(s / 2), lambda x, s: x + sign * F.floor((s + 2) / 4), lambda x, s: x, lambda x, s: x]
-    either = lambda f, g: lambda x, s: F.when(F.col(wavelet), g(x, s)).otherwise(f(x, s)).cast("double")
-    return [(band, either(f, g)) for (band, f), g in zip(steps, whole, strict=True)]
+        return real
+    whole = [f"x {minus} floor(n / 2)", f"x {plus} floor((n + 2) / 4)", "x", "x"]
+    return [(band, f"cast(if({wavelet}, {f}, {g}) as double)") for (band, g), f in zip(real, whole, strict=True)]
 
 
-def _lifted(lines: DataFrame, steps: list) -> DataFrame:
-    """Apply the steps in turn; a line of one sample has no high band and stays as it is."""
+def _with(value: str, name: str, then: str) -> str:
+    """``then``, in which ``name`` stands for ``value``, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
+
+
+def _lifted(bands: str, steps: list[tuple[str, str]]) -> str:
+    """Bands after the steps in turn; a line of one sample has no high band and stays as it is."""
     for band, change in steps:
-        beside = _beside_high() if band == "hi" else _beside_low()
-        lines = lines.withColumn(band, F.when(F.size("hi") == 0, F.col(band)).otherwise(F.zip_with(band, beside, change)))
-    return lines
+        beside = _lo_beside("s") if band == "hi" else _hi_beside("s")
+        own = f"if(size(s.hi) = 0, s.{band}, zip_with(s.{band}, {beside}, (x, n) -> {change}))"
+        lo, hi = ("s.lo", own) if band == "hi" else (own, "s.hi")
+        bands = _with(bands, "s", f"named_struct('lo', {lo}, 'hi', {hi})")
+    return bands
 
 
-def _scaled(lines: DataFrame, wavelet: Wavelet, lo: float, hi: float) -> DataFrame:
+def _scaled(bands: str, wavelet: Wavelet, lo: float, hi: float) -> str:
     if wavelet == "53":
-        return lines
-    keep = F.size("hi") == 0
-    if wavelet != "97":
-        keep = keep | F.col(wavelet)
-    times = lambda factor: lambda x: x * factor
-    return lines.withColumns({band: F.when(keep, F.col(band)).otherwise(F.transform(band, times(factor))) for band, factor in (("lo", lo), ("hi", hi))})
+        return bands
+    keep = "size(s.hi) = 0" + ("" if wavelet == "97" else f" or {wavelet}")
+    parts = ", ".join(f"'{band}', if({keep}, s.{band}, transform(s.{band}, x -> x * {factor!r}D))" for band, factor in (("lo", lo), ("hi", hi)))
+    return _with(bands, "s", f"named_struct({parts})")
+
+
+def split_of(v: str, wavelet: Wavelet) -> str:
+    """SQL of the bands, a struct of ``lo`` and ``hi``, of an array."""
+    bands = f"named_struct('lo', filter({v}, (x, i) -> i % 2 = 0), 'hi', filter({v}, (x, i) -> i % 2 = 1))"
+    return _scaled(_lifted(bands, _steps(wavelet, "+")), wavelet, 1 / K, K)
 
 
-def split(lines: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
-    """Lines ``(…, v)`` as their bands ``(…, lo, hi)``."""
-    at = lambda odd: F.filter("v", lambda x, i: i % 2 == odd)
-    bands = lines.withColumns({"lo": at(0), "hi": at(1)}).drop("v")
-    return _scaled(_lifted(bands, _steps(wavelet, 1)), wavelet, 1 / K, K)
+def joined_of(bands: str, wavelet: Wavelet) -> str:
+    """SQL of the array whose bands are the struct ``bands``."""
+    done = _lifted(_scaled(bands, wavelet, K, 1 / K), _steps(wavelet, "-")[::-1])
+    return _with(done, "s", "flatten(zip_with(s.lo, s.hi, (a, b) -> if(b is null, array(a), array(a, b))))")
 
 
-def joined(bands: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
-    """Lines ``(…, v)`` from their bands ``(…, lo, hi)``."""
-    done = _lifted(_scaled(bands, wavelet, K, 1 / K), _steps(wavelet, -1)[::-1])
-    pairs = F.zip_with("lo", "hi", lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))
-    return done.withColumn("v", F.flatten(pairs)).drop("lo", "hi")
+def halves_of(v: str) -> str:
+    """SQL of the bands of an array whose low band stands before its high band."""
+    n = f"int((size({v}) + 1) div 2)"
+    return f"named_struct('lo', slice({v}, 1, {n}), 'hi', slice({v}, {n} + 1, size({v})))"
 
 
-def halves(lines: DataFrame) -> DataFrame:
-    """Lines ``(…, v)`` whose low band stands before their high band, as ``(…, lo, hi)``."""
-    n = F.expr("(size(v) + 1) div 2").cast("int")
-    return lines.withColumns({"lo": F.slice("v", F.lit(1), n), "hi": F.slice("v", n + 1, F.size("v"))}).drop("v")
+def forward(lines: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
+    """Lines ``(…, v)`` with their low band before their high band."""
+    return lines.withColumn("v", F.expr(_with(split_of("v", wavelet), "b", "concat(b.lo, b.hi)")))
+
+
+def inverse(lines: DataFrame, wavelet: Wavelet = "53") -> DataFrame:
+    """Lines from their low band before their high band."""
+    return lines.withColumn("v", F.expr(joined_of(halves_of("v"), wavelet)))
 
 
 def gathered(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Lines ``(*keys, v)`` of samples ``(*keys, at, v)``."""
-    return samples.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "v"))), lambda p: p["v"]).alias("v"))
+    return samples.groupBy(*keys).agg(F.expr(f"transform(sort_array(collect_list(struct({at}, v))), p -> p.v)").alias("v"))
 
 
 def scattered(lines: DataFrame, keys: list[str], at: str) -> DataFrame:
-    return lines.select(*keys, F.posexplode("v").alias(at, "v")).withColumn(at, F.col(at).cast("long"))
+    return lines.selectExpr(*keys, f"posexplode(v) as ({at}, v)").withColumn(at, F.col(at).cast("long"))
 
 
 def transposed(lines: DataFrame, keys: list[str], at: str, other: str) -> DataFrame:
     """Lines ``(*keys, other, v)`` down a plane from all lines ``(*keys, at, v)`` across it, by a shuffle of chunks."""
-    chunks = F.transform(F.sequence(F.lit(1), F.size("v"), F.lit(CHUNK)), lambda i: F.slice("v", i, F.lit(CHUNK)))
-    cut = lines.select(*keys, at, F.posexplode(chunks).alias("_c", "part"))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(at, "part"))), lambda p: p["part"])
-    stacked = cut.groupBy(*keys, "_c").agg(rows.alias("rows"))
-    columns = F.transform(F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1), lambda k: F.transform("rows", lambda r: F.get(r, k)))
-    each = stacked.select(*keys, "_c", F.posexplode(columns).alias("_k", "v"))
-    return each.select(*keys, (F.col("_c") * CHUNK + F.col("_k")).cast("long").alias(other), "v")
-
-
-def _piece(orient: str, x: Column, v: Column | str) -> Column:
-    return F.struct(F.lit(orient).alias("orient"), x.cast("long").alias("x"), (F.col(v) if isinstance(v, str) else v).alias("v"))
+    cut = lines.selectExpr(*keys, at, f"inline(transform(sequence(1, size(v), {CHUNK}), (i, j) -> named_struct('_c', j, 'part', slice(v, i, {CHUNK}))))")
+    stacked = cut.groupBy(*keys, "_c").agg(F.expr(f"transform(sort_array(collect_list(struct({at}, part))), p -> p.part)").alias("rows"))
+    column = f"named_struct('{other}', cast(_c * {CHUNK} + k as bigint), 'v', transform(rows, r -> get(r, k)))"
+    return stacked.selectExpr(*keys, f"inline(transform(sequence(0, size(get(rows, 0)) - 1), k -> {column}))")
 
 
 def decompose(lines: DataFrame, plane: list[str], levels: int, wavelet: Wavelet = "53", own_levels: str | None = None) -> DataFrame:
     """The pieces of all bands of planes ``lines(*plane, y, v)``, after ``levels`` levels, or after as many as the column ``own_levels`` says, at most that."""
-    n = F.col(own_levels).cast("int") if own_levels else F.lit(levels)
-    zero = F.lit(0).cast("long")
-    none = lines.where(n == 0) if own_levels or not levels else None
-    out = None
-    if none is not None:
-        out = none.select(*plane, F.lit(0).alias("level"), F.lit("LL").alias("orient"), zero.alias("x"), F.col("y").cast("long").alias("y"), F.lit(False).alias("down"), "v", zero.alias("x_off"), zero.alias("y_off"))
-    rows = lines.where(n > 0) if own_levels else lines
+    n, out, rows = own_levels or str(levels), None, lines
+    if own_levels or not levels:
+        out = lines.where(f"{n} = 0").selectExpr(*plane, "0 as level", "'LL' as orient", "0L as x", "bigint(y) as y", "false as down", "v", "0L as x_off", "0L as y_off")
+        rows = lines.where(f"{n} > 0")
     for level in range(1, levels + 1):
-        across = split(rows.withColumn("_w", F.size("v")), wavelet)
-        across = across.select(*plane, "_w", "y", F.concat("lo", "hi").alias("v"))
-        columns = split(transposed(across, [*plane, "_w"], "y", "x"), wavelet)
-        low = F.expr("(_w + 1) div 2").cast("long")
-        inside, last = F.col("x") < low, n == level
-        right = F.array(_piece("HL", F.col("x") - low, "lo"), _piece("HH", F.col("x") - low, "hi"))
-        left = F.array(_piece("LH", F.col("x"), "hi"), F.when(last, _piece("LL", F.col("x"), "lo")))
-        pieces = columns.select(*plane, F.explode(F.when(inside, left).otherwise(right)).alias("p"), low.alias("low"), F.size("lo").cast("long").alias("high"))
-        pieces = pieces.where("size(p.v) > 0")
-        x_off, y_off = F.when(F.col("p.orient").isin("HL", "HH"), F.col("low")).otherwise(0), F.when(F.col("p.orient").isin("LH", "HH"), F.col("high")).otherwise(0)
-        made = pieces.select(*plane, F.lit(level).alias("level"), "p.orient", "p.x", zero.alias("y"), F.lit(True).alias("down"), "p.v", x_off.cast("long").alias("x_off"), y_off.cast("long").alias("y_off"))
+        across = rows.selectExpr(*plane, "bigint((size(v) + 1) div 2) as _low", "y", f"{_with(split_of('v', wavelet), 'b', 'concat(b.lo, b.hi)')} as v")
+        columns = transposed(across, [*plane, "_low"], "y", "x").selectExpr(*plane, "_low", "x", f"{split_of('v', wavelet)} as b")
+        piece = lambda o, x, v, dx, dy: f"named_struct('level', {level}, 'orient', '{o}', 'x', {x}, 'y', 0L, 'down', true, 'v', b.{v}, 'x_off', {dx}, 'y_off', bigint({dy}))"  # noqa: B023, E731
+        left = f"array({piece('LH', 'x', 'hi', '0L', 'size(b.lo)')}, if({n} = {level}, {piece('LL', 'x', 'lo', '0L', '0')}, null))"
+        right = f"array({piece('HL', 'x - _low', 'lo', '_low', '0')}, {piece('HH', 'x - _low', 'hi', '_low', 'size(b.lo)')})"
+        made = columns.selectExpr(*plane, f"inline(filter(if(x < _low, {left}, {right}), p -> size(p.v) > 0))")
         out = made if out is None else out.unionByName(made)
         if level < levels:
-            rows = transposed(columns.where(inside & (n > level)).select(*plane, "x", F.col("lo").alias("v")), plane, "x", "y")
+            rows = transposed(columns.where(f"x < _low and {n} > {level}").selectExpr(*plane, "x", "b.lo as v"), plane, "x", "y")
     return out
 
 
@@ -156,15 +148,15 @@ def compose(pieces: Callable[[int], DataFrame], plane: list[str], levels: int, w
     """
     current = None
     for level in range(levels, reduce, -1):
-        low = F.ceil(F.expr(size[0]) / (1 << level)).cast("long")
-        high = F.col("orient").isin("HL", "HH")
-        columns = pieces(level).select(*plane, (F.col("x") + F.when(high, low).otherwise(0)).cast("long").alias("x"), F.col("orient").isin("LH", "HH").alias("second"), F.col("y").cast("long").alias("y"), "v")
+        low = f"ceil({size[0]} / {1 << level})"
+        columns = pieces(level).selectExpr(*plane, f"bigint(x + if(orient in ('HL', 'HH'), {low}, 0)) as x", "orient in ('LH', 'HH') as second", "bigint(y) as y", "v")
         if current is not None:
-            columns = columns.unionByName(current.select(*plane, "x", F.lit(False).alias("second"), F.lit(0).cast("long").alias("y"), "v"))
-        held = columns.groupBy(*plane, "x").agg(F.sort_array(F.collect_list(F.struct("second", "y", "v"))).alias("parts"))
-        part = lambda second: F.flatten(F.transform(F.filter("parts", lambda p: p["second"] == second), lambda p: p["v"]))
-        down = joined(held.select(*plane, "x", part(False).alias("lo"), part(True).alias("hi")), wavelet)
-        rows = joined(halves(transposed(down, plane, "x", "y")), wavelet)
+            columns = columns.unionByName(current.selectExpr(*plane, "x", "false as second", "0L as y", "v"))
+        held = columns.groupBy(*plane, "x").agg(F.expr("sort_array(collect_list(struct(second, y, v)))").alias("parts"))
+        part = lambda which: f"flatten(transform(filter(parts, p -> {which}), p -> p.v))"
+        bands = f"named_struct('lo', {part('not p.second')}, 'hi', {part('p.second')})"
+        down = held.selectExpr(*plane, "x", f"{joined_of(bands, wavelet)} as v")
+        rows = inverse(transposed(down, plane, "x", "y"), wavelet)
         if level > reduce + 1:
             current = transposed(rows, plane, "y", "x")
     return rows
@@ -172,9 +164,8 @@ def compose(pieces: Callable[[int], DataFrame], plane: list[str], levels: int, w
 
 def placed(pieces: DataFrame, plane: list[str]) -> DataFrame:
     """Samples ``(*plane, y, x, v)`` of pieces, at their places in the transformed plane."""
-    each = pieces.select(*plane, "x", "y", "x_off", "y_off", "down", F.posexplode("v").alias("i", "v"))
-    along = lambda down: F.when(F.col("down") == down, F.col("i")).otherwise(0)
-    return each.select(*plane, (F.col("y_off") + F.col("y") + along(True)).alias("y"), (F.col("x_off") + F.col("x") + along(False)).alias("x"), "v")
+    each = pieces.selectExpr(*plane, "y + y_off as y", "x + x_off as x", "down", "posexplode(v) as (i, v)")
+    return each.selectExpr(*plane, "y + if(down, i, 0) as y", "x + if(down, 0, i) as x", "v")
 
 
 def cut_bands(samples: DataFrame, plane: list[str], levels: int, size: tuple[str, str]) -> Callable[[int], DataFrame]:
@@ -191,7 +182,7 @@ def cut_bands(samples: DataFrame, plane: list[str], levels: int, size: tuple[str
     return pieces
 
 
-def transform_2d(samples: DataFrame, levels: int, wavelet: Wavelet = "53", inverse: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
+def transform_2d(samples: DataFrame, levels: int, wavelet: Wavelet = "53", back: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
     """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
 
     Back needs ``size``, expressions of the width and height of a sample's plane. Every plane has its
@@ -201,7 +192,7 @@ def transform_2d(samples: DataFrame, levels: int, wavelet: Wavelet = "53", inver
     if not levels:
         return samples.select(*keys, "y", "x", "v")
     data = samples.withColumn("v", F.col("v").cast("double")) if wavelet == "97" else samples
-    if not inverse:
+    if not back:
         return placed(decompose(gathered(data, [*keys, "y"], "x"), keys, levels, wavelet), keys)
     if size is None:
         raise ValueError("size: what the planes' sizes are")
@@ -212,7 +203,7 @@ def _line_step(back: bool, wavelet: Wavelet) -> Callable[[DataFrame, list[str],
     def step(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
         data = samples.withColumn("v", F.col("v").cast("double")) if wavelet == "97" else samples
         lines = gathered(data, keys, at)
-        done = joined(halves(lines), wavelet) if back else split(lines, wavelet).withColumn("v", F.concat("lo", "hi"))
+        done = inverse(lines, wavelet) if back else forward(lines, wavelet)
         return scattered(done, keys, at)
 
     return step

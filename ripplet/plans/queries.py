@@ -27,7 +27,7 @@ def _transformed(lines: DataFrame, levels: int, wavelet: str = "53") -> DataFram
 
 
 def _restored(samples: DataFrame, levels: int, size: tuple[str, str], wavelet: str = "53", plane: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
-    return wavelets.transform_2d(samples, levels, wavelet, inverse=True, plane=plane, size=size).select("image_id", "y", "x", "v")
+    return wavelets.transform_2d(samples, levels, wavelet, back=True, plane=plane, size=size).select("image_id", "y", "x", "v")
 
 
 def _shifted(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,11 +77,11 @@ def ict_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dwt53_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return _samples(wavelets.split(samples.wide_lines(spark, sf)).withColumn("v", F.concat("lo", "hi")))
+    return _samples(wavelets.forward(samples.wide_lines(spark, sf)))
 
 
 def dwt53_1d_inverse(spark: SparkSession, sf: str) -> DataFrame:
-    return _samples(wavelets.joined(wavelets.split(samples.wide_lines(spark, sf))))
+    return _samples(wavelets.inverse(wavelets.forward(samples.wide_lines(spark, sf))))
 
 
 def dwt53_2d(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +103,7 @@ def dwt53_multilevel_inverse(spark: SparkSession, sf: str) -> DataFrame:
 
 def dwt97_1d(spark: SparkSession, sf: str) -> DataFrame:
     lines = samples.wide_lines(spark, sf).withColumn("v", F.col("v").cast("array<double>"))
-    return _samples(wavelets.split(lines, "97").withColumn("v", F.transform(F.concat("lo", "hi"), lambda v: F.round(v, 6))))
+    return _samples(wavelets.forward(lines, "97").withColumn("v", F.transform("v", lambda v: F.round(v, 6))))
 
 
 def dwt97_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
