@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.plans import codec
-from ripplet.sources.codestream import scan_headers
+from ripplet.sources.codestream import scan_blocks, scan_headers
 
 #: The schema of the ``binaryFile`` source, which a stream must be given.
 FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -23,10 +23,19 @@ def header_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> Data
     return scan_headers(file_stream(spark, path, per_batch))
 
 
-def decode_to(spark: SparkSession, path: str, out: str, checkpoint: str, reduce: int = 0):
-    """Decode arriving files and append their samples to Parquet, batch by batch; a repeated batch overwrites its own folder."""
+def decode_to(spark: SparkSession, path: str, out: str, checkpoint: str, reduce: int = 0, errors: str | None = None):
+    """Decode arriving files and append their samples to Parquet, batch by batch; a repeated batch overwrites its own folder.
+
+    With ``errors`` the broken files of a batch go there as ``(image_id, error)``. A batch's files are
+    parsed once for both.
+    """
 
     def batch(files: DataFrame, number: int) -> None:
-        codec.decode(files, reduce).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scanned = scan_blocks(files, reduce).persist()
+        levels = scanned.agg(F.max("header.levels")).first()[0] or 0
+        codec.decode_scanned(scanned, levels, reduce).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if errors:
+            scanned.where("error is not null").select("image_id", "error").write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        scanned.unpersist()
 
     return file_stream(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -347,8 +347,10 @@ def test_files_and_stream(spark, tmp_path):
     sinks.write_files(files, str(tmp_path / "in"))
     read = codestream.read_files(spark, str(tmp_path / "in/*.jp2")).withColumn("image_id", F.regexp_extract("path", r"(\d+)\.jp2", 1).cast("long"))
     assert values(codec.decode(read)) == values(df)
-    streaming.decode_to(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    (tmp_path / "in/broken.jp2").write_bytes(b"no image")
+    streaming.decode_to(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), errors=str(tmp_path / "errors")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 512
+    assert [r.error.split(":")[0] for r in spark.read.parquet(str(tmp_path / "errors")).collect()] == ["InvalidData"]
     heads = streaming.header_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("heads").outputMode("append").trigger(availableNow=True).start()
     heads.awaitTermination()
     assert spark.sql("select count(*) from heads where header.width = 16 and error is null").first()[0] == 2
