@@ -117,4 +117,7 @@ def step_sizes(params: DataFrame) -> DataFrame:
     raw = F.when(F.col("reversible"), F.lit(1.0)).otherwise(F.lit(1.0) / norm(NORMS_97, orient, level))
     scaled = bands.withColumn("s", F.floor(raw * 8192).cast("long")).withColumn("p", log2_floor(F.col("s"))).withColumn("bits", F.col("precision") + gain)
     mantissa = F.expr("case when p > 11 then shiftright(s, cast(p - 11 as int)) else shiftleft(s, cast(11 - p as int)) end").bitwiseAND(F.lit(0x7FF))
-    return scaled.select(*params.columns, F.col("band").cast("long").alias("band"), (F.col("bits") - (F.col("p") - 13)).cast("long").alias("exponent"), mantissa.alias("mantissa"))
+    return scaled.select(
+        *params.columns, F.col("band").cast("long").alias("band"), (F.col("bits") - (F.col("p") - 13)).cast("long").alias("exponent"),
+        mantissa.alias("mantissa"),
+    )

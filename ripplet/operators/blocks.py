@@ -27,12 +27,20 @@ def in_code_blocks(pieces: DataFrame, plane: list[str], cblk_w: int, cblk_h: int
     cut = pieces.select(*plane, "level", "orient", "down", "x", "y", F.posexplode(parts).alias("j", "v"))
     along = F.col("j") * F.when(F.col("down"), F.lit(cblk_h)).otherwise(F.lit(cblk_w))
     x, y = F.col("x") + F.when(F.col("down"), 0).otherwise(along), F.col("y") + F.when(F.col("down"), along).otherwise(0)
-    cut = cut.select(*plane, band.alias("band"), "level", "orient", "down", (x - x % cblk_w).alias("cb_x"), (y - y % cblk_h).alias("cb_y"), F.when(F.col("down"), x % cblk_w).otherwise(y % cblk_h).alias("i"), "v")
+    cut = cut.select(
+        *plane, band.alias("band"), "level", "orient", "down", (x - x % cblk_w).alias("cb_x"), (y - y % cblk_h).alias("cb_y"),
+        F.when(F.col("down"), x % cblk_w).otherwise(y % cblk_h).alias("i"), "v",
+    )
     cut = spread(cut, *plane, "band", "cb_x", "cb_y")
-    held = cut.groupBy(*plane, "band", "level", "orient", "down", "cb_x", "cb_y").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("m"))
+    held = cut.groupBy(
+        *plane, "band", "level", "orient", "down", "cb_x", "cb_y",
+    ).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("m"))
     rows = F.transform(F.sequence(F.lit(0), F.size(F.get("m", F.lit(0))) - 1), lambda r: F.transform("m", lambda c: F.get(c, r)))
     held = held.withColumn("m", F.when(F.col("down"), rows).otherwise(F.col("m")))
-    return held.select(*plane, "band", "level", "orient", "cb_x", "cb_y", F.size(F.get("m", F.lit(0))).alias("cb_w"), F.size("m").alias("cb_h"), F.flatten("m").cast("array<int>").alias("samples"))
+    return held.select(
+        *plane, "band", "level", "orient", "cb_x", "cb_y", F.size(F.get("m", F.lit(0))).alias("cb_w"), F.size("m").alias("cb_h"),
+        F.flatten("m").cast("array<int>").alias("samples"),
+    )
 
 
 def bit_planes(blocks: DataFrame) -> DataFrame:
@@ -46,7 +54,9 @@ def neighbours(samples: DataFrame, value: Column, plane: tuple[str, ...] = ("ima
     row, column = (Window.partitionBy(*plane, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     data = samples.withColumn("c", value.cast("long"))
     data = data.withColumns({"n": F.lag("c", 1, 0).over(column), "s": F.lead("c", 1, 0).over(column)})
-    sides = {name: f("c" if not at else at, 1, 0).over(row) for name, f, at in (("w", F.lag, ""), ("e", F.lead, ""), ("nw", F.lag, "n"), ("ne", F.lead, "n"), ("sw", F.lag, "s"), ("se", F.lead, "s"))}
+    sides = {name: f("c" if not at else at, 1, 0).over(row) for name, f, at in (
+        ("w", F.lag, ""), ("e", F.lead, ""), ("nw", F.lag, "n"), ("ne", F.lead, "n"), ("sw", F.lag, "s"), ("se", F.lead, "s"),
+    )}
     return data.withColumns(sides)
 
 

@@ -26,7 +26,10 @@ def tiles(shapes: DataFrame) -> DataFrame:
     across, down = ceil_div(F.col("w"), F.col("tile_w")), ceil_div(F.col("h"), F.col("tile_h"))
     cells = shapes.withColumn("across", across).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), across * down - 1)))
     x0, y0 = (F.col("tile") % F.col("across")) * F.col("tile_w"), F.expr("(tile div across) * tile_h")
-    return cells.select("image_id", "tile", x0.alias("x0"), y0.alias("y0"), F.least(x0 + F.col("tile_w"), F.col("w")).alias("x1"), F.least(y0 + F.col("tile_h"), F.col("h")).alias("y1"))
+    return cells.select(
+        "image_id", "tile", x0.alias("x0"), y0.alias("y0"), F.least(x0 + F.col("tile_w"), F.col("w")).alias("x1"),
+        F.least(y0 + F.col("tile_h"), F.col("h")).alias("y1"),
+    )
 
 
 def resolutions(shapes: DataFrame) -> DataFrame:
@@ -46,7 +49,10 @@ def subbands(shapes: DataFrame) -> DataFrame:
         hw, hh = halved(F.col("w"), level - 1) - lw, halved(F.col("h"), level - 1) - lh
         zero = F.lit(0).cast("long")
         parts = [("HL", lw, zero, hw, lh), ("LH", zero, lh, lw, hh), ("HH", lw, lh, hw, hh)]
-        return F.array(*[F.struct((3 * r - 2 + k).alias("band"), F.lit(o).alias("orient"), level.alias("level"), x.alias("x_off"), y.alias("y_off"), w.alias("bw"), h.alias("bh")) for k, (o, x, y, w, h) in enumerate(parts)])
+        return F.array(*[F.struct(
+            (3 * r - 2 + k).alias("band"), F.lit(o).alias("orient"), level.alias("level"), x.alias("x_off"), y.alias("y_off"), w.alias("bw"),
+            h.alias("bh"),
+        ) for k, (o, x, y, w, h) in enumerate(parts)])
 
     finer = F.when(F.col("levels") > 0, F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("levels"), F.lit(1))), three))).otherwise(F.array().cast("array<struct<band:bigint,orient:string,level:bigint,x_off:bigint,y_off:bigint,bw:bigint,bh:bigint>>"))
     rows = shapes.withColumn("b", F.explode(F.concat(F.array(deep), finer)))
@@ -56,8 +62,13 @@ def subbands(shapes: DataFrame) -> DataFrame:
 def codeblocks(bands: DataFrame) -> DataFrame:
     """``(image_id, band, cb_x, cb_y, cb_w, cb_h)`` of every code-block; bands without samples have none."""
     full = bands.where("w > 0 and h > 0")
-    cells = full.withColumn("cb_y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1, F.col("cblk_h")))).withColumn("cb_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1, F.col("cblk_w"))))
-    return cells.select("image_id", "band", "cb_x", "cb_y", F.least(F.col("cblk_w"), F.col("w") - F.col("cb_x")).alias("cb_w"), F.least(F.col("cblk_h"), F.col("h") - F.col("cb_y")).alias("cb_h"))
+    cells = full.withColumn("cb_y", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("h") - 1, F.col("cblk_h"),
+    ))).withColumn("cb_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1, F.col("cblk_w"))))
+    return cells.select(
+        "image_id", "band", "cb_x", "cb_y", F.least(F.col("cblk_w"), F.col("w") - F.col("cb_x")).alias("cb_w"),
+        F.least(F.col("cblk_h"), F.col("h") - F.col("cb_y")).alias("cb_h"),
+    )
 
 
 def packets(precincts: DataFrame, order: str) -> DataFrame:
@@ -69,4 +80,7 @@ def packets(precincts: DataFrame, order: str) -> DataFrame:
 
 def precinct_counts(precincts: DataFrame) -> DataFrame:
     """``(image_id, n_packets, max_res, max_precincts)``: the totals and maxima over components and resolutions."""
-    return precincts.groupBy("image_id").agg(F.sum(F.col("n_precincts") * F.col("layers")).alias("n_packets"), (F.max("res") + 1).alias("max_res"), F.max("n_precincts").alias("max_precincts"))
+    return precincts.groupBy("image_id").agg(
+        F.sum(F.col("n_precincts") * F.col("layers")).alias("n_packets"), (F.max("res") + 1).alias("max_res"),
+        F.max("n_precincts").alias("max_precincts"),
+    )

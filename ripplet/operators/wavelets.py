@@ -141,7 +141,9 @@ def decompose(lines: DataFrame, plane: list[str], levels: int, wavelet: Wavelet
     return out
 
 
-def compose(pieces: Callable[[int], DataFrame], plane: list[str], levels: int, wavelet: Wavelet = "53", reduce: int = 0, size: tuple[str, str] = ("tw", "th")) -> DataFrame:
+def compose(
+    pieces: Callable[[int], DataFrame], plane: list[str], levels: int, wavelet: Wavelet = "53", reduce: int = 0, size: tuple[str, str] = ("tw", "th"),
+) -> DataFrame:
     """Rows ``(*plane, y, v)`` of planes from ``pieces(level)``, the pieces ``(*plane, orient, x, y, v)`` down each band of a level, the low one of planes that end there included.
 
     ``size`` has expressions of a plane's size. The finest ``reduce`` levels are left out; planes that have no more levels than that are not among the rows.
@@ -177,12 +179,18 @@ def cut_bands(samples: DataFrame, plane: list[str], levels: int, size: tuple[str
         right, below = F.col("x") >= lw, F.col("y") >= lh
         wanted = inside if level == levels else inside & (right | below)
         orient = F.when(right & below, "HH").when(right, "HL").when(below, "LH").otherwise("LL")
-        return samples.where(wanted).select(*plane, orient.alias("orient"), (F.col("x") - F.when(right, lw).otherwise(0)).alias("x"), (F.col("y") - F.when(below, lh).otherwise(0)).alias("y"), F.array("v").alias("v"))
+        return samples.where(wanted).select(
+            *plane, orient.alias("orient"), (F.col("x") - F.when(right, lw).otherwise(0)).alias("x"),
+            (F.col("y") - F.when(below, lh).otherwise(0)).alias("y"), F.array("v").alias("v"),
+        )
 
     return pieces
 
 
-def transform_2d(samples: DataFrame, levels: int, wavelet: Wavelet = "53", back: bool = False, plane: tuple[str, ...] = ("image_id", "comp"), size: tuple[str, str] | None = None) -> DataFrame:
+def transform_2d(
+    samples: DataFrame, levels: int, wavelet: Wavelet = "53", back: bool = False, plane: tuple[str, ...] = ("image_id", "comp"),
+    size: tuple[str, str] | None = None,
+) -> DataFrame:
     """Transform ``samples(*plane, y, x, v)`` by ``levels`` levels, rows then columns, or back.
 
     Back needs ``size``, expressions of the width and height of a sample's plane. Every plane has its

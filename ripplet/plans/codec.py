@@ -96,7 +96,9 @@ def coloured(parts: str, reversible: str, inverse: bool = False) -> Column:
     for k in range(3):
         v = F.when(F.col(reversible), F.transform(pixel, of(whole, "long", k))).otherwise(F.transform(pixel, of(real, "float", k)))
         made.append(F.struct(F.lit(k).alias("comp"), v.alias("v")))
-    rest = F.transform(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), lambda p: F.struct(p["comp"].alias("comp"), p["v"].cast("array<double>").alias("v")))
+    rest = F.transform(F.slice(
+        parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)),
+    ), lambda p: F.struct(p["comp"].alias("comp"), p["v"].cast("array<double>").alias("v")))
     kind = "array<struct<comp:int,v:array<double>>>"
     return F.concat(F.array(*made).cast(kind), rest.cast(kind))
 

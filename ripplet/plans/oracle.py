@@ -175,7 +175,7 @@ SQL = {
                        *around("CASE WHEN v >= 140 THEN 1 WHEN v < 116 THEN -1 ELSE 0 END")),
     "parameter_columns": sql(f"""SELECT image_id, CAST(CASE WHEN w <= 1 THEN 0 ELSE length(bin(w)) - 1 END AS BIGINT) AS log2_w, CAST(length(bin(h)) AS BIGINT) AS bits_h, 1 + 3 * levels AS n_bands,
  ['LRCP', 'RLCP', 'RPCL', 'PCRL', 'CPRL'][image_id % 7 + 1] AS progression, (w + tile_w - 1) // tile_w AS across, {half('tile_h', 'levels')} AS reduced_origin FROM s""", SHAPES),
-    "detect_format": "SELECT vec_id AS image_id, CASE vec_id % 3 WHEN 0 THEN 'jp2' WHEN 1 THEN 'j2k' END AS format FROM embeddings",
+    "detect_format": f"SELECT {FILE} AS image_id, CASE {FILE} % 3 WHEN 0 THEN 'jp2' WHEN 1 THEN 'j2k' END AS format FROM embeddings WHERE vec_id % 3 = 0",
     "cblk_roundtrip": sql("SELECT image_id, y, x, v FROM t", GRAY, "k AS (SELECT image_id, y, x, v - 128 AS v FROM g)", transform("k", "t", 1)),
     "tile_payload": sql(f"""SELECT image_id, CAST(tile AS BIGINT) AS tile, CAST(comp AS BIGINT) AS comp, CAST(band AS BIGINT) AS band, CAST(0 AS BIGINT) AS cb_x, CAST(0 AS BIGINT) AS cb_y, cb_w, cb_h,
  CAST({PLANES} AS BIGINT) AS numbps, CAST(CASE WHEN m = 0 THEN 0 ELSE 3 * length(bin(m)) - 2 END AS BIGINT) AS num_passes, CAST(1 AS BIGINT) AS n FROM bl""", RGB, RCT, LONG.format("rct"), *FIVE),

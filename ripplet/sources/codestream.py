@@ -253,7 +253,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-BLOCKS = "image_id long, tile int, comp int, band int, cb_x int, cb_y int, cb_w int, cb_h int, numbps int, num_passes int, data binary, header struct<" + HEADER.replace(" ", ": ").replace(",: ", ", ") + ">, error string"
+BLOCKS = "image_id long, tile int, comp int, band int, cb_x int, cb_y int, cb_w int, cb_h int, numbps int, num_passes int, data binary, "
+BLOCKS += "header struct<" + HEADER.replace(" ", ": ").replace(",: ", ", ") + ">, error string"
 
 
 def scan_headers(files: DataFrame) -> DataFrame:
@@ -364,7 +365,11 @@ MARKER = "image_id long, box_header int, marker string, offset long, length long
 
 
 def scan_markers(files: DataFrame) -> DataFrame:
-    """All markers of ``files(image_id, content)``, in the columns of ``MARKER``: places in the codestream, the header size of the box that holds it (0 without a container). Markers up to an error have rows, and the error one of its own."""
+    """All markers of ``files(image_id, content)``, in the columns of ``MARKER``.
+
+    Places are in the codestream; ``box_header`` is the header size of the box that holds it, 0 without
+    a container. Markers up to an error have rows, and the error one of its own.
+    """
     arrow = to_arrow(MARKER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,16 +389,18 @@ def scan_markers(files: DataFrame) -> DataFrame:
     return files.select("image_id", "content").mapInArrow(run, MARKER)
 
 
-def rewrapped(files: DataFrame, capable: Column, wide: Column) -> DataFrame:
-    """``files(image_id, content)`` of codestreams in containers: with a capability segment where ``capable`` holds, in a box with a 16-byte header where ``wide`` does."""
+def rewrapped(files: DataFrame, capable: Column, wide: Column, contained: Column | None = None) -> DataFrame:
+    """``files(image_id, content)`` with a capability segment where ``capable`` holds, in containers where ``contained`` does (null: all), in a box with a 16-byte header where ``wide`` does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for content, cap, wide in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for content, cap, wide, boxed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 data = unwrap(content)
                 header, _ = main_header(data)
-                made.append(wrap(with_capabilities(data, 0x00020000, [0x0020]) if cap else data, header, wide=wide))
+                data = with_capabilities(data, 0x00020000, [0x0020]) if cap else data
+                made.append(wrap(data, header, wide=wide) if boxed else data)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
 
-    return files.select("image_id", "content", capable.alias("c"), wide.alias("w")).mapInArrow(run, "image_id long, content binary")
+    boxed = F.lit(True) if contained is None else contained
+    return files.select("image_id", "content", capable.alias("c"), wide.alias("w"), boxed.alias("b")).mapInArrow(run, "image_id long, content binary")

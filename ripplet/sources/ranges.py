@@ -63,7 +63,10 @@ def _main_header(part: Part) -> tuple[dict, int, int]:
 
 
 def index_tiles(files: DataFrame) -> DataFrame:
-    """``INDEX`` of ``files(image_id, path, start, size)``: a row for each tile part with its payload's place; ``read`` is how many bytes of a file this took, in its first row. A broken file has a row with an error."""
+    """``INDEX`` of ``files(image_id, path, start, size)``: a row for each tile part with its payload's place.
+
+    ``read`` is how many bytes of a file this took, in its first row. A broken file has a row with an error.
+    """
     schema = to_arrow(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,9 @@ def scan_ranges(index: DataFrame, reduce: int = 0) -> DataFrame:
             for r in batch.to_pylist():
                 try:
                     payload = file(r["path"]).read_at(r["length"], r["offset"])
-                    rows = [dict(zip(arrow.names, (r["image_id"], r["tile"], *b, r["header"], None), strict=True)) for b in codestream.tile_blocks(payload, r["header"], reduce)]
+                    rows = [dict(zip(
+                        arrow.names, (r["image_id"], r["tile"], *b, r["header"], None), strict=True,
+                    )) for b in codestream.tile_blocks(payload, r["header"], reduce)]
                 except CodecError as e:
                     rows = [{"image_id": r["image_id"], "error": f"{type(e).__name__}: {e}"}]
                 if rows:

@@ -36,7 +36,10 @@ def gray_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout A: a vector is one 8x8 image."""
     rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
-    return rows.select("image_id", F.lit(0).alias("comp"), F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"), _eight_bit(F.col("e")).alias("v"))
+    return rows.select(
+        "image_id", F.lit(0).alias("comp"), F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"),
+        _eight_bit(F.col("e")).alias("v"),
+    )
 
 
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +53,10 @@ def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout B, a pixel table: three neighbouring vectors are the components ``c0, c1, c2`` of one 8x8 image."""
     rows = _planes(spark, sf_dir).select("image_id", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("i", "p"))
-    return rows.select("image_id", F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"), *[F.col(f"p.p{k}").alias(f"c{k}") for k in range(3)])
+    return rows.select(
+        "image_id", F.shiftright("i", 3).cast("long").alias("y"), F.col("i").bitwiseAND(F.lit(7)).cast("long").alias("x"),
+        *[F.col(f"p.p{k}").alias(f"c{k}") for k in range(3)],
+    )
 
 
 def rgb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,9 @@ def rgb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout C as rows ``(image_id, comp, y, v)``: 64 neighbouring vectors are the rows of one image 64 wide; the last one may be lower."""
-    return vectors(spark, sf_dir).select(F.expr("vec_id div 64").alias("image_id"), F.lit(0).alias("comp"), (F.col("vec_id") % 64).alias("y"), _eight_bits("embedding").alias("v"))
+    return vectors(spark, sf_dir).select(
+        F.expr("vec_id div 64").alias("image_id"), F.lit(0).alias("comp"), (F.col("vec_id") % 64).alias("y"), _eight_bits("embedding").alias("v"),
+    )
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
