@@ -294,6 +294,13 @@ def _files(spark: SparkSession, sf: str, **params) -> DataFrame:
     return codec.encode(samples.long_form(samples.rgb(spark, sf)), codec.EncodeParams(**params))
 
 
+def _stored(files: DataFrame) -> DataFrame:
+    """Files as a table in the shared folder, as one has them to decode; so a plan that reads them in several places does not encode them there."""
+    folder = shared_folder(files.sparkSession, "files")
+    sinks.write_table(files, folder)
+    return files.sparkSession.read.schema(files.schema).parquet(folder)
+
+
 def tile_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The block tables of files of 5x5 tiles: places, bit planes and passes."""
     rows = codestream.scan_blocks(_files(spark, sf, levels=1, tile_w=5, tile_h=5, format="j2k"))
@@ -303,21 +310,21 @@ def tile_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 def j2k_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Encode in 5x5 tiles and decode."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k"), levels=2))
+    return samples.pixels(codec.decode(_stored(_files(spark, sf, levels=2, tile_w=5, tile_h=5, format="j2k")), levels=2))
 
 
 def jp2_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return samples.pixels(codec.decode(_files(spark, sf, levels=2), levels=2))
+    return samples.pixels(codec.decode(_stored(_files(spark, sf, levels=2)), levels=2))
 
 
 def region_decode(spark: SparkSession, sf: str) -> DataFrame:
     """A rectangle of tiled files; tiles outside are not decoded."""
-    return samples.pixels(codec.decode(_files(spark, sf, levels=1, tile_w=4, tile_h=4), region=(2, 1, 4, 6), levels=1))
+    return samples.pixels(codec.decode(_stored(_files(spark, sf, levels=1, tile_w=4, tile_h=4)), region=(2, 1, 4, 6), levels=1))
 
 
 def reduced_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Files of gray images at half size; the finest bands are not decoded."""
-    files = codec.encode(samples.gray(spark, sf), codec.EncodeParams(levels=3))
+    files = _stored(codec.encode(samples.gray(spark, sf), codec.EncodeParams(levels=3)))
     return codec.decode(files, reduce=1, levels=3).select("image_id", "y", "x", "v")
 
 
@@ -401,7 +408,7 @@ def mixed_decode(spark: SparkSession, sf: str) -> DataFrame:
     """One table of files of 0 to 5 levels, every other one lossy, through one plan: how far each image is from what it was."""
     levels, lossless = (F.col("image_id") % 6).cast("int"), F.expr("(image_id div 6) % 2 = 0")
     data = samples.gray(spark, sf)
-    files = codec.encode(data.withColumns({"levels": levels, "lossless": lossless}), codec.EncodeParams(levels=5, format="j2k"))
+    files = _stored(codec.encode(data.withColumns({"levels": levels, "lossless": lossless}), codec.EncodeParams(levels=5, format="j2k")))
     back = codec.decode(files, levels=5).withColumnRenamed("v", "b")
     found = blocks.errors(data.withColumnRenamed("v", "a").join(back, ["image_id", "comp", "y", "x"]))
     return found.select(
@@ -460,7 +467,7 @@ def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
     data, out = samples.gray(spark, sf), None
     for limit in (140, 160, 200):
         p = codec.EncodeParams(levels=1, format="j2k", max_bytes=limit)
-        files = codec.encode(data, p)
+        files = _stored(codec.encode(data, p))
         sizes = codestream.scan_markers(files).where("marker = 'SOD'").select("image_id", "length")
         back = blocks.errors(data.withColumnRenamed("v", "a").join(codec.decode(files, levels=1).withColumnRenamed("v", "b"), ["image_id", "comp", "y", "x"]))
         own = back.join(sizes, "image_id").groupBy(F.expr("image_id div 16").alias("part")).agg(
@@ -499,7 +506,7 @@ def _subsampled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chroma(spark: SparkSession, sf: str) -> DataFrame:
     p = codec.EncodeParams(levels=1, tile_w=5, tile_h=3, dx=(1, 2, 2), dy=(1, 2, 2))
-    return codec.encode(_subsampled(spark, sf), p)
+    return _stored(codec.encode(_subsampled(spark, sf), p))
 
 
 def subsampled_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
