@@ -141,7 +141,7 @@ def _least_windows(lengths: list[int], capacity: int) -> list[list[int]]:
     """The items of each window by differencing, with so many windows that none exceeds the capacity.
 
     The count starts at what sums and items above half a window ask for. Where a window exceeds, it rises
-    by the excess and by twice the last rise at least; a large last rise is halved back.
+    by the excess and by twice the last rise at least; a last rise of over a sixteenth is halved back.
     """
     k = max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
     low, step = k - 1, 0
@@ -155,7 +155,7 @@ def _least_windows(lengths: list[int], capacity: int) -> list[list[int]]:
         low, step = k, max(2 * step, 1 + k * over // capacity)
         k += step
         over, windows = tried(k)
-    while k - low > 1 + k // 64:
+    while k - low > 1 + k // 16:
         middle = (low + k) // 2
         over, found = tried(middle)
         if over > 0:

@@ -59,7 +59,7 @@ def test_few_differencings_find_the_window_count(sizes, monkeypatch):
     monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or plain(sizes, k))
     windows = packing.pack_cell(sizes, 2048, cut=False)
     assert len(tried) < 20 and all(sum(n for _, _, n in w) <= 2048 for w in windows)
-    assert len(windows) <= 1.02 * max(-(-sum(sizes) // 2048), sum(n > 1024 for n in sizes), -(-len(sizes) // max(1, 2048 // min(sizes)))) + 1
+    assert len(windows) <= 1.07 * max(-(-sum(sizes) // 2048), sum(n > 1024 for n in sizes), -(-len(sizes) // max(1, 2048 // min(sizes)))) + 1
 
 
 def test_the_window_count_rises():
