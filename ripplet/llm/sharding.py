@@ -2,17 +2,20 @@
 
 Documents with equal texts are an indivisible group. Groups sorted by size enter the shard with
 the tightest room that still holds them, found in a balanced tree of the rooms; if none holds
-one, it enters the shard with the most room. So that no task gets all groups, they fall into
-tiers by size (a factor of 16 each). The largest tiers, as long as they are few, are packed
-first and in one task of bounded size. Each later tier is dealt by hash to cells of about
-``cell_groups`` groups, all packed at once, each into its own share of every shard's room; sizes
-in a cell are within the tier's factor, so a cell fills its shares to within its least groups.
+one, it enters the shard with the most room. Only sizes decide, so the packing runs over the table
+of distinct sizes and their counts, largest first: the shard that took a group stays the tightest
+for the next of the same size, so a run of equal sizes is placed in a step for each shard that it fills.
+One task streams that table, which for a sum of S bytes has fewer than sqrt(2 S) rows, and holds
+the tree; the groups themselves are spread, and find their shard by their rank among those of
+their size. The result is that of placing all groups one by one, at every size of the input.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,58 +72,72 @@ class Rooms:
         return [b[0], b[1], self._merge(a, b[2]), b[3]]
 
 
-def best_fit(sizes: list[int], rooms: list[int]) -> list[int]:
-    """The shard of each size, sizes in falling order."""
-    tree, out = Rooms([(room, i) for i, room in enumerate(rooms)]), []
-    for size in sizes:
-        room, shard = tree.take(size)
-        tree.add((room - size, shard))
-        out.append(shard)
-    return out
-
-
-def pack_groups(groups: DataFrame, n_shards: int, cell_groups: int = 20_000) -> DataFrame:
-    """``(g1, g2, g3, shard)`` for ``groups(g1, g2, g3, bytes)``, each group once."""
-    tiered = groups.withColumn("tier", F.floor(F.log2(F.greatest(F.col("bytes"), F.lit(1))) / 4).cast("int"))
-    tiers = tiered.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).orderBy(F.desc("tier")).collect()  # 16 rows at most
-    total = sum(t.b for t in tiers)
-    heavy = []
-    for t in tiers:
-        if t.n > cell_groups:
-            break
-        heavy.append(t.tier)
-    cells = {t.tier: max(1, math.ceil(t.n / cell_groups)) for t in tiers if t.tier not in heavy}
-    out = "g1 long, g2 long, g3 long, bytes long, shard int"
-
-    def deal(part: pd.DataFrame, rooms: list[float]) -> pd.DataFrame:
-        part = part.sort_values(["bytes", "g1", "g2", "g3"], ascending=[False, True, True, True])
-        return part[["g1", "g2", "g3", "bytes"]].assign(shard=best_fit(part.bytes.tolist(), list(map(round, rooms))))
-
-    def deal_share(part: pd.DataFrame) -> pd.DataFrame:
-        scale = int(part.bytes.sum()) / max(1, sum(open_rooms))
-        return deal(part, [scale * room for room in open_rooms])
+def best_fit(runs: Iterable[tuple[int, int]], rooms: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """For each ``(size, count)``, sizes in falling order: the shards of its groups as ``(shard, how many)``, in order."""
+    tree = Rooms([(room, i) for i, room in enumerate(rooms)])
+    for size, count in runs:
+        taken = []
+        while count:
+            room, shard = tree.take(size)
+            n = min(count, max(1, room // size))
+            tree.add((room - n * size, shard))
+            taken.append((shard, n))
+            count -= n
+        yield taken
 
+
+def place_sizes(groups: DataFrame, n_shards: int) -> DataFrame:
+    """``(bytes, n, shards, until)`` for ``groups(bytes, ...)``: for each size its groups, and the shards of the ranks below ``until``.
+
+    A size has at most a shard's entry twice, so its row is bounded by ``n_shards``.
+    """
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     fair, left = total, n_shards  # groups above a fair part fill a shard of their own
-    for r in groups.orderBy(F.desc("bytes")).limit(n_shards - 1).collect():
+    for r in groups.select("bytes").orderBy(F.desc("bytes")).limit(n_shards - 1).collect():
         if r.bytes * left > fair:
             fair, left = fair - r.bytes, left - 1
-    first = [math.ceil(fair / left)] * n_shards
-    top = cut_lineage(tiered.where(F.col("tier").isin(heavy)).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda p: deal(p, first), out)) if heavy else None
-    rooms = list(map(float, first))
-    if top is not None:
-        for r in top.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():  # one row a shard
-            rooms[r.shard] -= r.b
-    if not cells:
-        return (top if top is not None else groups.withColumn("shard", F.lit(0))).select("g1", "g2", "g3", "shard")
-    open_rooms = [max(0.0, room) for room in rooms]
-    n_cells = F.create_map(*[F.lit(x) for t in cells.items() for x in t])
-    rest = tiered.where(~F.col("tier").isin(heavy)) if heavy else tiered
-    rest = rest.withColumn("cell", F.pmod("g1", n_cells[F.col("tier")].cast("long")))
-    low = rest.groupBy("tier", "cell").applyInPandas(deal_share, out)
-    return (low if top is None else low.unionByName(top)).select("g1", "g2", "g3", "shard")
-
-
-def shard(docs: DataFrame, n_shards: int = 24, cell_groups: int = 20_000) -> DataFrame:
+    rooms = [math.ceil(fair / left)] * n_shards
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending: list[pd.DataFrame] = []
+
+        def runs() -> Iterator[tuple[int, int]]:
+            for batch in batches:
+                if len(batch):
+                    pending.append(batch)
+                    yield from zip(batch.bytes.tolist(), batch.n.tolist(), strict=True)
+
+        placed = best_fit(runs(), rooms)
+        first = next(placed, None)
+        while first is not None:
+            batch = pending.pop()
+            taken = [first, *(next(placed) for _ in range(len(batch) - 1))]
+            until = [list(accumulate(n for _, n in t)) for t in taken]
+            yield batch.assign(shards=[[s for s, _ in t] for t in taken], until=until)
+            first = next(placed, None)
+
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n"))
+    return sizes.repartition(1).sortWithinPartitions(F.desc("bytes")).mapInPandas(place, "bytes long, n long, shards array<int>, until array<long>")
+
+
+def pack_groups(groups: DataFrame, n_shards: int, chunk_rows: int = 20_000) -> DataFrame:
+    """``(g1, g2, g3, shard)`` for ``groups(g1, g2, g3, bytes)``, each group once.
+
+    Groups of one size are ranked in chunks of about ``chunk_rows``, which do not change the loads of shards.
+    """
+    sizes = cut_lineage(place_sizes(groups, n_shards))
+    dealt = split_join(groups.select("g1", "g2", "g3", "bytes"), sizes, "bytes").withColumn("chunk", F.pmod("g1", F.floor(F.col("n") / chunk_rows) + 1))
+    dealt = cut_lineage(dealt.select("g1", "g2", "g3", "bytes", "chunk", "shards", "until"))
+    counts = dealt.groupBy("bytes", "chunk").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("bytes").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bytes", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("bytes", "chunk").orderBy("g1", "g2", "g3")
+    ranked = dealt.withColumn("k", F.row_number().over(within)).join(starts, ["bytes", "chunk"]).withColumn("k", F.col("first") + F.col("k") - 1)
+    passed = F.size(F.filter("until", lambda u: u <= F.col("k")))
+    return ranked.select("g1", "g2", "g3", F.element_at("shards", passed + 1).alias("shard"))
+
+
+def shard(docs: DataFrame, n_shards: int = 24, chunk_rows: int = 20_000) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for each row of ``docs(doc_id, text, ...)``.
 
     The law is ``bytes``: shards have near-equal sums of ``size``, the text's UTF-8 bytes and 8.
@@ -135,9 +152,9 @@ def shard(docs: DataFrame, n_shards: int = 24, cell_groups: int = 20_000) -> Dat
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1")))
     groups = cut_lineage(rows.groupBy("g1", F.col("text_crc32").alias("g2"), F.col("size").alias("g3")).agg((F.count("*") * F.col("size")).alias("bytes"), F.count("*").alias("n")))
     n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = pack_groups(groups, n_shards, cell_groups).select("g1", F.col("g2").alias("text_crc32"), F.col("g3").alias("size"), "shard")
+    dealt = pack_groups(groups, n_shards, chunk_rows).select("g1", F.col("g2").alias("text_crc32"), F.col("g3").alias("size"), "shard")
     keys = ["g1", "text_crc32", "size"]
-    placed = cut_lineage(rows.join(dealt, keys).withColumn("chunk", F.pmod(F.hash("doc_id", "g1"), F.lit(n // 20_000 + 1))))
+    placed = cut_lineage(split_join(rows, dealt, keys).withColumn("chunk", F.pmod(F.hash("doc_id", "g1"), F.lit(n // chunk_rows + 1))))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))

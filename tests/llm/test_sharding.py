@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +12,8 @@ from ripplet.llm import sharding
 @settings(max_examples=80, deadline=None)
 def test_best_fit_by_scan(sizes, rooms):
     sizes.sort(reverse=True)
-    got = sharding.best_fit(sizes, rooms)
+    runs = [(size, sizes.count(size)) for size in sorted(set(sizes), reverse=True)]
+    got = [shard for taken in sharding.best_fit(runs, rooms) for shard, n in taken for _ in range(n)]
     left = [(r, i) for i, r in enumerate(rooms)]
     for size, shard in zip(sizes, got, strict=True):
         room, i = min((x for x in left if x[0] >= size), default=max(left))
@@ -34,12 +35,37 @@ def check(rows, docs, n, slack):
     return loads
 
 
+def groups(docs):
+    """``(size, rows)`` of each group of equal texts."""
+    return [(len(t.encode()) + 8, n) for t, n in Counter(t or "" for _, t in docs).items()]
+
+
+def plain_loads(sizes, n):
+    """Loads of shards when all groups, in falling order, are placed one by one."""
+    rooms = [-(-sum(sizes) // n)] * n
+    first = rooms[0]
+    for size in sizes:
+        room, i = min(((r, i) for i, r in enumerate(rooms) if r >= size), default=max((r, i) for i, r in enumerate(rooms)))
+        rooms[i] = room - size
+    return [first - r for r in rooms]
+
+
+def test_hot_sizes(spark):
+    """A third of all groups have one size, others few: the loads are those of one by one, and chunks do not matter."""
+    docs = [(i, f"{i:09d}" if i % 3 else "w" * (i % 700) + f"{i:05d}") for i in range(6000)] + [(i, "again and again") for i in range(2500)]
+    sizes = sorted((size * n for size, n in groups(docs)), reverse=True)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    for chunk in (20_000, 100):
+        assert sorted(check(sharding.shard(df, 5, chunk).collect(), docs, 5, 20)) == sorted(plain_loads(sizes, 5))
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     docs = [(d.doc_id, d.text) for d in df.collect()]
-    for cell, slack in ((20_000, 300), (1500, 30_000)):  # of about 1,060,000 a shard
-        loads = check(sharding.shard(df, 24, cell).collect(), docs, 24, slack)
-        print(cell, min(loads), max(loads))
+    sizes = sorted(((size * n) for size, n in groups(docs)), reverse=True)
+    for chunk in (20_000, 50):
+        loads = check(sharding.shard(df, 24, chunk).collect(), docs, 24, 300)  # of about 1,060,000 a shard
+        assert sorted(loads) == sorted(plain_loads(sizes, 24))
 
 
 def test_odd_rows(spark):
