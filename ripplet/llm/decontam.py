@@ -6,8 +6,9 @@ without marks. Windows of template tokens of documents and items meet in a hash
 match, the placeholders' values are paired up; along one alignment every value of the item must
 stand for one value of the document, or only windows without values count. So a question with other numbers
 or names is caught, and windows that share a template by chance with mixed-up values are not
-counted. Windows of few literals say too little as templates and match only with equal values. A
-document is contaminated by an item if it holds at least ``coverage`` of the item's windows.
+counted. A template without literals, or of under four tokens, says nothing by itself and matches
+only with equal values. A document is contaminated by an item if it holds at least ``coverage`` of
+the item's windows.
 
 Documents' windows are joined only if a bitmap of fixed size, built from the items, may hold them.
 """
@@ -25,17 +26,31 @@ from pyspark.sql import functions as F
 
 from ripplet.llm.common import cut_lineage, map_batches
 
-#: Tokens of a window; literals from which on it matches with other values too.
-WINDOW, LITERALS = 8, 4
+#: Tokens of a window; the least tokens and literals with which it matches with other values too.
+WINDOW, LEAST, LITERALS = 8, 4, 1
 #: Bits of the bitmap, a power of two; words that a task remembers.
 BITS, CACHE = 1 << 26, 600_000
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
 SIGNS = np.array([0, 0x9AE16A3B2F90404F, 0xC949C7DEFC1B9D5F, 0xB492B66FBE98F273, 0], np.uint64)
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 NUMERIC = re.compile(r"[+-]?[0-9][0-9.,:/]*[A-Za-z%]{0,2}\Z")
-# English number words and common units.
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons pound pounds ounce ounces ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees dollar dollars euro euros cent cents mph kmh meter meters metre metres kilometers kilograms grams".split())
+# Number words and common units in English, German, French and Spanish; words that are also articles are left out.
+NUMBER_WORDS = frozenset("""
+    zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+    twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+    null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+    zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+    zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille
+    cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil
+""".split())
+UNITS = frozenset("""
+    mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons pound pounds ounce ounces ml l liter liters litre litres
+    second seconds minute minutes hour hours day days week weeks month months year years percent degree degrees
+    dollar dollars euro euros cent cents mph kmh meter meters metre metres kilometers kilograms grams
+    sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate jahr jahre jahren prozent grad gramm kilogramm kilometer
+    seconde secondes heure heures jour jours semaine semaines mois an ans degré degrés mètre mètres kilomètre kilomètres gramme grammes
+    segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetros litro litros gramo gramos kilo kilos
+""".split())
 
 
 class Templates:
@@ -88,12 +103,12 @@ class Templates:
 
 
 def windows(kind: np.ndarray, template: np.ndarray, value: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all windows of one length, in order; the values count in those with few literals."""
+    """Hashes of all windows of one length, in order; the values count in those that say too little as templates."""
     n = len(kind) - length + 1
     if n <= 0 or not length:
         return np.zeros(0, np.uint64)
     count = np.cumsum(np.r_[0, kind == LITERAL])
-    few = np.flatnonzero(count[length:] - count[:n] < LITERALS)
+    few = np.flatnonzero(count[length:] - count[:n] < LITERALS) if length >= LEAST else np.arange(n)
     h, exact = np.full(n, length, np.uint64), np.full(len(few), length + WINDOW, np.uint64)
     spread, own = template ^ template >> np.uint64(29), value ^ value >> np.uint64(31)
     for j in range(length):
@@ -157,9 +172,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)``; ``th`` is the text's hash. Rows
     of docs with the same id (nulls are one) and text are one document; items with a null id count
     as one item. Null, empty and blank texts have no windows and match nothing; empty tables give
-    no rows. Windows with fewer than ``LITERALS`` literals match only with equal values, so an item
-    of numbers and names is found where it stands as it is. Two values of an item may stand for one
-    value of a document. An item shorter than a window is one window: one word is in each document
+    no rows. Windows without a literal, or with fewer than ``LEAST`` tokens, match only with equal
+    values, so an item of nothing but numbers and names is found where it stands as it is; one literal
+    among them is enough for the same question with other values. Two values of an item may stand for
+    one value of a document, one value not for two. The join of windows is between two plain shuffles, which
+    adaptive execution splits where many documents and items share a template. An item shorter than a window is one window: one word is in each document
     with this word. ``same_slots``: all paired values are equal, the item is there as it is.
     """
     items = cut_lineage(_windows(_keyed(benchmark, "item_id").distinct(), None))

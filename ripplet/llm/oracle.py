@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ripplet.llm import oracle_tables
-from ripplet.llm.decontam import LITERALS, NUMBER_WORDS, UNITS, WINDOW
+from ripplet.llm.decontam import LEAST, LITERALS, NUMBER_WORDS, UNITS, WINDOW
 
 PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -25,7 +25,7 @@ def _windows(name: str, table: str, key: str, lengths: str) -> str:
  {name}_d AS (SELECT id, list(template ORDER BY tok) AS t, list(kind ORDER BY tok) AS k, list(value ORDER BY tok) AS v, count(*) AS n FROM {name}_t GROUP BY id),
  {name}_l AS (SELECT id, t, k, v, n, unnest({lengths}) AS length FROM {name}_d),
  {name}_s AS (SELECT id, length, place, t[place + 1:place + length] AS t, k[place + 1:place + length] AS k, v[place + 1:place + length] AS v FROM (SELECT *, unnest(range(n - length + 1)) AS place FROM {name}_l WHERE n >= length)),
- {name} AS (SELECT id, place, length, CASE WHEN len([x for x in k if x = 'literal']) >= {LITERALS} THEN array_to_string(t, ' ') ELSE array_to_string(t, ' ') || ' with ' || array_to_string(v, ', ') END AS k,
+ {name} AS (SELECT id, place, length, CASE WHEN length >= {LEAST} AND len([x for x in k if x = 'literal']) >= {LITERALS} THEN array_to_string(t, ' ') ELSE array_to_string(t, ' ') || ' with ' || array_to_string(v, ', ') END AS k,
    [p for p in list_zip(v, k) if p[2] <> 'literal'] AS slots FROM {name}_s)"""
 
 
