@@ -3,7 +3,8 @@
 Two transducers rewrite a text and keep for each character of their output the source span it
 came from. The first maps look-alike letters and digits to ASCII and deletes invisible characters.
 The second turns bracketed ``at`` and ``dot`` into ``@`` and ``.``, and then runs of spelled digits
-into digits and ``at`` and ``dot`` between the parts of an address into the same. The detectors run on the source and on the rewritten text; what they find in rewritten
+into digits and ``at`` and ``dot`` between the parts of an address into the same. Words are those of
+English, German, French and Spanish, digits those of every script. The detectors run on the source and on the rewritten text; what they find in rewritten
 places is mapped back to source characters and added unless a span of its kind lies there already.
 """
 
@@ -27,19 +28,30 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Cyrillic and Greek letters that look like Latin ones, and the digits' English names.
+# Cyrillic and Greek letters that look like Latin ones, the digits' names from 0 in four languages, words for at and dot.
 LOOK_ALIKE = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυν", "ABEKMHOPCTXaeopcyxijsdqwABEZHIKMNOPTYXaopuv", strict=True))
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+DIGIT_NAMES = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+DIGITS = {name: str(d) for names in DIGIT_NAMES for d, name in enumerate(names.split())} | {"oh": "0"}
+AT_WORDS, DOT_WORDS = "at|ät|arobase|arroba", "dot|punkt|point|punto"
 INVISIBLE = "­​‌‍⁠﻿"
 
-NAME = "|".join(DIGITS)
-STRANGE = re.compile(f"[{''.join(LOOK_ALIKE)}{INVISIBLE}＋-～\U0001d400-\U0001d7ff①-⑨٠-٩۰-۹]")
-SPELLED = re.compile(rf"\b(?:plus[\x20-]+)?(?:{NAME}|[0-9])(?:[\x20,.-]+(?:{NAME}|[0-9])\b){{6,}}", re.I | re.A)
-DIGIT = re.compile(rf"plus[\x20-]+|(?:{NAME}|[0-9])[\x20,.-]*", re.I | re.A)
-AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
-DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", re.I)
-SAID = re.compile(r"(?<=[A-Za-z0-9._%+-])(\sat\s)(?=[A-Za-z0-9-]{2,64}(?:\.|\sdot\s)[A-Za-z])", re.I)
-SAID_DOT = re.compile(r"(?<=[A-Za-z0-9-])\sdot\s(?=[A-Za-z]{2}|[0-9]{1,3}(?![0-9]))", re.I)
+NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
+#: Digits of other scripts are found by their decimal property, look-alikes by the table, full-width and mathematical letters by their blocks.
+STRANGE = re.compile(rf"[{''.join(LOOK_ALIKE)}{INVISIBLE}＋-～\U0001d400-\U0001d7ff①-⑨]|[^\D0-9]")
+SPELLED = re.compile(rf"\b(?:plus[\x20-]+)?(?:{NAME}|[0-9])(?:[\x20,.-]+(?:{NAME}|[0-9])\b){{6,}}", re.I)
+DIGIT = re.compile(rf"plus[\x20-]+|(?:{NAME}|[0-9])[\x20,.-]*", re.I)
+AT = re.compile(rf"\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?", re.I)
+DOT = re.compile(rf"\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?", re.I)
+#: A bracketed word may stand between spaces after the first pass, so plain dots and signs are there already.
+SAID = re.compile(rf"(?<=[A-Za-z0-9._%+-])(\s(?:{AT_WORDS})\s)(?=[A-Za-z0-9-]{{2,64}}(?:\.|\s(?:{DOT_WORDS})\s)[A-Za-z])", re.I)
+SAID_DOT = re.compile(rf"(?<=[A-Za-z0-9-])\s(?:{DOT_WORDS})\s(?=[A-Za-z]{{2}}|[0-9]{{1,3}}(?![0-9]))", re.I)
+#: What a text must hold, in lower case, for the two to be tried.
+SAYS = re.compile(rf"\s(?:{AT_WORDS}|{DOT_WORDS})\s")
 
 Span = tuple[str, int, int]
 
@@ -128,8 +140,7 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
                 word = d[0].rstrip(" ,.-").lower()
                 last = d.end() == len(run[0])
                 edits.append((run.start() + d.start(), run.start() + (d.start() + len(word) if last else d.end()), "+" if word == "plus" else DIGITS.get(word, word)))
-    low = view.text.lower()
-    if " dot " in low or "\ndot " in low or " at " in low and SAID.search(view.text):
+    if SAYS.search(view.text.lower()):
         edits += [(*m.span(), "@") for m in SAID.finditer(view.text)] + [(*m.span(), ".") for m in SAID_DOT.finditer(view.text)]
     if edits:
         view = view.replace(_non_overlapping(edits))

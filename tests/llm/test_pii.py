@@ -88,6 +88,43 @@ def test_mixed_disguises():
         assert [(k, text[a:b]) for k, a, b in pii.hidden(text, pii.detect(text))] == [(kind, found)]
 
 
+PARTS = st.sampled_from(["jane", "bob.lee", "x7", "mail-er"])
+HOSTS = st.sampled_from(["ejemplo", "beispiel", "a1b"])
+ATS = st.sampled_from([" at ", " arroba ", " arobase ", " ät ", " [at] ", "(ät)", " {arroba} ", " <@> "])
+DOTS = st.sampled_from([" dot ", " punkt ", " point ", " punto ", "[dot]", " (punkt) ", "."])
+ZEROS = st.sampled_from("٠०๐𝟎０۰")
+LEAD, TAIL = st.sampled_from(["", "Sí, ", "ß|", "12 x; "]), st.sampled_from(["", ", y más", "; fin"])
+
+
+@given(LEAD, PARTS, ATS, HOSTS, DOTS, st.sampled_from(["com", "org", "de"]), TAIL)
+@settings(max_examples=300, deadline=None)
+def test_planted_addresses(lead, name, at, host, dot, top, tail):
+    """A disguised address is found at its own place, and nothing else is."""
+    text = lead + name + at + host + dot + top + tail
+    assert pii.hidden(text, pii.detect(text)) == [("email", len(lead), len(text) - len(tail))]
+
+
+@given(LEAD, st.text("0123456789", min_size=9, max_size=15), ZEROS, TAIL)
+@settings(max_examples=200, deadline=None)
+def test_planted_digits_of_scripts(lead, digits, zero, tail):
+    text = lead + "+" + "".join(chr(ord(zero) + int(d)) for d in digits) + tail
+    got = [s for s in pii.hidden(text, pii.detect(text)) if s[0] == "phone"]
+    assert got == [("phone", len(lead), len(text) - len(tail))]
+
+
+@given(st.sampled_from(pii.DIGIT_NAMES), st.text("0123456789", min_size=9, max_size=15), st.sampled_from([" ", "-", ", "]))
+@settings(max_examples=200, deadline=None)
+def test_planted_spelled_digits(names, digits, gap):
+    said = "plus " + gap.join(names.split()[int(d)] for d in digits)
+    text = f"ñ {said} / x"
+    assert ("phone", 2, 2 + len(said)) in pii.hidden(text, pii.detect(text))
+
+
+def test_words_of_prose_stay():
+    for text in ("le point final est mis, un point de vue", "Der Punkt ist gemacht punkt um zehn", "en este punto final", "un dos tres cuatro cinco seis siete", "nos vemos at casa"):
+        assert pii.hidden(text, pii.detect(text)) == []
+
+
 def test_many_hidden_spans_take_linear_time():
     text = "a.b@c.de and jane (at) example (dot) org, " * 20_000
     began = time.process_time()
