@@ -175,8 +175,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     no rows. Windows without a literal, or with fewer than ``LEAST`` tokens, match only with equal
     values, so an item of nothing but numbers and names is found where it stands as it is; one literal
     among them is enough for the same question with other values. Two values of an item may stand for
-    one value of a document, one value not for two. The join of windows is between two plain shuffles, which
-    adaptive execution splits where many documents and items share a template. An item shorter than a window is one window: one word is in each document
+    one value of a document, one value not for two. The planner broadcasts the items' windows while they are
+    small by its threshold; beyond it both sides are shuffled by template, and adaptive execution may split a hot one. An item shorter than a window is one window: one word is in each document
     with this word. ``same_slots``: all paired values are equal, the item is there as it is.
     """
     items = cut_lineage(_windows(_keyed(benchmark, "item_id").distinct(), None))
