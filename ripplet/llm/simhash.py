@@ -5,12 +5,14 @@ The bits lie on a ring of ``m = max(3, radius + 1)`` segments. By the pigeonring
 pair has a start segment from which every chain of ``l`` consecutive segments differs in at
 most ``floor(l * radius / m)`` bits: none in the first, one in the first two, and so on. The
 first two budgets make the join key (start segment equal, next one equal or one bit off);
-the longer chains prune what shares a key before the full Hamming check.
+the longer chains prune what shares a key before the full Hamming check. Keys that very many
+fingerprints share are refined by further bits, so that no task searches more than a bounded run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ BITS = 64
 BLOCK = 1 << 15
 #: Rows with one key that are compared pair by pair; more are searched pivot by pivot.
 SMALL_RUN = 24
+#: Rows with one key that a task holds and searches; more are dealt again by further bits.
+LONG_RUN = 1 << 13
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -130,33 +134,91 @@ def _pairs(key: np.ndarray, fp: np.ndarray, masks: np.ndarray, budgets: np.ndarr
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def _parts(known: int, radius: int) -> list[int]:
+    """Masks of ``radius + 1`` parts of the bits that are not ``known``; a linked pair is equal in one. None if the parts
+    are so short that comparing within all of them costs no less than comparing at once."""
+    free = [b for b in range(BITS) if not known >> b & 1]
+    if 4 ** (len(free) // (radius + 1)) <= radius + 1:
+        return []
+    return [sum(1 << int(b) for b in part) for part in np.array_split(free, radius + 1)]
+
+
+def _dealt(key: np.ndarray, fp: np.ndarray, known: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of long runs once for each part: the start segment and a hash of the old key and the part as their key."""
+    out = [(key[:0], fp[:0], known[:0])]
+    for mask in np.unique(known):
+        at = known == mask
+        for part in np.array(_parts(int(mask), radius), np.uint64):
+            x = (key[at].view(np.uint64) + part) * np.uint64(0x9E3779B97F4A7C15) ^ (fp[at] & part)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ x >> np.uint64(32)) & np.uint64((1 << 58) - 1)
+            out.append((x.view(np.int64) | key[at] >> 58 << 58, fp[at], known[at] | part))
+    key, fp, known = (np.concatenate(c) for c in zip(*out, strict=True))
+    return key, fp, known
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links ``(a, b)`` among the distinct fingerprints ``fps(fp)``: enough of them to join all that is within
-    ``radius`` bits, and none beyond. One narrow shuffle of ``m + 64`` rows for each distinct fingerprint."""
+    ``radius`` bits, and none beyond. One narrow shuffle of ``m + 64`` rows for each distinct fingerprint.
+
+    A run of more than ``LONG_RUN`` rows with one key is not searched in its task but passed on, as it is read, to a next
+    round under keys of further bits: of ``radius + 1`` parts of the bits that the key leaves open, a linked pair
+    is equal in one. Such runs shrink at each round, and the rounds end when none is long. Where a large
+    radius leaves parts too short to tell rows apart, runs are searched whole.
+    """
     if not 0 <= radius < 32:
         raise ValueError("radius: 0 to 31")
     masks, budgets = _chains(radius)
+    long_run = LONG_RUN
+
+    def search(key: np.ndarray, fp: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of the short runs, and the rows of the long ones under their next keys."""
+        edges = np.flatnonzero(np.diff(key)) + 1
+        size = np.diff(np.r_[0, edges, len(key)])
+        long = (size > long_run).repeat(size)
+        if long.any():
+            long &= np.isin(known, [k for k in np.unique(known[long]) if _parts(int(k), radius)])
+            yield passed(key[long], fp[long], known[long])
+        a, b = _pairs(key[~long], fp[~long], masks, budgets)
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], ["a", "b", "key", "known"])
+
+    def passed(key: np.ndarray, fp: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        key, fp, known = _dealt(key, fp, known, radius)
+        columns = [pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(key), pa.array(known.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = _pairs(key, fp.view(np.uint64), masks, budgets)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the last run, which may go on in the next batch
+        held, long = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64)], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if held[0][0][0] != held[-1][0][-1]:
-                key, fp = map(np.concatenate, zip(*held, strict=True))
-                cut = int(np.searchsorted(key, key[-1]))
-                held = [(key[cut:], fp[cut:])]
-                yield linked(key[:cut], fp[:cut])
-        if held:
-            yield linked(*map(np.concatenate, zip(*held, strict=True)))
-
-    keyed = fps.select(F.explode(_keys(F.col("fp"), radius)).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            known = batch.column(2).to_numpy().view(np.uint64) if batch.num_columns > 2 else masks[key >> 58, 1]
+            if long is not None:  # the run that is being passed on may go on in this batch
+                n = int(np.searchsorted(key, long, "right"))
+                yield passed(key[:n], fp[:n], known[:n])
+                key, fp, known = key[n:], fp[n:], known[n:]
+                if not len(key):
+                    continue
+                long = None
+            held = [np.concatenate(both) for both in zip(held, (key, fp, known), strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from search(*(c[:cut] for c in held))
+                held = [c[cut:] for c in held]
+            if len(held[0]) > long_run and _parts(int(held[2][0]), radius):
+                yield passed(*held)
+                held, long = [c[:0] for c in held], held[0][0]
+        if len(held[0]):
+            yield from search(*held)
+
+    rows, found = fps.select(F.explode(_keys(F.col("fp"), radius)).alias("key"), "fp"), []
+    while not found or not rows.isEmpty():
+        out = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long, known long"))
+        found.append(out.where("key is null").select("a", "b"))
+        rows = out.where("key is not null").select("key", F.col("a").alias("fp"), "known")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _roots(fps: DataFrame, radius: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -52,6 +53,60 @@ def test_against_all_pairs(spark, sf):
         assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_hot_keys_are_dealt_again_by_further_bits(spark, monkeypatch):
+    """A run far beyond what a task searches: unlinked rows, pairs that differ in all ways, and a family of near copies."""
+    rng = random.Random(5)
+    low = rng.getrandbits(26)
+    fps = {low | rng.getrandbits(38) << 26 for _ in range(2500)}
+    for f in list(fps)[:400]:
+        for _ in range(rng.randrange(1, 5)):
+            f ^= 1 << rng.randrange(64)
+        fps.add(f)
+    centre = low | rng.getrandbits(38) << 26
+    fps |= {centre ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)}
+    fps = sorted(fps)
+    want = slow_groups(fps, 4)
+    rounds = []
+    dealt = simhash.cut_lineage
+    monkeypatch.setattr(simhash, "LONG_RUN", 100)
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df: rounds.append(1) or dealt(df))
+    pairs = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"), 4).distinct().collect()
+    assert len(rounds) > 1
+    at = {f: k for k, f in enumerate(fps)}
+    pairs = [(p.a & 2**64 - 1, p.b & 2**64 - 1) for p in pairs]
+    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    assert merged(len(fps), [(at[a], at[b]) for a, b in pairs]) == want
+
+
+def test_short_parts_are_searched_whole():
+    known = int(simhash._chains(4)[0][0, 1])
+    parts = simhash._parts(known, 4)
+    assert len(parts) == 5 and sum(parts) == 2**64 - 1 - known
+    assert simhash._parts(2**64 - 1 - 0b11111, 4) == [] and simhash._parts(int(simhash._chains(31)[0][0, 1]), 31) == []
+
+
+def merged(n, pairs):
+    """The least member of each one's component."""
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        i, j = find(i), find(j)
+        up[max(i, j)] = min(i, j)
+    return [find(i) for i in range(n)]
+
+
+def slow_groups(fps, radius):
+    """Components over all pairs."""
+    all_fps = np.array(fps, np.uint64)
+    return merged(len(fps), [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(all_fps[:i] ^ all_fps[i]) <= radius)])
+
+
 def test_long_runs_lose_no_link(spark):
     rng = random.Random(2)
     base = rng.getrandbits(64)
