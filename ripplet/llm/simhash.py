@@ -6,7 +6,7 @@ pair has a start segment from which every chain of ``l`` consecutive segments di
 most ``floor(l * radius / m)`` bits: none in the first, one in the first two, and so on. The
 first two budgets make the join key (start segment equal, next one equal or one bit off);
 the longer chains prune what shares a key before the full Hamming check. Keys that very many
-fingerprints share are refined by further bits, so that no task searches more than a bounded run.
+fingerprints share are refined by further bits, so that unlike rows of a hot key spread over tasks.
 """
 
 from __future__ import annotations
@@ -163,23 +163,31 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     A run of more than ``LONG_RUN`` rows with one key is not searched in its task but passed on, as it is read, to a next
     round under keys of further bits: of ``radius + 1`` parts of the bits that the key leaves open, a linked pair
-    is equal in one. Such runs shrink at each round, and the rounds end when none is long. Where a large
-    radius leaves parts too short to tell rows apart, runs are searched whole.
+    is equal in one. The rounds end when no run is passed on. Runs whose first rows show that this would save no
+    comparisons (large families of near copies, which pivots use up fast, or parts too short
+    to tell rows apart) are searched where they are, 24 bytes a row.
     """
     if not 0 <= radius < 32:
         raise ValueError("radius: 0 to 31")
     masks, budgets = _chains(radius)
     long_run = LONG_RUN
 
+    def deals(fp: np.ndarray, known: int) -> bool:
+        """Whether a long run, judged by its first rows, takes less than half as many comparisons within all parts."""
+        first = fp[:long_run]
+        counts = [np.unique(first & np.uint64(p), return_counts=True)[1] / len(first) for p in _parts(known, radius)]
+        return bool(counts) and sum((c * c).sum() for c in counts) < 0.5
+
     def search(key: np.ndarray, fp: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Links of the short runs, and the rows of the long ones under their next keys."""
+        """Links of the runs; the rows of those that are to be dealt under their next keys."""
         edges = np.flatnonzero(np.diff(key)) + 1
-        size = np.diff(np.r_[0, edges, len(key)])
-        long = (size > long_run).repeat(size)
-        if long.any():
-            long &= np.isin(known, [k for k in np.unique(known[long]) if _parts(int(k), radius)])
-            yield passed(key[long], fp[long], known[long])
-        a, b = _pairs(key[~long], fp[~long], masks, budgets)
+        begin, size = np.r_[0, edges], np.diff(np.r_[0, edges, len(key)])
+        far = np.zeros(len(key), bool)
+        for at, n in zip(begin[size > long_run], size[size > long_run], strict=True):
+            far[at : at + n] = deals(fp[at : at + n], int(known[at]))
+        if far.any():
+            yield passed(key[far], fp[far], known[far])
+        a, b = _pairs(key[~far], fp[~far], masks, budgets)
         none = pa.nulls(len(a), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], ["a", "b", "key", "known"])
 
@@ -189,29 +197,34 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, long = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64)], None
+        held: list[tuple[np.ndarray, ...]] = []  # parts of the last run, which may go on in the next batch
+        long, whole = None, False  # the key whose rows are passed on as they come; whether the held run is not
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             known = batch.column(2).to_numpy().view(np.uint64) if batch.num_columns > 2 else masks[key >> 58, 1]
-            if long is not None:  # the run that is being passed on may go on in this batch
+            if long is not None:
                 n = int(np.searchsorted(key, long, "right"))
                 yield passed(key[:n], fp[:n], known[:n])
                 key, fp, known = key[n:], fp[n:], known[n:]
                 if not len(key):
                     continue
                 long = None
-            held = [np.concatenate(both) for both in zip(held, (key, fp, known), strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield from search(*(c[:cut] for c in held))
-                held = [c[cut:] for c in held]
-            if len(held[0]) > long_run and _parts(int(held[2][0]), radius):
-                yield passed(*held)
-                held, long = [c[:0] for c in held], held[0][0]
-        if len(held[0]):
-            yield from search(*held)
+            held.append((key, fp, known))
+            if held[0][0][0] != key[-1]:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], key[-1]))
+                yield from search(*(c[:cut] for c in rows))
+                held, whole = [tuple(c[cut:] for c in rows)], False
+            if not whole and sum(len(h[0]) for h in held) > long_run:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                whole = not deals(rows[1], int(rows[2][0]))
+                if not whole:
+                    yield passed(*rows)
+                    held, long = [], key[-1]
+        if held:
+            yield from search(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     rows, found = fps.select(F.explode(_keys(F.col("fp"), radius)).alias("key"), "fp"), []
     while not found or not rows.isEmpty():
