@@ -10,29 +10,40 @@ A long line's least hashes are small, so only hashes below a bound are looked at
 leave about ``EXPECTED`` of them. If that leaves a bin empty, the line is signed by all its hashes:
 the signature is always that of the whole line.
 
+Most buckets hold one line or two, and these are known from the least and the greatest line of each
+bucket; only the lines of larger buckets are gathered by a join.
+
 No bucket is compared pair by pair at once. First every line of a bucket is checked against the
 bucket's most frequent line only; the components of these links hold most of each large family.
 Then pairs of the others are checked, but only those in a bucket whose lines are still in different
 components; a pair in one component could add nothing. So the components are those of all pairs.
 Bitmaps of the shingles, which differ in no more bits than the sets in shingles, rule out most of
-these pairs for certain before they are made.
+the pairs of both kinds for certain before their texts are joined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import components, cut_lineage, split_join
+from ripplet.llm.common import components, cut_lineage, sifted, split_join
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Shorter lines (bytes) have no fuzzy links; equal ones still count as one.
 SHORTEST = 20
 #: Hashes that a long line's signature looks at first.
 EXPECTED = 160
-#: 64-bit words of a bitmap; bytes of a line that are shingled at once.
-WORDS, CHUNK = 32, 4096
+#: 64-bit words of a bitmap, and of the folded one that stars are compared by; bytes of a line that are shingled at once.
+WORDS, FOLDED, CHUNK = 32, 8, 4096
+#: Hint for the side of a join that has a row a key and only numbers: it is hashed, so that the texts beside it need no sort.
+HASHED = "shuffle_hash"
+#: A line of these only is blank.
+BLANK = " \t\x0b\f\r"
 #: Slots of the hash map in front of an aggregation: a task's lines times bands shall find room.
 MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 
@@ -46,14 +57,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Every line that is not blank: ``(ord, th, pos, line, id)``."""
     found = _rows(docs).select("ord", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return found.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
+    return found.where(F.octet_length(F.ltrim("line", F.lit(BLANK))) > 0).withColumn("id", F.xxhash64("line"))
 
 
 def _exploded(lines: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each shingle of ``lines(*keep, line)``, repeats included: ``(*keep, h)``."""
     cut = lines.select(*keep, F.col("line").cast("binary").alias("data"))
     each = cut.select(*keep, "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - SHINGLE + 1)).alias("i"))
-    return each.select(*keep, F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    once = F.spark_partition_id() * 0  # not deterministic: no filter is moved below the hash, which would then be made twice
+    return each.select(*keep, (F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))) + once).alias("h"))
 
 
 def _signed(lines: DataFrame, bound: Column) -> DataFrame:
@@ -62,13 +74,26 @@ def _signed(lines: DataFrame, bound: Column) -> DataFrame:
     An empty bin counts as a value, an empty band has no bucket.
     """
     hashed = _exploded(lines.withColumn("bound", bound.cast("long")), ["id", "bound"])
+    every = F.when(F.col("bound") >= 2**56, BANDS).otherwise(0)  # bands of lines that are signed by all hashes count on from BANDS
     placed = hashed.select("id", "bound", F.shiftrightunsigned("h", 8).alias("v"), F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).where("v < bound")
-    placed = placed.select("id", "bound", "v", F.expr(f"int(bin div {ROWS})").alias("band"), F.expr(f"bin % {ROWS}").alias("cell"))
-    least = placed.groupBy("id", "band").agg(F.max("bound").alias("bound"), *[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
+    placed = placed.select("id", "v", (F.expr(f"int(bin div {ROWS})") + every).alias("at"), F.expr(f"bin % {ROWS}").alias("cell"))
+    least = placed.groupBy("id", "at").agg(*[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
     key = F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(-1 - r).cast("long")) for r in range(ROWS)])
     full = F.greatest(*[F.col(f"m{r}").isNull() for r in range(ROWS)])
-    bands = least.select("id", "bound", "band", key.alias("key"), (~full).alias("full")).groupBy("id").agg(F.max("bound").alias("bound"), F.count_if("full").alias("full"), *[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
-    return bands.select("id", ((F.col("full") == BANDS) | (F.col("bound") >= 2**56)).alias("whole"), F.filter(F.array(*[f"k{b}" for b in range(BANDS)]), lambda k: k.isNotNull()).alias("keys"))
+    least = least.withColumn("band", F.pmod("at", F.lit(BANDS)))
+    bands = least.select("id", "at", "band", key.alias("key"), (~full).alias("full")).groupBy("id").agg(F.max("at").alias("at"), F.count_if("full").alias("full"), *[F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
+    return bands.select("id", ((F.col("full") == BANDS) | (F.col("at") >= BANDS)).alias("whole"), F.filter(F.array(*[f"k{b}" for b in range(BANDS)]), lambda k: k.isNotNull()).alias("keys"))
+
+
+@contextmanager
+def _roomy_maps(spark: SparkSession) -> Iterator[None]:
+    """What is planned meanwhile has more slots in front of its aggregations."""
+    slots = spark.conf.get(MAP_BITS, None)
+    spark.conf.set(MAP_BITS, "20")
+    try:
+        yield
+    finally:
+        spark.conf.unset(MAP_BITS) if slots is None else spark.conf.set(MAP_BITS, slots)
 
 
 def _signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,25 +101,21 @@ def _signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Lines with equal shingle sets have equal signatures, however often a shingle repeats.
     """
-    spark, count = lines.sparkSession, F.octet_length("line") - SHINGLE + 1
-    slots = spark.conf.get(MAP_BITS, None)
-    spark.conf.set(MAP_BITS, "20")
-    try:
+    count = F.octet_length("line") - SHINGLE + 1
+    with _roomy_maps(lines.sparkSession):
         first = _signed(lines, F.lit(EXPECTED * 2.0**56) / count).persist(StorageLevel.MEMORY_AND_DISK)
         whole = first.where("whole").select("id", "keys")
         whole.agg(F.count("*")).collect()
-        rest = cut_lineage(_signed(lines.join(whole.select("id"), "id", "left_anti"), F.lit(2**56)).select("id", "keys"))
-    finally:
-        spark.conf.unset(MAP_BITS) if slots is None else spark.conf.set(MAP_BITS, slots)
+        rest = cut_lineage(_signed(lines.join(whole.select("id").hint(HASHED), "id", "left_anti"), F.lit(2**56)).select("id", "keys"))
     return whole, rest
 
 
 def _shingles(line: str) -> Column:
-    """The distinct hashes of a line's shingles, in chunks, so that a long line is not copied for each."""
+    """The hashes of a line's shingles, repeats included, in chunks, so that a long line is not copied for each."""
     data = F.col(line).cast("binary")
     chunks = F.transform(F.sequence(F.lit(1), F.octet_length(data) - SHINGLE + 1, F.lit(CHUNK - SHINGLE + 1)), lambda i: F.substring(data, i, F.lit(CHUNK)))
     each = F.transform(chunks, lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c) - SHINGLE + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
-    return F.array_distinct(F.flatten(each))
+    return F.flatten(each)
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
@@ -104,51 +125,69 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     """
     bit = F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(64 * WORDS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = lines.select("id", F.explode(_shingles("line")).alias("h")).select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
+    words = _exploded(lines, ["id"]).distinct().select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
     words = words.groupBy("id", "w").agg(F.bit_xor("b").alias("b"), F.count("*").alias("n"))
     wide = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.max(F.when(F.col("w") == k, F.col("b"))).alias(f"w{k}") for k in range(WORDS)])
-    return wide.select("id", "size", F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)]).alias("bits"))
+    bits = F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)])
+    with _roomy_maps(lines.sparkSession):
+        return cut_lineage(wide.select("id", "size", bits.alias("bits")))
 
 
-def _may(x: str, y: str, similarity: float) -> Column:
+def _folded(bitmaps: DataFrame) -> DataFrame:
+    """``bitmaps`` with parities in ``64 * FOLDED`` classes, each the union of some of those before."""
+    fold = [reduce(Column.bitwiseXOR, [F.col("bits")[k] for k in range(j, WORDS, FOLDED)]) for j in range(FOLDED)]
+    return bitmaps.select("id", "size", F.array(*fold).alias("bits"))
+
+
+def _may(x: str, y: str, similarity: float, words: int) -> Column:
     """Whether the sizes and bitmaps of ``x`` and ``y`` allow the similarity."""
     sizes = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * (similarity - 1e-9)
-    off = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    off = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(words)), F.lit(0))
     return sizes & (off <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs(a, b, ...)`` whose lines' shingle sets have this Jaccard similarity at least."""
+    """The ``(a, b)`` of ``pairs(a, b, sizes)`` whose lines' shingle sets have this Jaccard similarity at least; ``sizes`` is the sum of those of both sets."""
     both = split_join(cut_lineage(pairs), texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = split_join(both, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select(*pairs.columns, _shingles("x").alias("x"), _shingles("y").alias("y"))
-    met = sets.select(*pairs.columns, F.size("x").alias("m"), F.size("y").alias("n"), F.explode(F.array(F.size(F.array_intersect("x", "y")))).alias("common"))  # exploded: the filter stays behind it
-    return met.where(F.col("common") * (1 + similarity) >= (F.col("m") + F.col("n")) * similarity - 1e-9).select(*pairs.columns)
+    common = F.size(F.array_intersect(_shingles("x"), _shingles("y")))
+    met = both.select("a", "b", "sizes", F.explode(F.array(common)).alias("common"))  # exploded: the filter stays behind it
+    return met.where(F.col("common") * (1 + similarity) >= F.col("sizes") * similarity - 1e-9).select("a", "b")
+
+
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The rows of ``buckets(key, id)`` whose key several lines have."""
+    ends = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    ends = cut_lineage(ends)
+    two = ends.where("k = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))
+    more = ends.where("k > 2").select("key")
+    return two.unionByName(split_join(sifted(buckets, more, ["key"])[0], more, "key"))
 
 
 def _links(lines: DataFrame, similarity: float) -> DataFrame:
     """Components ``(node, root)`` of the lines that have a near-duplicate."""
     whole, rest = _signatures(lines)
-    buckets = whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")
-    several = buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    shared = cut_lineage(split_join(buckets, several, "key"))
+    shared = cut_lineage(_shared(whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")))
     whole.unpersist()
-    texts = cut_lineage(lines.join(shared.select("id").distinct(), "id", "left_semi"))
+    known = shared.select("id").distinct().hint(HASHED)
+    texts = cut_lineage(lines.join(known, "id", "left_semi"))
+    bitmaps = _bitmaps(lines.join(known, "id", "left_semi"))
     counted = split_join(shared, texts.select("id", "n"), "id")
     star = counted.groupBy("key").agg(F.max(F.struct("n", "id")).alias("star")).select("key", F.col("star.id").alias("star"))
     others = cut_lineage(split_join(shared, star, "key").where("id != star"))
     rays = others.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut_lineage(_verified(rays, texts, similarity))
+    for side in "ab":
+        rays = split_join(rays, _folded(bitmaps).select(F.col("id").alias(side), F.struct("size", "bits").alias(f"{side}_of")), side)
+    first = cut_lineage(_verified(rays.where(_may("a_of", "b_of", similarity, FOLDED)).select("a", "b", (F.col("a_of.size") + F.col("b_of.size")).alias("sizes")), texts, similarity))
     roots = cut_lineage(components(first))
     rooted = split_join(others.select("key", "id"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = cut_lineage(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     mixed = cut_lineage(split_join(rooted, mixed, "key"))
-    bitmaps = _bitmaps(texts.join(mixed.select("id").distinct(), "id", "left_semi"))
     marked = cut_lineage(split_join(mixed, bitmaps, "id"))  # both sides of the join below
     x, y = marked.alias("x"), marked.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may("x", "y", similarity))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may("x", "y", similarity, WORDS))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.col("x.size") + F.col("y.size")).alias("sizes")).distinct()
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(pairs, texts, similarity)))
 
 
@@ -169,7 +208,7 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTES
     rooted = lines.select("id", "n").join(roots, "id", "left").where("n > 1 or root is not null")
     rooted = cut_lineage(rooted.select("id", F.coalesce("root", "id").alias("root")))
     lines.unpersist()
-    held = cut_lineage(split_join(found.select("ord", "th", "pos", "id"), rooted, "id").select("ord", "pos", "th", "root"))
+    held = cut_lineage(split_join(found.select("ord", "th", "pos", "id"), rooted.hint(HASHED), "id").select("ord", "pos", "th", "root"))
     keep = held.groupBy("root").agg(F.min(F.struct("ord", "pos", "th")).alias("keep"))
     lost = split_join(held, keep, "root").where(F.struct("ord", "pos", "th") != F.col("keep"))
     return lost.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))

@@ -113,3 +113,35 @@ def test_a_bucket_of_many_unlike_lines(spark):
     want = slow(docs)
     got = {(r.doc_id, int(i)) for r in linededup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in r.dropped.split(",") if i}
     assert got == {(d, i) for d, _, i in want} and want
+
+
+def test_a_shingle_is_hashed_once(spark):
+    """Short lines keep all hashes, so a filter below the hash would make each of them twice."""
+    lines = spark.createDataFrame([(1, "a line that is long enough to be signed")], "id long, line string")
+    plan = linededup._signed(lines, F.octet_length("line") * F.lit(2.0**40))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "xxhash64" in x]
+
+
+def test_buckets_of_one_two_and_more_lines(spark):
+    rng = random.Random(2)
+    rows = [(key, rng.randrange(10**6)) for key in range(300) for _ in range(1 + key % 4)] + [(1000, i) for i in range(5000)] + [(1001, 7), (1001, 7), (None, 1)]
+    want = sorted((k, i) for k, i in rows if k is not None and len({x for y, x in rows if y == k}) > 1)
+    got = linededup._shared(spark.createDataFrame(rows, "key long, id long")).collect()
+    assert sorted((r.key, r.id) for r in got) == want
+
+
+def test_bitmaps_rule_out_no_pair_of_the_similarity(spark):
+    """With folded bitmaps too, stars' pairs below about half the similarity are ruled out before their texts are joined."""
+    rng = random.Random(9)
+    lines = []
+    for k in range(60):
+        line = noisy(rng, "".join(rng.choices("abcdefgh ", k=rng.randrange(30, 900))), 0) * rng.choice([1, 1, 2])
+        lines += [line, noisy(rng, line, 0.004), noisy(rng, line, 0.01), noisy(rng, line, 0.3)]
+    bitmaps = linededup._bitmaps(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    assert all(r.size == len(shingles(lines[r.id])) for r in bitmaps.collect())
+    for maps, words in ((bitmaps, linededup.WORDS), (linededup._folded(bitmaps), linededup.FOLDED)):
+        x, y = maps.alias("x"), maps.alias("y")
+        may = {(r.a, r.b) for r in x.join(y, (F.col("x.id") < F.col("y.id")) & linededup._may("x", "y", 0.8, words)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()}
+        sets = [shingles(x) for x in lines]
+        near = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert near and near <= may and len(may) < 3 * len(near)
