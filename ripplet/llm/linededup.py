@@ -125,7 +125,7 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     """
     bit = F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(64 * WORDS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = _exploded(lines, ["id"]).distinct().select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
+    words = lines.select("id", F.explode(F.array_distinct(_shingles("line"))).alias("h")).select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
     words = words.groupBy("id", "w").agg(F.bit_xor("b").alias("b"), F.count("*").alias("n"))
     wide = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.max(F.when(F.col("w") == k, F.col("b"))).alias(f"w{k}") for k in range(WORDS)])
     bits = F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)])
