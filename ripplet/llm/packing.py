@@ -18,6 +18,7 @@ import os
 import re
 from bisect import insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a task remembers; documents that a cell holds at most (some 500 bytes each, besides their ids).
+#: Words whose ids a worker process remembers; documents that a cell holds at most (some 500 bytes each, besides their ids).
 CACHE, CELL_DOCS = 1_000_000, 1 << 16
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -83,6 +84,12 @@ class WordIds:
             self.words[word] = b"".join([cores[p] for p in ps])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, whose later tasks know the words of the earlier ones; a word's ids depend on the word alone."""
+    return WordIds(path)
+
+
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: the items of each of ``k`` windows with near-equal sums of sizes.
 
@@ -201,7 +208,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, tokenizer_path: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, cell, tokens, at = WordIds(path), [], 0, TaskContext.get().partitionId() << 32
+        ids_of, cell, tokens, at = word_ids(path), [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             names = batch.column(0).to_pylist()
             for k in range(0, len(names), 64):

@@ -124,3 +124,20 @@ def test_cells_of_empty_documents_are_bounded(spark):
             cells.append([])
         cells[-1].append(w)
     assert [sum(r.sequence_id in set(c) for r in rows) for c in cells] == [packing.CELL_DOCS, n - packing.CELL_DOCS]
+
+
+def test_a_worker_learns_a_word_once(spark):
+    """The tasks of one worker process share what they know of words: in one process, no task learns a word anew."""
+    learned = spark.sparkContext.accumulator(0)
+    known = spark.sparkContext.parallelize(range(4), 1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def task(_):
+        ids_of = packing.word_ids(path)
+        first = ids_of([b"a word that tasks share"], 1)
+        plain, ids_of._learn = ids_of._learn, lambda missing: learned.add(len(missing)) or plain(missing)
+        assert packing.word_ids(path)([b"a word that tasks share"], 1) == first
+        ids_of._learn = plain
+        yield first[0]
+
+    assert len(known.mapPartitions(task).collect()) == 1 and learned.value == 0
