@@ -46,6 +46,8 @@ HASHED = "shuffle_hash"
 BLANK = " \t\x0b\f\r"
 #: Slots of the hash map in front of an aggregation: a task's lines times bands shall find room.
 MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+#: Whether persisted columns are compressed: texts and hashes gain nothing by it.
+PACKED = "spark.sql.inMemoryColumnarStorage.compressed"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -87,13 +89,15 @@ def _signed(lines: DataFrame, bound: Column) -> DataFrame:
 
 @contextmanager
 def _roomy_maps(spark: SparkSession) -> Iterator[None]:
-    """What is planned meanwhile has more slots in front of its aggregations."""
-    slots = spark.conf.get(MAP_BITS, None)
+    """What is planned meanwhile has more slots in front of its aggregations and persists its rows uncompressed."""
+    old = {k: spark.conf.get(k, None) for k in (MAP_BITS, PACKED)}
     spark.conf.set(MAP_BITS, "20")
+    spark.conf.set(PACKED, "false")
     try:
         yield
     finally:
-        spark.conf.unset(MAP_BITS) if slots is None else spark.conf.set(MAP_BITS, slots)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +122,15 @@ def _shingles(line: str) -> Column:
     return F.flatten(each)
 
 
+def _distinct(lines: DataFrame) -> DataFrame:
+    """``(id, set)``: the hashes of each line's distinct shingles.
+
+    A column of its own, as an explode of this expression would compute it, and each of its rows, without generated code.
+    """
+    once = F.spark_partition_id() >= 0  # not deterministic: no filter on the set is moved below it, which would then be made twice
+    return lines.select("id", F.when(once, F.array_distinct(_shingles("line"))).alias("set"))
+
+
 def _bitmaps(lines: DataFrame) -> DataFrame:
     """``(id, size, bits)``: the number of each line's distinct shingles, and their parities in ``64 * WORDS`` classes.
 
@@ -125,7 +138,7 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     """
     bit = F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(64 * WORDS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = lines.select("id", F.explode(F.array_distinct(_shingles("line"))).alias("h")).select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
+    words = _distinct(lines).select("id", F.explode("set").alias("h")).select("id", F.shiftright(bit, 6).cast("int").alias("w"), one.alias("b"))
     words = words.groupBy("id", "w").agg(F.bit_xor("b").alias("b"), F.count("*").alias("n"))
     wide = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.max(F.when(F.col("w") == k, F.col("b"))).alias(f"w{k}") for k in range(WORDS)])
     bits = F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)])
@@ -151,14 +164,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     both = split_join(cut_lineage(pairs), texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = split_join(both, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     common = F.size(F.array_intersect(_shingles("x"), _shingles("y")))
-    met = both.select("a", "b", "sizes", F.explode(F.array(common)).alias("common"))  # exploded: the filter stays behind it
+    met = both.select("a", "b", "sizes", common.alias("common"))  # a column of its own, as in _distinct
+    met = met.select("a", "b", "sizes", F.explode(F.array("common")).alias("common"))  # exploded: the filter stays behind it
     return met.where(F.col("common") * (1 + similarity) >= F.col("sizes") * similarity - 1e-9).select("a", "b")
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
     """The rows of ``buckets(key, id)`` whose key several lines have."""
     ends = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    ends = cut_lineage(ends)
+    with _roomy_maps(buckets.sparkSession):
+        ends = cut_lineage(ends)
     two = ends.where("k = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))
     more = ends.where("k > 2").select("key")
     return two.unionByName(split_join(sifted(buckets, more, ["key"])[0], more, "key"))
@@ -170,8 +185,10 @@ def _links(lines: DataFrame, similarity: float) -> DataFrame:
     shared = cut_lineage(_shared(whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")))
     whole.unpersist()
     known = shared.select("id").distinct().hint(HASHED)
-    texts = cut_lineage(lines.join(known, "id", "left_semi"))
-    bitmaps = _bitmaps(lines.join(known, "id", "left_semi"))
+    near = lines.join(known, "id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)  # unlike a checkpoint, it keeps the partitioning by id
+    texts = cut_lineage(near)
+    bitmaps = _bitmaps(near)
+    near.unpersist()
     counted = split_join(shared, texts.select("id", "n"), "id")
     star = counted.groupBy("key").agg(F.max(F.struct("n", "id")).alias("star")).select("key", F.col("star.id").alias("star"))
     others = cut_lineage(split_join(shared, star, "key").where("id != star"))
@@ -201,8 +218,9 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTES
     """
     found = _occurrences(docs)
     lines = found.withColumn("h", F.hash("line")).groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    lines = lines.where("lo = hi").select("id", "line", "n").persist(StorageLevel.MEMORY_AND_DISK)
-    lines.agg(F.count("*")).collect()  # now its partitioning by id is known and saves shuffles
+    with _roomy_maps(docs.sparkSession):
+        lines = lines.where("lo = hi").select("id", "line", "n").persist(StorageLevel.MEMORY_AND_DISK)
+        lines.agg(F.count("*")).collect()  # now its partitioning by id is known and saves shuffles
     roots = _links(lines.where(F.octet_length("line") >= max(shortest, SHINGLE)), similarity)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
     rooted = lines.select("id", "n").join(roots, "id", "left").where("n > 1 or root is not null")

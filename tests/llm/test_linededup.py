@@ -145,3 +145,14 @@ def test_bitmaps_rule_out_no_pair_of_the_similarity(spark):
         sets = [shingles(x) for x in lines]
         near = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
         assert near and near <= may and len(may) < 3 * len(near)
+
+
+def test_shingles_are_made_once_and_not_inside_an_explode(spark):
+    """An explode that holds them computes them, and each of its rows, without generated code; a filter moved below makes them twice."""
+    lines = spark.createDataFrame([(1, "a line that is long enough to be signed"), (2, "a line that is long enough to be seen")], "id long, line string")
+    pairs = spark.createDataFrame([(1, 2, 62)], "a long, b long, sizes long")
+    made = [linededup._verified(pairs, lines, 0.6), linededup._distinct(lines).select("id", F.explode("set").alias("h"))]
+    for df, what in zip(made, ("array_intersect", "array_distinct"), strict=True):
+        plan = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if what in x]
+        assert len(plan) == 1 and "Generate" not in plan[0]
+    assert [tuple(r) for r in made[0].collect()] == [(1, 2)] and made[1].count() == len(shingles("a line that is long enough to be signed")) + len(shingles("a line that is long enough to be seen"))
