@@ -31,13 +31,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import components, cut_lineage, sifted, split_join
+from ripplet.llm.common import components, cut_lineage, sifted, split_join, written
 
-SHINGLE, BANDS, ROWS = 8, 8, 3
+SHINGLE, BANDS, ROWS = 8, 8, 3  # the bands are a power of two
 #: Shorter lines (bytes) have no fuzzy links; equal ones still count as one.
 SHORTEST = 20
 #: Hashes that a long line's signature looks at first.
-EXPECTED = 160
+EXPECTED = 240
 #: 64-bit words of a bitmap, and of the folded one that stars are compared by; bytes of a line that are shingled at once.
 WORDS, FOLDED, CHUNK = 32, 8, 4096
 #: Hint for the side of a join that has a row a key and only numbers: it is hashed, so that the texts beside it need no sort.
@@ -50,6 +50,11 @@ MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 PACKED = "spark.sql.inMemoryColumnarStorage.compressed"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its rows are read in columns and only those asked for, where a checkpoint has each as an object."""
+    return written(df, "lines")
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """``(ord, th, text)``: a document is its id (null: last of all) and its text's hash."""
     text = F.col("text").cast("string")
@@ -77,8 +82,10 @@ def _signed(lines: DataFrame, bound: Column) -> DataFrame:
     """
     hashed = _exploded(lines.withColumn("bound", bound.cast("long")), ["id", "bound"])
     every = F.when(F.col("bound") >= 2**56, BANDS).otherwise(0)  # bands of lines that are signed by all hashes count on from BANDS
-    placed = hashed.select("id", "bound", F.shiftrightunsigned("h", 8).alias("v"), F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).where("v < bound")
-    placed = placed.select("id", "v", (F.expr(f"int(bin div {ROWS})") + every).alias("at"), F.expr(f"bin % {ROWS}").alias("cell"))
+    placed = hashed.select("id", "bound", "h", F.shiftrightunsigned("h", 8).alias("v")).where("v < bound")
+    band = F.col("h").bitwiseAND(F.lit(BANDS - 1)).cast("int")
+    cell = F.shiftright(F.shiftrightunsigned("h", 3).bitwiseAND(F.lit(255)).cast("int") * ROWS, 8)  # no division: this is done for each shingle
+    placed = placed.select("id", "v", (band + every).alias("at"), cell.alias("cell"))
     least = placed.groupBy("id", "at").agg(*[F.min(F.when(F.col("cell") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
     key = F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(-1 - r).cast("long")) for r in range(ROWS)])
     full = F.greatest(*[F.col(f"m{r}").isNull() for r in range(ROWS)])
@@ -143,7 +150,7 @@ def _bitmaps(lines: DataFrame) -> DataFrame:
     wide = words.groupBy("id").agg(F.sum("n").alias("size"), *[F.max(F.when(F.col("w") == k, F.col("b"))).alias(f"w{k}") for k in range(WORDS)])
     bits = F.array(*[F.coalesce(f"w{k}", F.lit(0)) for k in range(WORDS)])
     with _roomy_maps(lines.sparkSession):
-        return cut_lineage(wide.select("id", "size", bits.alias("bits")))
+        return cut_lineage(wide.select("id", "size", bits.alias("bits")))  # a checkpoint: its words are known not to be null, which keeps `_may` short
 
 
 def _folded(bitmaps: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ def _may(x: str, y: str, similarity: float, words: int) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The ``(a, b)`` of ``pairs(a, b, sizes)`` whose lines' shingle sets have this Jaccard similarity at least; ``sizes`` is the sum of those of both sets."""
-    both = split_join(cut_lineage(pairs), texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = split_join(_kept(pairs), texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     both = split_join(both, texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     common = F.size(F.array_intersect(_shingles("x"), _shingles("y")))
     met = both.select("a", "b", "sizes", common.alias("common"))  # a column of its own, as in _distinct
@@ -173,7 +180,7 @@ def _shared(buckets: DataFrame) -> DataFrame:
     """The rows of ``buckets(key, id)`` whose key several lines have."""
     ends = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("k")).where("lo < hi")
     with _roomy_maps(buckets.sparkSession):
-        ends = cut_lineage(ends)
+        ends = _kept(ends)
     two = ends.where("k = 2").select("key", F.explode(F.array("lo", "hi")).alias("id"))
     more = ends.where("k > 2").select("key")
     return two.unionByName(split_join(sifted(buckets, more, ["key"])[0], more, "key"))
@@ -182,25 +189,25 @@ def _shared(buckets: DataFrame) -> DataFrame:
 def _links(lines: DataFrame, similarity: float) -> DataFrame:
     """Components ``(node, root)`` of the lines that have a near-duplicate."""
     whole, rest = _signatures(lines)
-    shared = cut_lineage(_shared(whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")))
+    shared = _kept(_shared(whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")))
     whole.unpersist()
     known = shared.select("id").distinct().hint(HASHED)
     near = lines.join(known, "id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)  # unlike a checkpoint, it keeps the partitioning by id
-    texts = cut_lineage(near)
+    texts = _kept(near)
     bitmaps = _bitmaps(near)
     near.unpersist()
     counted = split_join(shared, texts.select("id", "n"), "id")
     star = counted.groupBy("key").agg(F.max(F.struct("n", "id")).alias("star")).select("key", F.col("star.id").alias("star"))
-    others = cut_lineage(split_join(shared, star, "key").where("id != star"))
+    others = _kept(split_join(shared, star, "key").where("id != star"))
     rays = others.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
     for side in "ab":
         rays = split_join(rays, _folded(bitmaps).select(F.col("id").alias(side), F.struct("size", "bits").alias(f"{side}_of")), side)
     first = cut_lineage(_verified(rays.where(_may("a_of", "b_of", similarity, FOLDED)).select("a", "b", (F.col("a_of.size") + F.col("b_of.size")).alias("sizes")), texts, similarity))
     roots = cut_lineage(components(first))
     rooted = split_join(others.select("key", "id"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = cut_lineage(rooted)
+    rooted = _kept(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = cut_lineage(split_join(rooted, mixed, "key"))
+    mixed = _kept(split_join(rooted, mixed, "key"))
     marked = cut_lineage(split_join(mixed, bitmaps, "id"))  # both sides of the join below
     x, y = marked.alias("x"), marked.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may("x", "y", similarity, WORDS))
@@ -224,9 +231,9 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTES
     roots = _links(lines.where(F.octet_length("line") >= max(shortest, SHINGLE)), similarity)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
     rooted = lines.select("id", "n").join(roots, "id", "left").where("n > 1 or root is not null")
-    rooted = cut_lineage(rooted.select("id", F.coalesce("root", "id").alias("root")))
+    rooted = _kept(rooted.select("id", F.coalesce("root", "id").alias("root")))
     lines.unpersist()
-    held = cut_lineage(split_join(found.select("ord", "th", "pos", "id"), rooted.hint(HASHED), "id").select("ord", "pos", "th", "root"))
+    held = _kept(split_join(found.select("ord", "th", "pos", "id"), rooted.hint(HASHED), "id").select("ord", "pos", "th", "root"))
     keep = held.groupBy("root").agg(F.min(F.struct("ord", "pos", "th")).alias("keep"))
     lost = split_join(held, keep, "root").where(F.struct("ord", "pos", "th") != F.col("keep"))
     return lost.groupBy("ord", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))

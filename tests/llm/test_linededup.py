@@ -156,3 +156,23 @@ def test_shingles_are_made_once_and_not_inside_an_explode(spark):
         plan = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if what in x]
         assert len(plan) == 1 and "Generate" not in plan[0]
     assert [tuple(r) for r in made[0].collect()] == [(1, 2)] and made[1].count() == len(shingles("a line that is long enough to be signed")) + len(shingles("a line that is long enough to be seen"))
+
+
+def test_few_lines_are_signed_twice(spark):
+    """Long lines a third of whose shingles repeat, too, are nearly all signed by their first hashes, with no division for a shingle."""
+    rng = random.Random(11)
+    passages = ["".join(rng.choices("abcdefghijklmnop ", k=800)) for _ in range(400)]
+    lines = spark.createDataFrame([(k, p + p[:400]) for k, p in enumerate(passages)], "id long, line string")
+    signed = linededup._signed(lines, F.lit(linededup.EXPECTED * 2.0**56) / (F.octet_length("line") - 7))
+    assert signed.where("whole").count() >= 0.96 * len(passages) and {len(r["keys"]) for r in signed.where("whole").select("keys").collect()} == {linededup.BANDS}
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "pmod(h" in x or " div " in x]
+    whole = {r.id: r["keys"] for r in linededup._signed(lines, F.lit(2**56)).collect()}
+    assert all(whole[r.id] == r["keys"] for r in signed.where("whole").collect())
+
+
+def test_larger_tables_are_read_by_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 6)], "id long, line string, n long")
+    kept = linededup._kept(df)
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "a", 5), (2, None, 6)]
+    assert "ReadSchema: struct<n:bigint>" in kept.select("n")._jdf.queryExecution().executedPlan().toString()
