@@ -11,7 +11,8 @@ leave about ``EXPECTED`` of them. If that leaves a bin empty, the line is signed
 the signature is always that of the whole line.
 
 Most buckets hold one line or two, and these are known from the least and the greatest line of each
-bucket; only the lines of larger buckets are gathered by a join.
+bucket; only the lines of larger buckets are gathered by a join. The texts of all lines are needed for
+their signatures only and then go; those of lines that share a bucket are read from the documents again.
 
 No bucket is compared pair by pair at once. First every line of a bucket is checked against the
 bucket's most frequent line only; the components of these links hold most of each large family.
@@ -48,6 +49,8 @@ BLANK = " \t\x0b\f\r"
 MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 #: Whether persisted columns are compressed: texts and hashes gain nothing by it.
 PACKED = "spark.sql.inMemoryColumnarStorage.compressed"
+#: Persisted tables grow with the input; in memory a block's pieces of just over 1 MB take up to twice their bytes of the heap, which then runs out before any is moved to disk.
+LEVEL = StorageLevel.DISK_ONLY
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -107,18 +110,24 @@ def _roomy_maps(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _lines(found: DataFrame) -> DataFrame:
+    """``(id, line, n)``: the different lines of occurrences ``found``, and how many each has."""
+    lines = found.withColumn("h", F.hash("line")).groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    return lines.where("lo = hi").select("id", "line", "n")
+
+
 def _signatures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables ``(id, keys)`` of the buckets of all lines; the first is persisted.
+    """The persisted table ``(id, whole, keys)``, and ``(id, keys)`` of the lines that are not ``whole`` in it: the buckets of all lines.
 
     Lines with equal shingle sets have equal signatures, however often a shingle repeats.
     """
     count = F.octet_length("line") - SHINGLE + 1
     with _roomy_maps(lines.sparkSession):
-        first = _signed(lines, F.lit(EXPECTED * 2.0**56) / count).persist(StorageLevel.MEMORY_AND_DISK)
+        first = _signed(lines, F.lit(EXPECTED * 2.0**56) / count).persist(LEVEL)
         whole = first.where("whole").select("id", "keys")
-        whole.agg(F.count("*")).collect()
+        first.agg(F.count("*")).collect()
         rest = cut_lineage(_signed(lines.join(whole.select("id").hint(HASHED), "id", "left_anti"), F.lit(2**56)).select("id", "keys"))
-    return whole, rest
+    return first, rest
 
 
 def _shingles(line: str) -> Column:
@@ -186,13 +195,20 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return two.unionByName(split_join(sifted(buckets, more, ["key"])[0], more, "key"))
 
 
-def _links(lines: DataFrame, similarity: float) -> DataFrame:
-    """Components ``(node, root)`` of the lines that have a near-duplicate."""
-    whole, rest = _signatures(lines)
-    shared = _kept(_shared(whole.unionByName(rest).select(F.explode("keys").alias("key"), "id")))
-    whole.unpersist()
-    known = shared.select("id").distinct().hint(HASHED)
-    near = lines.join(known, "id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)  # unlike a checkpoint, it keeps the partitioning by id
+def _bucketed(lines: DataFrame, shortest: int) -> DataFrame:
+    """``(key, id)``: the buckets that several of the persisted ``lines`` share; ``lines`` goes once they are signed."""
+    first, rest = _signatures(lines.where(F.octet_length("line") >= shortest))
+    lines.unpersist()
+    shared = _kept(_shared(first.where("whole").select("id", "keys").unionByName(rest).select(F.explode("keys").alias("key"), "id")))
+    first.unpersist()
+    return shared
+
+
+def _links(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Components ``(node, root)`` of the lines of ``found`` that have a near-duplicate, by the buckets that they share."""
+    known = _kept(shared.select("id").distinct())
+    some, _ = sifted(found.select("id", "line"), known, ["id"])
+    near = _lines(some).join(known.hint(HASHED), "id", "left_semi").persist(LEVEL)  # unlike a checkpoint, it keeps the partitioning by id
     texts = _kept(near)
     bitmaps = _bitmaps(near)
     near.unpersist()
@@ -224,15 +240,14 @@ def duplicates(docs: DataFrame, similarity: float = 0.8, shortest: int = SHORTES
     lines whose first hashes are equal (about 3 in ten billion) are told apart by a second one and stay.
     """
     found = _occurrences(docs)
-    lines = found.withColumn("h", F.hash("line")).groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     with _roomy_maps(docs.sparkSession):
-        lines = lines.where("lo = hi").select("id", "line", "n").persist(StorageLevel.MEMORY_AND_DISK)
-        lines.agg(F.count("*")).collect()  # now its partitioning by id is known and saves shuffles
-    roots = _links(lines.where(F.octet_length("line") >= max(shortest, SHINGLE)), similarity)
+        lines = _lines(found).persist(LEVEL)
+        repeated = _kept(lines.where("n > 1").select("id"))  # now the partitioning of lines by id is known and saves shuffles
+    shared = _bucketed(lines, max(shortest, SHINGLE))
+    del lines  # else its shuffle stays on the disks
+    roots = _links(shared, found, similarity)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
-    rooted = lines.select("id", "n").join(roots, "id", "left").where("n > 1 or root is not null")
-    rooted = _kept(rooted.select("id", F.coalesce("root", "id").alias("root")))
-    lines.unpersist()
+    rooted = _kept(repeated.join(roots, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
     held = _kept(split_join(found.select("ord", "th", "pos", "id"), rooted.hint(HASHED), "id").select("ord", "pos", "th", "root"))
     keep = held.groupBy("root").agg(F.min(F.struct("ord", "pos", "th")).alias("keep"))
     lost = split_join(held, keep, "root").where(F.struct("ord", "pos", "th") != F.col("keep"))

@@ -176,3 +176,23 @@ def test_larger_tables_are_read_by_columns(spark):
     kept = linededup._kept(df)
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "a", 5), (2, None, 6)]
     assert "ReadSchema: struct<n:bigint>" in kept.select("n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_persisted_tables_take_no_memory_and_go(spark, monkeypatch):
+    stored = lambda: [x for x in spark.sparkContext._jsc.sc().getRDDStorageInfo() if x.isCached()]
+    spark.catalog.clearCache()
+    seen = []
+
+    def looked(f):
+        def run(*args):
+            seen.extend((x.memSize(), x.diskSize() > 0) for x in stored())
+            return f(*args)
+
+        return run
+
+    for name in ("_signatures", "_shared", "_bitmaps"):  # after the lines, the signatures and the lines that share a bucket
+        monkeypatch.setattr(linededup, name, looked(getattr(linededup, name)))
+    docs = spark.createDataFrame([(i, f"a line that says what {i // 2 * 7919} is worth to all who {'read' if i % 2 else 'reads'} it") for i in range(40)], "doc_id long, text string")
+    assert linededup.duplicates(docs).count() == 20
+    assert seen == [(0, True)] * 3
+    assert not stored()
