@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ripplet.functions.columns import NORMS_53, NORMS_97, norm
 
-TILE = ["image_id", "ty", "tx"]
+TILE = ["image_id", "ty", "tx", "max_bytes"]
 BLOCK = ["comp", "band", "cb_y", "cb_x"]
 #: Bytes of a payload's head, and of a block's entry in it.
 HEAD, ENTRY = 4, 24
@@ -31,25 +31,25 @@ def choose(passes: DataFrame, tile: list[str], block: list[str], budget: Column)
     return sums.where(F.col("spent") <= budget).groupBy(*tile, *block).agg(F.max("k").alias("kept"))
 
 
-def allocate(blocks: DataFrame, max_bytes: int) -> DataFrame:
-    """``blocks(…, data, num_passes, ends, errors)`` cut so that a tile's payload has at most ``max_bytes``.
+def allocate(blocks: DataFrame) -> DataFrame:
+    """``blocks(…, max_bytes, data, num_passes, ends, errors)`` cut so that a tile's payload has at most ``max_bytes``; a tile is there once for each of its limits.
 
+    ``blocks`` is read twice, for the choice without its data: it should be a table and not what a coder is about to make.
     Errors weigh by the norm of their band. A limit under the size of a tile's block table leaves all
     blocks empty; that table is always written.
     """
-    spread = blocks.repartition(*TILE)  # the coder runs once for both uses
     heads = Window.partitionBy(*TILE)
-    room = F.lit(max_bytes) - HEAD - ENTRY * F.count("*").over(heads)
+    room = F.col("max_bytes") - HEAD - ENTRY * F.count("*").over(heads)
     orient = F.array_position(F.array(*map(F.lit, ("LL", "HL", "LH", "HH"))), F.col("orient")) - 1
     at = F.when(F.col("orient") == "LL", F.col("level")).otherwise(F.col("level") - 1)
     gain = F.when(F.col("lossless"), norm(NORMS_53, orient, at)).otherwise(norm(NORMS_97, orient, at))
-    sized = spread.select(*TILE, *BLOCK, "ends", "errors", room.alias("room"), (gain * gain).alias("square"))
+    sized = blocks.select(*TILE, *BLOCK, "ends", "errors", room.alias("room"), (gain * gain).alias("square"))
     each = sized.select(*TILE, *BLOCK, "room", "square", "errors", "ends", F.posexplode("ends").alias("i", "end"))
     before = F.coalesce(F.get("ends", F.col("i") - 1), F.lit(0))
     passes = each.select(
         *TILE, *BLOCK, "room", (F.col("i") + 1).alias("k"), (F.col("end") - before).alias("cost"),
         ((F.get("errors", F.col("i")) - F.get("errors", F.col("i") + 1)) * F.col("square")).alias("gain"))
     kept = choose(passes, TILE, BLOCK, F.col("room"))
-    both = spread.join(kept, [*TILE, *BLOCK], "left").withColumn("num_passes", F.coalesce(F.col("kept"), F.lit(0)).cast("int"))
+    both = blocks.join(kept, [*TILE, *BLOCK], "left").withColumn("num_passes", F.coalesce(F.col("kept"), F.lit(0)).cast("int"))
     end = F.coalesce(F.get("ends", F.col("num_passes") - 1), F.lit(0))
     return both.withColumn("data", F.substring("data", F.lit(1), end)).drop("kept", "ends", "errors")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from ripplet.operators.rates import allocate
 from ripplet.operators.wavelets import compose, decompose
 from ripplet.sources import codestream
 from ripplet.sources.codestream import scan_blocks, scan_headers
+from ripplet.sources.shared import shared_folder
 
 #: A component of a tile; tiles go by row and column until the image's width is known.
 PLANE = ["image_id", "ty", "tx", "comp", "levels", "lossless"]
@@ -122,13 +123,15 @@ def coded_blocks(samples: DataFrame, p: EncodeParams) -> DataFrame:
     return encode_blocks(blocks, keep, p.max_bytes is not None)
 
 
-def payloads(blocks: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def payloads(blocks: DataFrame, limited: bool = False) -> DataFrame:
     """``(image_id, ty, tx, levels, lossless, payload)``: a tile's blocks by component, band and place; a tile is the largest unit that a task holds.
 
-    With ``max_bytes`` a payload has no more bytes: its blocks keep the passes that ``rates.allocate`` chooses.
+    Where they are ``limited``, a payload has no more bytes than the blocks' column ``max_bytes``, which is then
+    a column of the payloads and may differ within an image: its blocks keep the passes that ``rates.allocate`` chooses.
     """
-    if max_bytes is not None:
-        blocks = allocate(blocks, max_bytes)
+    names, kind = ["image_id", "ty", "tx", "levels", "lossless"], "image_id long, ty int, tx int, levels int, lossless boolean"
+    if limited:
+        blocks, names, kind = allocate(blocks), [*names, "max_bytes"], f"{kind}, max_bytes int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,22 +139,42 @@ def payloads(blocks: DataFrame, max_bytes: int | None = None) -> DataFrame:
             for bs in batch.column("blocks").to_pylist():
                 rows = [(b["comp"], b["band"], b["cb_x"], b["cb_y"], b["cb_w"], b["cb_h"], b["numbps"], b["num_passes"], b["data"]) for b in bs]
                 made.append(codestream.write_payload(rows))
-            names = ["image_id", "ty", "tx", "levels", "lossless"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.binary())], [*names, "payload"])
 
     order = F.struct("comp", "band", "cb_y", "cb_x", "cb_w", "cb_h", "numbps", "num_passes", "data")
-    tiles = blocks.groupBy("image_id", "ty", "tx", "levels", "lossless").agg(F.sort_array(F.collect_list(order)).alias("blocks"))
-    return tiles.mapInArrow(run, "image_id long, ty int, tx int, levels int, lossless boolean, payload binary")
+    tiles = blocks.groupBy(*names).agg(F.sort_array(F.collect_list(order)).alias("blocks"))
+    return tiles.mapInArrow(run, f"{kind}, payload binary")
 
 
 def encode(samples: DataFrame, params: EncodeParams | None = None) -> DataFrame:
     """``(image_id, content)``: a file for each image of ``samples(image_id, comp, y, x, v)``; an image's coded bytes meet in one row."""
     p = params or EncodeParams()
+    if p.max_bytes is not None:
+        return encode_within(samples, (p.max_bytes,), p).drop("max_bytes")
+    return _files(payloads(coded_blocks(samples, p)), samples, p)
+
+
+def encode_within(samples: DataFrame, limits: tuple[int, ...], params: EncodeParams | None = None) -> DataFrame:
+    """``(image_id, max_bytes, content)``: a file for each image and each of the ``limits`` of its tiles' payloads.
+
+    The blocks are coded once, into a table in the shared folder: each limit's choice of passes reads
+    the passes, and what it leaves reads the data.
+    """
+    p, folder = replace(params or EncodeParams(), max_bytes=max(limits)), shared_folder(samples.sparkSession, "blocks")
+    made = coded_blocks(samples, p)
+    made.write.parquet(folder)
+    blocks = samples.sparkSession.read.schema(made.schema).parquet(folder)
+    each = blocks.withColumn("max_bytes", F.explode(F.array(*map(F.lit, dict.fromkeys(limits)))))
+    return _files(payloads(each, limited=True), samples, p, ["max_bytes"])
+
+
+def _files(tiles: DataFrame, samples: DataFrame, p: EncodeParams, more: list[str] | None = None) -> DataFrame:
+    """``(image_id, *more, content)``: the files of the payloads ``tiles`` of ``samples``; ``more`` are columns of ints that tell an image's files apart."""
+    more = more or []
     dx, dy = _of(p.dx, F.col("comp")), _of(p.dy, F.col("comp"))
     size = samples.groupBy("image_id").agg(
         (F.max(F.col("x") * dx) + 1).cast("int").alias("w"), (F.max(F.col("y") * dy) + 1).cast("int").alias("h"), (F.max("comp") + 1).cast("int").alias("n"))
-    tiles = payloads(coded_blocks(samples, p), p.max_bytes)
-    tiles = tiles.groupBy("image_id", "levels", "lossless").agg(F.sort_array(F.collect_list(F.struct("ty", "tx", "payload"))).alias("tiles"))
+    tiles = tiles.groupBy("image_id", "levels", "lossless", *more).agg(F.sort_array(F.collect_list(F.struct("ty", "tx", "payload"))).alias("tiles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +187,9 @@ def encode(samples: DataFrame, params: EncodeParams | None = None) -> DataFrame:
                 across = -(-w // header["tile_w"])
                 data = codestream.write_main_header(header) + b"".join(codestream.write_tile(t["ty"] * across + t["tx"], t["payload"]) for t in parts) + b"\xff\xd9"
                 files.append(codestream.wrap(data, header) if p.format == "jp2" else data)
-            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(files, pa.binary())], ["image_id", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *(batch.column(c) for c in more), pa.array(files, pa.binary())], ["image_id", *more, "content"])
 
-    return tiles.join(size, "image_id").mapInArrow(run, "image_id long, content binary")
+    return tiles.join(size, "image_id").mapInArrow(run, ", ".join(["image_id long", *(f"{c} int" for c in more), "content binary"]))
 
 
 def decode(files: DataFrame, reduce: int = 0, region: tuple[int, int, int, int] | None = None, exact: bool = True, levels: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 import math
 import random
 import struct
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ripplet.functions import columns as C
 from ripplet.functions.errors import CodecError, InvalidData, OutOfBounds, Unsupported
 from ripplet.operators import blocks, entropy, packets, rates, wavelets
-from ripplet.plans import codec
+from ripplet.plans import codec, queries
 from ripplet.sources import codestream, ranges, sinks
 from ripplet.streaming import files as streaming
 
@@ -110,6 +111,19 @@ def test_limited_payloads(spark, lossless):
     assert errors == sorted(errors, reverse=True) and errors[0] > errors[2] and errors[3] == sum((full[k] - want[k]) ** 2 for k in want)
 
 
+def test_limits_share_their_blocks(spark, sf):
+    """Files of several limits are those of each limit alone, and the query of three limits plans one decoding; blocks are coded before any choice."""
+    df = frame(spark, TILED16, RGB16)
+    p = codec.EncodeParams(levels=1, cblk_w=8, cblk_h=8, format="j2k", max_bytes=500)
+    got = {(r.image_id, r.max_bytes): r.content for r in codec.encode_within(df, (300, 500, 300), p).collect()}
+    want = {(r.image_id, b): r.content for b in (300, 500) for r in codec.encode(df, replace(p, max_bytes=b)).collect()}
+    assert got == want and got[2, 300] != got[2, 500]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ends" in plan(codec.encode(df, p)) and plan(codec.encode(df, p)).count("MapInArrow") == 2  # payloads and files
+    decoding = plan(codec.decode(codec.encode(df, replace(p, max_bytes=None)), levels=1)).count("MapInArrow")
+    assert plan(queries.rate_limited(spark, sf)).count("MapInArrow") <= decoding
+
+
 def test_choice_of_passes(spark):
     """By hand: passes of falling worth, one that counts with the worth before it, and a block that keeps nothing."""
     rows = [(1, 1, 1, 10, 1000.0), (1, 1, 2, 10, 10.0), (1, 1, 3, 1, 500.0), (1, 2, 1, 10, 900.0), (1, 2, 2, 10, 800.0), (1, 3, 1, 40, 400.0), (2, 1, 1, 99, 5.0)]
