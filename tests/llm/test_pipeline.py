@@ -48,3 +48,11 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_lines_leave_nothing_persisted(spark):
+    spark.catalog.clearCache()
+    docs = spark.createDataFrame([(i, f"the same long line stands at the head of all\nand a line of number {i * 7919} only here") for i in range(6)], "doc_id long, text string")
+    kept = corpus_pipeline.lines(spark, docs, "")
+    assert not [x for x in spark.sparkContext._jsc.sc().getRDDStorageInfo() if x.isCached()]
+    assert sum(r.text.count("same long line") for r in kept.collect()) == 1
