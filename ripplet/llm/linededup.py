@@ -49,7 +49,7 @@ BLANK = " \t\x0b\f\r"
 MAP_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 #: Whether persisted columns are compressed: texts and hashes gain nothing by it.
 PACKED = "spark.sql.inMemoryColumnarStorage.compressed"
-#: Persisted tables grow with the input; in memory a block's pieces of just over 1 MB take up to twice their bytes of the heap, which then runs out before any is moved to disk.
+#: Persisted tables grow with the input; in memory they were seen to exhaust an executor's heap before enough of them was moved to disk.
 LEVEL = StorageLevel.DISK_ONLY
 
 
